@@ -71,7 +71,7 @@ def safe_date(y, m, d) -> Column:
         F.coalesce(col(m).cast("int"), F.lit(1)),
         F.coalesce(col(d).cast("int"), F.lit(1)),
     )
-    return F.when(col(y).isNotNull(), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(col(y).isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def years_between(start, end) -> Column:

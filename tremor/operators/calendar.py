@@ -170,3 +170,19 @@ def unblocked_sessions(sessions: DataFrame, days: DataFrame, low: int = -5, high
         .distinct()
     )
     return sessions.join(blocked, ["series_id", "session_idx"], "left_anti")
+
+
+def truncate_series(sessions: DataFrame, events: DataFrame, tail: int) -> DataFrame:
+    """Each series cut ``tail`` sessions after the origin of its last event."""
+    last = events.groupBy("series_id").agg(F.max("event_date").alias("event_date"))
+    bound = asof_forward(
+        last, sessions.select("series_id", "date", "session_idx"), ["series_id"], "event_date", "date"
+    ).select("series_id", (F.col("session_idx") + tail - 1).alias("_bound"))
+    return sessions.join(bound, "series_id").where(F.col("session_idx") <= F.col("_bound")).drop("_bound")
+
+
+def assert_within(df: DataFrame, day: str, end: str) -> None:
+    """Raise with a few offending dates when a row lies past the study end."""
+    late = df.where(F.col(day) > F.lit(end).cast("date")).select(day).limit(5).collect()
+    if late:
+        raise ValueError(f"dates past {end}: {[str(r[0]) for r in late]}")

@@ -68,14 +68,14 @@ def episode_table(events: DataFrame, by: list[str], day: str, key: str) -> DataF
     )
 
 
-def episode_members(events: DataFrame, by: list[str], day: str, key: str) -> DataFrame:
-    """Ordered member list in blocks: one row per episode and day, ids sorted inside.
+def episode_members(events: DataFrame, by: list[str], day: str, key: str, width: int = 4096) -> DataFrame:
+    """Ordered member lists in blocks: one row per episode and block of ids.
 
-    An episode can hold any share of all events, so members are listed per day.
+    An episode can hold any share of all events; a block holds at most ``width`` ids.
     """
     return (
         with_episodes(events, by, day)
-        .groupBy(*by, "episode", day)
+        .groupBy(*by, "episode", F.floor(F.col(key) / width).alias("block"))
         .agg(F.sort_array(F.collect_list(key)).alias("members"))
     )
 

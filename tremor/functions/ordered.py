@@ -93,26 +93,30 @@ def exact_quantiles(
     return out.select(*by, F.col("n_total"), *cols)
 
 
-def order_index(df: DataFrame, date: str, key: str, out: str = "ord", width: int = 1 << 20) -> DataFrame:
-    """0-based position of each row by (date, key), key being a unique integer.
+def order_index(
+    df: DataFrame, date: str, key: str, out: str = "ord", width: int = 1 << 20, by: list[str] | None = None
+) -> DataFrame:
+    """0-based position of each row by (date, key) within ``by``, key being a unique integer.
 
     Offsets come from counts per date and per key block inside a date, so no window
     ever holds more than one key block of one date, however hot the date is.
     """
+    by = by or []
     blocked = df.withColumn("_block", F.floor(F.col(key) / width))
-    per_block = blocked.groupBy(date, "_block").agg(F.count("*").alias("_n"))
-    per_date = per_block.groupBy(date).agg(F.sum("_n").alias("_nd"))
-    prior_dates = W.partitionBy(F.lit(1)).orderBy(date).rowsBetween(W.unboundedPreceding, -1)
-    date_offset = per_date.select(date, F.coalesce(F.sum("_nd").over(prior_dates), F.lit(0)).alias("_d0"))
-    prior_blocks = W.partitionBy(date).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    per_block = blocked.groupBy(*by, date, "_block").agg(F.count("*").alias("_n"))
+    per_date = per_block.groupBy(*by, date).agg(F.sum("_n").alias("_nd"))
+    days = W.partitionBy(*by) if by else W.partitionBy(F.lit("days"))  # one row per calendar day
+    prior_dates = days.orderBy(date).rowsBetween(W.unboundedPreceding, -1)
+    date_offset = per_date.select(*by, date, F.coalesce(F.sum("_nd").over(prior_dates), F.lit(0)).alias("_d0"))
+    prior_blocks = W.partitionBy(*by, date).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         per_block.withColumn("_b0", F.coalesce(F.sum("_n").over(prior_blocks), F.lit(0)))
-        .join(date_offset, date)
-        .select(date, "_block", (F.col("_d0") + F.col("_b0")).alias("_start"))
+        .join(date_offset, [*by, date])
+        .select(*by, date, "_block", (F.col("_d0") + F.col("_b0")).alias("_start"))
     )
-    inside = W.partitionBy(date, "_block").orderBy(key)
+    inside = W.partitionBy(*by, date, "_block").orderBy(key)
     return (
-        blocked.join(offsets, [date, "_block"])
+        blocked.join(offsets, [*by, date, "_block"])
         .withColumn(out, (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
         .drop("_block", "_start")
     )

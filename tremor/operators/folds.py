@@ -61,16 +61,16 @@ def fold_membership(ordered: DataFrame, geo: Geometry, ord_col: str = "ord", mod
     return ordered.withColumn("_m", F.explode(roles)).select("*", "_m.fold", "_m.role").drop("_m")
 
 
-def first_test_dates(members: DataFrame, date: str) -> DataFrame:
-    return members.where("role = 'test'").groupBy("fold").agg(F.min(date).alias("first_test"))
+def first_test_dates(members: DataFrame, date: str, by: tuple = ("fold",)) -> DataFrame:
+    return members.where("role = 'test'").groupBy(*by).agg(F.min(date).alias("first_test"))
 
 
-def purge(members: DataFrame, date: str, label_end: str) -> DataFrame:
+def purge(members: DataFrame, date: str, label_end: str, by: tuple = ("fold",)) -> DataFrame:
     """Drop train rows whose label reaches the fold's first test date; unknown ends stay."""
-    first = first_test_dates(members, date)
-    # one row per fold: bounded by the geometry
+    first = first_test_dates(members, date, by)
+    # one row per fold (and configuration): bounded by the geometry
     keep = (F.col("role") == "test") | F.col(label_end).isNull() | (F.col(label_end) < F.col("first_test"))
-    return members.join(F.broadcast(first), "fold").where(keep)
+    return members.join(F.broadcast(first), [*by]).where(keep)
 
 
 def grouped_order(df: DataFrame, date: str) -> DataFrame:
@@ -80,16 +80,16 @@ def grouped_order(df: DataFrame, date: str) -> DataFrame:
     return df.join(days.withColumn("ord", (F.row_number().over(w) - 1).cast("long")), date)
 
 
-def train_medians(members: DataFrame, cols: list[str]) -> DataFrame:
+def train_medians(members: DataFrame, cols: list[str], by: tuple = ("fold",)) -> DataFrame:
     """Per fold, the train median of each column, 0 when all are missing."""
-    return members.where("role = 'train'").groupBy("fold").agg(
+    return members.where("role = 'train'").groupBy(*by).agg(
         *[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"_med_{c}") for c in cols]
     )
 
 
-def median_imputed(members: DataFrame, cols: list[str]) -> DataFrame:
-    meds = F.broadcast(train_medians(members, cols))  # one row per fold
-    out = members.join(meds, "fold")
+def median_imputed(members: DataFrame, cols: list[str], by: tuple = ("fold",)) -> DataFrame:
+    meds = F.broadcast(train_medians(members, cols, by))  # one row per fold (and configuration)
+    out = members.join(meds, [*by])
     return out.select(
         *[c for c in members.columns if c not in cols],
         *[F.coalesce(F.col(c), F.col(f"_med_{c}")).alias(c) for c in cols],

@@ -12,7 +12,7 @@ from tremor.functions.scalars import ratio
 
 def regression_aggs(y: str = "y_true", p: str = "y_pred") -> list[Column]:
     e = F.col(p) - F.col(y)
-    n = F.count("*")
+    n = F.count(F.lit(1))
     return [
         n.alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),

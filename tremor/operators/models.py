@@ -60,24 +60,50 @@ def sse_from_moments(row, p: int, b0: float, w) -> float:
     return syy - 2 * b0 * sy - 2 * w @ sxy + n * b0 * b0 + 2 * b0 * w @ sx + w @ sxx @ w
 
 
-def _fit_groups(p: int, keys: list[str], alphas: list[float]):
-    """Per fold: choose the penalty on the inner splits' moments, then fit on all train rows."""
+def _fit_groups(p: int, keys: list[str], alphas: list[float], blocks: dict[str, list[int]]):
+    """Per group and feature block: choose the penalty on the inner splits, then fit on all train rows.
+
+    A block is a subset of the columns, so its moments are a sub-matrix of the same row.
+    """
+
+    def narrowed(row, idx):
+        out = {"n": row["n"], "sy": row["sy"], "syy": row["syy"]}
+        for a, i in enumerate(idx):
+            out[f"sx_{a}"], out[f"sxy_{a}"] = row[f"sx_{i}"], row[f"sxy_{i}"]
+            for b in range(a, len(idx)):
+                lo, hi = sorted((i, idx[b]))
+                out[f"sxx_{a}_{b}"] = row[f"sxx_{lo}_{hi}"]
+        return out
+
+    def choose(pairs, q):
+        means = {}
+        for a in alphas:
+            errs = []
+            for tr, va in pairs:
+                b0, w = ridge_from_moments(tr, q, a)
+                errs.append(np.sqrt(max(sse_from_moments(va, q, b0, w), 0.0) / va["n"]))
+            if errs:
+                means[a] = np.mean(errs)
+        return min(means, key=lambda a: (means[a], a)) if means else DEFAULT_ALPHA
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        inner = pdf[pdf["split"] >= 0]
-        score = {a: [] for a in alphas}
-        for _, g in inner.groupby("split"):
-            tr, va = g[g["inner_role"] == "train"], g[g["inner_role"] == "validation"]
-            if len(tr) and len(va) and tr["n"].iloc[0] >= 5:
-                for a in alphas:
-                    b0, w = ridge_from_moments(tr.iloc[0], p, a)
-                    score[a].append(np.sqrt(max(sse_from_moments(va.iloc[0], p, b0, w), 0.0) / va["n"].iloc[0]))
-        usable = {a: np.mean(v) for a, v in score.items() if v}
-        best = min(usable, key=lambda a: (usable[a], a)) if usable else DEFAULT_ALPHA
-        full = pdf[pdf["split"] < 0].iloc[0]
-        b0, w = ridge_from_moments(full, p, best)
-        head = {k: full[k] for k in keys}
-        return pd.DataFrame([{**head, "alpha": best, "n_train": int(full["n"]), "intercept": b0, "slopes": [float(v) for v in w]}])
+        whole = pdf[pdf["split"] < 0]
+        out = []
+        if len(whole):
+            full = whole.iloc[0]
+            for name, idx in blocks.items():
+                pairs = []
+                for _, g in pdf[pdf["split"] >= 0].groupby("split"):
+                    tr, va = g[g["inner_role"] == "train"], g[g["inner_role"] == "validation"]
+                    if len(tr) and len(va) and tr["n"].iloc[0] >= 5:
+                        pairs.append((narrowed(tr.iloc[0], idx), narrowed(va.iloc[0], idx)))
+                best = choose(pairs, len(idx))
+                b0, w = ridge_from_moments(narrowed(full, idx), len(idx), best)
+                slopes = np.zeros(p)
+                slopes[idx] = w
+                out.append({**{k: full[k] for k in keys}, "block": name, "alpha": best, "n_train": int(full["n"]),
+                            "intercept": b0, "slopes": [float(v) for v in slopes]})
+        return pd.DataFrame(out, columns=[*keys, "block", "alpha", "n_train", "intercept", "slopes"])
 
     return fit
 
@@ -89,24 +115,30 @@ def inner_positions(train: DataFrame, by: list[str], date: str, key: str) -> Dat
     return placed.join(F.broadcast(n), by)  # one row per fold
 
 
-def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, alphas=None, k_inner: int = 3) -> DataFrame:
-    """(fold, alpha, n_train, intercept, slopes) with the penalty picked by purged inner splits.
+def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, alphas=None, k_inner: int = 3,
+                       by: tuple = ("fold",), blocks: dict[str, list[str]] | None = None) -> DataFrame:
+    """(by, block, alpha, n_train, intercept, slopes), the penalty picked by purged inner splits.
 
-    ``rows`` is a purged, imputed membership table without missing y. All fits of all
-    folds, splits and penalties come from one grouped scan of moments; only those
-    small rows reach Python.
+    ``rows`` is a purged, imputed membership table without missing y; ``by`` may add
+    configuration keys to the fold. All fits of all configurations, folds, splits,
+    blocks and penalties come from one grouped scan of moments; only those small
+    rows reach Python.
     """
     from tremor.operators.folds import inner_membership
 
     alphas = ALPHAS if alphas is None else alphas
+    keys = [*by]
+    idx = {n: [xs.index(c) for c in cs] for n, cs in (blocks or {"all": xs}).items()}
     train = rows.where("role = 'train'")
-    placed = inner_positions(train, ["fold"], "event_date", "event_id")
-    inner = inner_membership(placed, ["fold"], "_pos", "_n", "event_date", label_end, k_inner)
-    inner_m = moments(inner, ["fold", "split", "inner_role"], xs, y)
-    outer_m = moments(train, ["fold"], xs, y).withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("all"))
+    placed = inner_positions(train, keys, "event_date", "event_id")
+    inner = inner_membership(placed, keys, "_pos", "_n", "event_date", label_end, k_inner)
+    inner_m = moments(inner, [*keys, "split", "inner_role"], xs, y)
+    outer_m = moments(train, keys, xs, y).withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("all"))
     both = outer_m.unionByName(inner_m)
-    return both.groupBy("fold").applyInPandas(
-        _fit_groups(len(xs), ["fold"], alphas), "fold long, alpha double, n_train long, intercept double, slopes array<double>"
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name in keys)
+    return both.groupBy(*keys).applyInPandas(
+        _fit_groups(len(xs), keys, alphas, idx),
+        f"{types}, block string, alpha double, n_train long, intercept double, slopes array<double>",
     )
 
 

@@ -24,10 +24,10 @@ from tremor.operators import outcomes as oc
 from tremor.operators import resample as rs
 from tremor.operators import series as sr
 from tremor.operators import survival as sv
-from tremor.plans.forecast_queries import NB, SQL_MEM, SQL_OEPI, SQL_OOF, clustered, members, oof, ordered
+from tremor.plans.forecast_queries import NB, SQL_MEM, SQL_OEPI, SQL_OOF, _boot_sql, _draw_sql, clustered, members, oof, ordered
 from tremor.plans.outcome_queries import SQL_RET, SQL_SESS, features, panel
 from tremor.plans.registry import ctes, query, r
-from tremor.session import shared_dir, staged_once
+from tremor.session import shared_dir, stage, staged_once
 from tremor.sources.adapters import SQL_SHOCKS, sessions, shocks, table
 
 XS = ["x1", "x2"]
@@ -54,20 +54,30 @@ p_r AS (SELECT m_r.* FROM m_r JOIN f_r USING (fold) WHERE role = 'test' OR y1_5_
 d_r AS (SELECT fold, coalesce(median(x1), 0) AS m1, coalesce(median(x2), 0) AS m2 FROM p_r WHERE role = 'train' GROUP BY 1),
 rw AS (SELECT p.fold, role, event_id, event_date, series_id, type, ord, y, y1_5_end AS label_end, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2 FROM p_r p JOIN d_r USING (fold))"""
 
-SQL_INNER = f"""
-pos AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY event_date, event_id) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS cnt FROM rw WHERE role = 'train'),
-ins AS (SELECT p.*, s.split, CASE WHEN pos < cnt - (3 - split) * (cnt // 4) THEN 'train' WHEN pos < cnt - (3 - split) * (cnt // 4) + cnt // 4 THEN 'validation' END AS ir FROM pos p, (SELECT unnest(range(0, 3)) AS split) s),
-fvd AS (SELECT fold, split, min(event_date) AS d FROM ins WHERE ir = 'validation' GROUP BY 1, 2),
-inn AS (SELECT ins.* FROM ins JOIN fvd USING (fold, split) WHERE ir = 'validation' OR (ir = 'train' AND (label_end IS NULL OR label_end < d))),
-al AS (SELECT unnest([{", ".join(repr(a) for a in md.ALPHAS)}])::DOUBLE AS alpha),
-im AS (SELECT fold, split, count(*)::DOUBLE AS n, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2
-  FROM inn WHERE ir = 'train' GROUP BY 1, 2),
-iw AS (SELECT *, ((n + alpha) * n * c1 - n * r * n * c2) / ((n + alpha) ** 2 - n * n * r * r) / s1 AS w1, ((n + alpha) * n * c2 - n * r * n * c1) / ((n + alpha) ** 2 - n * n * r * r) / s2 AS w2 FROM im, al),
-isc AS (SELECT v.fold, v.split, w.alpha, sqrt(avg((ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 - y) ** 2)) AS rmse FROM inn v JOIN iw w USING (fold, split) WHERE v.ir = 'validation' AND w.n >= 5 GROUP BY 1, 2, 3),
-pick AS (SELECT fold, alpha FROM (SELECT fold, alpha, row_number() OVER (PARTITION BY fold ORDER BY round(avg(rmse), 10), alpha) AS rn FROM isc GROUP BY 1, 2) WHERE rn = 1),
-om AS (SELECT fold, count(*)::DOUBLE AS n, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2
-  FROM rw WHERE role = 'train' GROUP BY 1),
-fit AS (SELECT fold, alpha, n, ((n + alpha) * n * c1 - n * r * n * c2) / ((n + alpha) ** 2 - n * n * r * r) / s1 AS w1, ((n + alpha) * n * c2 - n * r * n * c1) / ((n + alpha) ** 2 - n * n * r * r) / s2 AS w2, ay, a1, a2 FROM om JOIN pick USING (fold))"""
+def _ridge_sql(src, keys=("fold",), y="y", end="label_end", blocks=("both",), tag=""):
+    """CTEs ending in ``fit{tag}``: standardised two-column ridge with purged inner splits."""
+    t, k = tag, ", ".join(keys)
+    on = f"({k})"
+    mom = f"""count(*)::DOUBLE AS n, avg(x1) AS a1, avg(x2) AS a2, avg({y}) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r,
+  covar_pop(x1, {y}) / stddev_pop(x1) AS c1, covar_pop(x2, {y}) / stddev_pop(x2) AS c2"""
+    w1 = "CASE block WHEN 'x1' THEN n * c1 / (n + alpha) WHEN 'x2' THEN 0 ELSE ((n + alpha) * n * c1 - n * r * n * c2) / ((n + alpha) ** 2 - n * n * r * r) END / s1"
+    w2 = "CASE block WHEN 'x2' THEN n * c2 / (n + alpha) WHEN 'x1' THEN 0 ELSE ((n + alpha) * n * c2 - n * r * n * c1) / ((n + alpha) ** 2 - n * n * r * r) END / s2"
+    return f"""
+pos{t} AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY event_date, event_id) - 1 AS pos, count(*) OVER (PARTITION BY {k}) AS cnt FROM {src} WHERE role = 'train'),
+ins{t} AS (SELECT p.*, s.split, CASE WHEN pos < cnt - (3 - split) * (cnt // 4) THEN 'train' WHEN pos < cnt - (3 - split) * (cnt // 4) + cnt // 4 THEN 'validation' END AS ir FROM pos{t} p, (SELECT unnest(range(0, 3)) AS split) s),
+fvd{t} AS (SELECT {k}, split, min(event_date) AS d FROM ins{t} WHERE ir = 'validation' GROUP BY ALL),
+inn{t} AS (SELECT i.* FROM ins{t} i JOIN fvd{t} USING ({k}, split) WHERE ir = 'validation' OR (ir = 'train' AND ({end} IS NULL OR {end} < d))),
+al{t} AS (SELECT unnest([{", ".join(repr(a) for a in md.ALPHAS)}])::DOUBLE AS alpha),
+bk{t} AS (SELECT unnest([{", ".join(repr(b) for b in blocks)}]) AS block),
+im{t} AS (SELECT {k}, split, {mom} FROM inn{t} WHERE ir = 'train' GROUP BY {k}, split),
+iw{t} AS (SELECT *, {w1} AS w1, {w2} AS w2 FROM im{t}, al{t}, bk{t}),
+isc{t} AS (SELECT {", ".join("v." + c for c in keys)}, v.split, w.alpha, w.block, sqrt(avg((ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 - {y}) ** 2)) AS rmse FROM inn{t} v JOIN iw{t} w USING ({k}, split) WHERE v.ir = 'validation' AND w.n >= 5 GROUP BY ALL),
+pick{t} AS (SELECT {k}, block, alpha FROM (SELECT {k}, block, alpha, row_number() OVER (PARTITION BY {k}, block ORDER BY round(avg(rmse), 10), alpha) AS rn FROM isc{t} GROUP BY {k}, block, alpha) WHERE rn = 1),
+om{t} AS (SELECT {k}, {mom} FROM {src} WHERE role = 'train' GROUP BY {k}),
+fit{t} AS (SELECT {k}, block, alpha, n, {w1} AS w1, {w2} AS w2, ay, a1, a2 FROM om{t} JOIN pick{t} USING {on})"""
+
+
+SQL_INNER = _ridge_sql("rw")
 
 
 def ridge_fits(spark, sf_dir):
@@ -169,7 +179,22 @@ def e10_stage_a_expected(spark, sf_dir):
     return md.expanding_ridge(z, ["f1", "f2"], 5).select("series_id", "session_idx", rnd("expected", 4).alias("expected"))
 
 
-@query("e11_normal_plus_residual")
+SQL_STAGE_A = """
+z AS (SELECT *, lag(log_return) OVER w AS f1, CASE WHEN count(*) OVER b20 = 20 THEN lag(close) OVER w / avg(close) OVER b20 - 1 END AS g, 100 * ln(lead(close, 4) OVER w / lag(close) OVER w) AS y
+  FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY series_id ORDER BY date)) AS log_return FROM sess) WINDOW w AS (PARTITION BY series_id ORDER BY date), b20 AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+z2 AS (SELECT series_id, session_idx, date, f1, lag(g) OVER (PARTITION BY series_id ORDER BY date) AS f2, y FROM z),
+z3 AS (SELECT *, CASE WHEN f1 IS NOT NULL AND f2 IS NOT NULL AND y IS NOT NULL THEN 1 END AS ok FROM z2),
+mo AS (SELECT series_id, session_idx, f1, f2, count(ok) OVER w AS n, avg(CASE WHEN ok = 1 THEN f1 END) OVER w AS a1, avg(CASE WHEN ok = 1 THEN f2 END) OVER w AS a2, avg(CASE WHEN ok = 1 THEN y END) OVER w AS ay,
+  stddev_pop(CASE WHEN ok = 1 THEN f1 END) OVER w AS s1, stddev_pop(CASE WHEN ok = 1 THEN f2 END) OVER w AS s2,
+  covar_pop(CASE WHEN ok = 1 THEN f1 END, CASE WHEN ok = 1 THEN f2 END) OVER w AS v12, covar_pop(CASE WHEN ok = 1 THEN f1 END, CASE WHEN ok = 1 THEN y END) OVER w AS v1y, covar_pop(CASE WHEN ok = 1 THEN f2 END, CASE WHEN ok = 1 THEN y END) OVER w AS v2y
+  FROM z3 WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)),
+ca AS (SELECT *, v12 / (s1 * s2) AS r, v1y / s1 AS c1, v2y / s2 AS c2 FROM mo WHERE n >= 250 AND f1 IS NOT NULL AND f2 IS NOT NULL),
+ex AS (SELECT series_id, session_idx, ay + ((n + 10) * n * c1 - n * r * n * c2) / ((n + 10) ** 2 - n * n * r * r) / s1 * (f1 - a1) + ((n + 10) * n * c2 - n * r * n * c1) / ((n + 10) ** 2 - n * n * r * r) / s2 * (f2 - a2) AS expected FROM ca),
+rx AS (SELECT rw.*, e.expected, rw.y - e.expected AS resid FROM rw JOIN fo USING (event_id) JOIN ex e ON e.series_id = fo.series_id AND e.session_idx = fo.session_idx)"""
+
+
+@query("e11_normal_plus_residual", ctes(SQL_ROWS, SQL_STAGE_A, _ridge_sql("rx", y="resid")) + f"""
+SELECT fold, event_id, {r("y", 4, "y_true")}, {r("expected", 4, "expected")}, {r("ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 + expected", 4, "y_pred")} FROM rx JOIN fit USING (fold) WHERE role = 'test'""")
 def e11_normal_plus_residual(spark, sf_dir):
     """Fit y minus its stage-A expectation, then add the expectation back."""
     f = features(spark, sf_dir)
@@ -180,7 +205,7 @@ def e11_normal_plus_residual(spark, sf_dir):
     d = rows(spark, sf_dir).join(e, "event_id").withColumn("resid", F.col("y") - F.col("expected"))
     fits = md.ridge_walk_forward(d, XS, "resid", "label_end")
     p = md.linear_predictions(d.where("role = 'test'"), fits, ["fold"], XS, "_r")
-    return p.select("fold", "event_id", F.col("y").alias("y_true"), "expected", (F.col("_r") + F.col("expected")).alias("y_pred"))
+    return p.select("fold", "event_id", rnd("y", 4).alias("y_true"), rnd("expected", 4).alias("expected"), rnd(F.col("_r") + F.col("expected"), 4).alias("y_pred"))
 
 
 @query("e12_yearly_volatility")
@@ -224,34 +249,61 @@ def l05_m14_classifiers(spark, sf_dir):
     return mt.classification_metrics(o, ["model"]).join(mt.roc_auc(o, ["model"]), "model").join(mt.average_precision(o, ["model"]), "model").join(mt.calibration_line(o, ["model"]), "model", "left")
 
 
-@query("l06_l11_grid_ablation", ctes(SQL_OOF) + f"""
-SELECT target, model, fold, count(*) AS n, {r("avg((y_pred - y_true) ** 2)", name="mse")} FROM oof GROUP BY 1, 2, 3""")
-def l06_l11_grid_ablation(spark, sf_dir):
-    """Fold-level error of every configuration of the forecast table."""
-    e = F.col("y_pred") - F.col("y_true")
-    return oof(spark, sf_dir).groupBy("target", "model", "fold").agg(F.count("*").alias("n"), F.avg(e * e).alias("mse")).select("target", "model", "fold", "n", rnd("mse").alias("mse"))
+BLOCKS = {"both": ["x1", "x2"], "x1": ["x1"], "x2": ["x2"]}
 
 
-@query("l11_block_ablation")
-def l11_block_ablation(spark, sf_dir):
-    """Ridge on each feature block and on both, same folds, pooled error per configuration."""
-    d = rows(spark, sf_dir)
-    out = None
-    for name, xs in (("both", ["x1", "x2"]), ("price_only", ["x1"]), ("volume_only", ["x2"])):
-        p = md.linear_predictions(d.where("role = 'test'"), md.ridge_walk_forward(d, xs, "y", "label_end"), ["fold"], xs)
-        p = p.select("event_id", "y", "y_pred").withColumn("model", F.lit(name))
-        out = p if out is None else out.unionByName(p)
-    return _score(out)
+def grid_rows(spark, sf_dir):
+    """Fold rows of every return horizon in one long table: the grid is a key, not a loop."""
+
+    def build():
+        m = members(spark, sf_dir)
+        cells = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y1_{h}").alias("y"), F.col(f"y1_{h}_end").alias("label_end")) for h in oc.RETURN_HORIZONS])
+        long = m.select("fold", "role", "event_id", "event_date", "series_id", *XS, F.explode(cells).alias("_c")).select("*", "_c.*").drop("_c").where("y IS NOT NULL")
+        by = ("horizon", "fold")
+        return fd.median_imputed(fd.purge(long, "event_date", "label_end", by), XS, by)
+
+    return staged_once(spark, sf_dir, "grid_rows", build)
+
+
+def _sql_long(values, key, cols):
+    union = " UNION ALL ".join(f"SELECT {v} AS {key}, fold, role, event_id, event_date, series_id, x1, x2, {y} AS y, {e} AS label_end FROM mem WHERE {y} IS NOT NULL" for v, (y, e) in zip(values, cols))
+    return f"""
+lg AS ({union}),
+lf AS (SELECT {key}, fold, min(event_date) AS ftd FROM lg WHERE role = 'test' GROUP BY 1, 2),
+lp AS (SELECT lg.* FROM lg JOIN lf USING ({key}, fold) WHERE role = 'test' OR label_end IS NULL OR label_end < ftd),
+lm AS (SELECT {key}, fold, coalesce(median(x1), 0) AS m1, coalesce(median(x2), 0) AS m2 FROM lp WHERE role = 'train' GROUP BY 1, 2),
+lr AS (SELECT {key}, fold, role, event_id, event_date, series_id, y, label_end, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2 FROM lp JOIN lm USING ({key}, fold))"""
 
 
-@query("l09_log_duration_model")
+SQL_GRID = _sql_long(oc.RETURN_HORIZONS, "horizon", [(f"y1_{h}", f"y1_{h}_end") for h in oc.RETURN_HORIZONS])
+
+
+@query("l06_l11_grid_ablation", ctes(SQL_MEM, SQL_GRID, _ridge_sql("lr", ("horizon", "fold"), blocks=("both", "x1", "x2")), """
+gp AS (SELECT horizon, block, y AS y_true, ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 AS y_pred FROM lr JOIN fit USING (horizon, fold) WHERE role = 'test')""") + f"""
+SELECT CAST(horizon AS INTEGER) AS horizon, block, count(*) AS n, {r("sqrt(avg((y_pred - y_true) ** 2))", 5, "rmse")}, {r("1 - sum((y_pred - y_true) ** 2) / (count(*) * var_pop(y_true))", 5, "r2")} FROM gp GROUP BY 1, 2""")
+def l06_l11_grid_ablation(spark, sf_dir):
+    """Horizon x feature block x fold grid of ridge fits, all from one scan, pooled per configuration."""
+    d, by = grid_rows(spark, sf_dir), ("horizon", "fold")
+    fits = md.ridge_walk_forward(d, XS, "y", "label_end", by=by, blocks=BLOCKS)
+    p = md.linear_predictions(d.where("role = 'test'"), fits, [*by], XS).withColumnRenamed("y", "y_true")
+    t = mt.regression_metrics(p, ["horizon", "block"])
+    return t.select("horizon", "block", "n", rnd("rmse", 5).alias("rmse"), rnd("r2", 5).alias("r2"))
+
+
+@query("l09_log_duration_model", ctes(SQL_MEM, """
+sl AS (SELECT m.*, s.date AS y3_end, ln(1 + m.duration) AS ly FROM mem m JOIN sess s ON s.series_id = m.series_id AND s.session_idx = least(m.session_idx + greatest(CAST(m.duration AS BIGINT) - 1, 0), m.last_idx)),
+sf AS (SELECT fold, min(event_date) AS ftd FROM sl WHERE role = 'test' GROUP BY 1),
+sp AS (SELECT sl.* FROM sl JOIN sf USING (fold) WHERE role = 'test' OR y3_end < ftd),
+sm AS (SELECT fold, coalesce(median(x1), 0) AS m1, coalesce(median(x2), 0) AS m2 FROM sp WHERE role = 'train' GROUP BY 1),
+sr AS (SELECT fold, role, event_id, event_date, duration, ly, y3_end, coalesce(x1, m1) AS x1, coalesce(x2, m2) AS x2 FROM sp JOIN sm USING (fold))""", _ridge_sql("sr", y="ly", end="y3_end")) + f"""
+SELECT fold, event_id, duration AS y_true, {r("greatest(least(exp(ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2) - 1, 90), 0)", 5, "y_pred")} FROM sr JOIN fit USING (fold) WHERE role = 'test'""")
 def l09_log_duration_model(spark, sf_dir):
     """Ridge on log1p of the recovery duration, mapped back and clipped to the cap."""
     m = fd.purge(members(spark, sf_dir).where("duration IS NOT NULL"), "event_date", "y3_end")
     d = fd.median_imputed(m, XS).withColumn("ly", F.log1p("duration"))
     fits = md.ridge_walk_forward(d, XS, "ly", "y3_end")
     p = md.linear_predictions(d.where("role = 'test'"), fits, ["fold"], XS, "_l")
-    return p.select("fold", "event_id", F.col("duration").alias("y_true"), F.greatest(F.least(F.expm1("_l"), F.lit(90.0)), F.lit(0.0)).alias("y_pred"))
+    return p.select("fold", "event_id", F.col("duration").alias("y_true"), rnd(F.greatest(F.least(F.expm1("_l"), F.lit(90.0)), F.lit(0.0)), 5).alias("y_pred"))
 
 
 @query("l10_pca_ridge")
@@ -329,27 +381,35 @@ def l14_panel_models(spark, sf_dir):
 
 
 
-@query("b03_event_block_bootstrap")
+@query("b03_event_block_bootstrap", ctes(SQL_OOF, """
+pr AS (SELECT m.target, strftime(m.event_date, '%Y-%m-%d') AS cluster, m.y_true, m.y_pred, b.y_pred AS y_base FROM oof m JOIN oof b USING (target, fold, event_id) WHERE m.model = 'ols' AND b.model = 'zero' AND m.target = 'ret5')""",
+       _draw_sql("pr", ["target"], "cluster", NB), _boot_sql(["target"])) + f"""
+SELECT target, n, {r("delta", name="delta")}, {r("lo", 5, "ci_low")}, {r("hi", 5, "ci_high")}, {r("p", name="p_worse")} FROM pt JOIN ci USING (target)""")
 def b03_event_block_bootstrap(spark, sf_dir):
-    """Panel errors resampled by event day, so a day's series stay together."""
+    """Errors resampled by event day, so a day's series stay together."""
     o = oof(spark, sf_dir).where("target = 'ret5'").withColumn("cluster", F.col("event_date").cast("string"))
     p = mt.paired(o.where(F.col("model").isin("ols", "zero")), ["target", "fold", "event_id"], "zero")
-    return rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", 500)
+    t = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", NB)
+    return t.select("target", "n", rnd("delta").alias("delta"), rnd("ci_low", 5).alias("ci_low"), rnd("ci_high", 5).alias("ci_high"), rnd("p_worse").alias("p_worse"))
 
 
-@query("b15_window_sensitivity")
+@query("b15_window_sensitivity", ctes(SQL_MEM, _sql_long(oc.VOLUME_WINDOWS, "window_", [(f"y2_{w}", f"vd{w}") for w in oc.VOLUME_WINDOWS]), _ridge_sql("lr", ("window_", "fold")), """
+bs AS (SELECT window_, fold, avg(y) AS y_base FROM lr WHERE role = 'train' GROUP BY 1, 2),
+pr AS (SELECT window_, series_id AS cluster, y AS y_true, ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 AS y_pred, y_base FROM lr JOIN fit USING (window_, fold) JOIN bs USING (window_, fold) WHERE role = 'test')""",
+       _draw_sql("pr", ["window_"], "cluster", NB), _boot_sql(["window_"]).replace("ON t.cluster = d.cluster", "ON t.window_ = d.window_ AND t.cluster = d.cluster")) + f"""
+SELECT CAST(window_ AS INTEGER) AS window_, n, {r("delta", 5, "delta")}, {r("lo", 4, "ci_low")}, {r("hi", 4, "ci_high")} FROM pt JOIN ci USING (window_)""")
 def b15_window_sensitivity(spark, sf_dir):
-    """Volume forecasts per response window against the train mean, clustered by series."""
-    out = None
-    for w in oc.VOLUME_WINDOWS:
-        y, end = f"y2_{w}", f"y2_{w}_end"
-        m = fd.median_imputed(fd.purge(members(spark, sf_dir).where(F.col(y).isNotNull()), "event_date", end), XS).withColumn("_y", F.col(y))
-        fits = md.ridge_walk_forward(m, XS, "_y", end)
-        base = m.where("role = 'train'").groupBy("fold").agg(F.avg("_y").alias("y_base"))
-        p = md.linear_predictions(m.where("role = 'test'"), fits, ["fold"], XS).join(F.broadcast(base), "fold")  # one row per fold
-        p = p.select("event_id", F.col("series_id").alias("cluster"), F.col("_y").alias("y_true"), "y_pred", "y_base").withColumn("window", F.lit(w))
-        out = p if out is None else out.unionByName(p)
-    return rs.paired_bootstrap(rs.error_terms(out, ["window"], "cluster"), ["window"], "cluster", 500)
+    """Volume forecasts per response window against the train mean, clustered by series, in one pass."""
+    m, by = members(spark, sf_dir), ("window_", "fold")
+    cells = F.array(*[F.struct(F.lit(w).alias("window_"), F.col(f"y2_{w}").alias("y"), F.col(f"y2_{w}_end").alias("label_end")) for w in oc.VOLUME_WINDOWS])
+    long = m.select("fold", "role", "event_id", "event_date", "series_id", *XS, F.explode(cells).alias("_c")).select("*", "_c.*").drop("_c").where("y IS NOT NULL")
+    d = stage(fd.median_imputed(fd.purge(long, "event_date", "label_end", by), XS, by), "window_rows")
+    fits = md.ridge_walk_forward(d, XS, "y", "label_end", by=by)
+    base = d.where("role = 'train'").groupBy(*by).agg(F.avg("y").alias("y_base"))
+    p = md.linear_predictions(d.where("role = 'test'"), fits, [*by], XS).join(F.broadcast(base), [*by])  # one row per window and fold
+    p = p.select("window_", F.col("series_id").alias("cluster"), F.col("y").alias("y_true"), "y_pred", "y_base")
+    t = rs.paired_bootstrap(rs.error_terms(p, ["window_"], "cluster"), ["window_"], "cluster", NB)
+    return t.select("window_", "n", rnd("delta", 5).alias("delta"), rnd("ci_low", 4).alias("ci_low"), rnd("ci_high", 4).alias("ci_high"))
 
 
 CHECKS = ["all", "exact_status", "building_only", "outside_crisis", "no_such_type"]

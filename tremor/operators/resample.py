@@ -55,6 +55,23 @@ def paired_bootstrap(terms: DataFrame, by: list[str], cluster: str, n_boot: int,
     )
 
 
+def metric_bootstrap(df: DataFrame, by: list[str], cluster: str, terms: dict[str, Column], metric, n_boot: int,
+                     seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Interval of any metric given as additive row terms and a function of their totals.
+
+    ``metric`` maps a lookup of total columns to a column, so the whole bootstrap is
+    one aggregation over cluster sums.
+    """
+    per = df.groupBy(*by, cluster).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{k}") for k, c in terms.items()])
+    draws = cluster_draws(per.select(*by, cluster), by, cluster, n_boot, seed)
+    total = lambda w: lambda k: F.sum(F.col(f"_t_{k}") if w is None else w * F.col(f"_t_{k}"))
+    dist = per.join(draws, [*by, cluster]).groupBy(*by, "b").agg(metric(total(F.col("w"))).alias("_v")).where(F.col("_v").isNotNull())
+    ci = dist.groupBy(*by).agg(F.percentile("_v", alpha / 2).alias("_l"), F.percentile("_v", 1 - alpha / 2).alias("_h"))
+    point = per.groupBy(*by).agg(F.sum("_n").alias("n"), metric(total(None)).alias("value"))
+    ok = F.col("n") >= MIN_ROWS
+    return point.join(ci, by).select(*by, "n", "value", F.when(ok, F.col("_l")).alias("ci_low"), F.when(ok, F.col("_h")).alias("ci_high"))
+
+
 def holm(df: DataFrame, family: list[str], p: str, key: list[str], out: str = "p_holm") -> DataFrame:
     """Step-down adjusted p per family; a missing p counts as 1. Families are comparisons, not rows of data."""
     x = F.coalesce(F.col(p), F.lit(1.0))

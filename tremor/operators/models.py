@@ -48,10 +48,12 @@ def ridge_from_moments(row, p: int, alpha: float):
     n, sx, sy, sxx, sxy, _ = _unpack(row, p)
     mx, my = sx / n, sy / n
     cov = sxx / n - np.outer(mx, mx)
-    sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
-    sd[sd == 0] = 1.0
+    var = np.diag(cov).copy()
+    flat = var <= 1e-12 * np.diag(sxx) / n  # constant column: rounding left-over, not spread
+    sd = np.sqrt(np.where(flat, 1.0, var))
+    cov[flat, :] = cov[:, flat] = 0.0
     lhs = n * cov / np.outer(sd, sd) + alpha * np.eye(p)
-    w = np.linalg.solve(lhs, n * (sxy / n - mx * my) / sd) / sd
+    w = np.linalg.solve(lhs, np.where(flat, 0.0, n * (sxy / n - mx * my)) / sd) / sd
     return my - float(w @ mx), w
 
 
@@ -284,12 +286,22 @@ def expanding_ridge(sessions: DataFrame, xs: list[str], h: int, alpha: float = 1
         ready = ready.where(F.col(x).isNotNull())
 
     def solve(pdfs):
+        """All sessions of a batch at once: one stacked p x p solve."""
         for pdf in pdfs:
-            vals = []
-            for _, row in pdf.iterrows():
-                b0, b = ridge_from_moments(row, p, alpha)
-                vals.append(b0 + float(b @ np.array([row[x] for x in xs])))
-            yield pd.DataFrame({"series_id": pdf["series_id"], "session_idx": pdf["session_idx"], "expected": vals})
+            n = pdf["n"].to_numpy()
+            sx, sxy = (np.stack([pdf[f"{k}_{i}"].to_numpy() for i in range(p)], axis=1) for k in ("sx", "sxy"))
+            mx, my = sx / n[:, None], pdf["sy"].to_numpy() / n
+            cov = np.empty((len(pdf), p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    cov[:, i, j] = cov[:, j, i] = pdf[f"sxx_{i}_{j}"].to_numpy() / n - mx[:, i] * mx[:, j]
+            sd = np.sqrt(np.clip(np.diagonal(cov, axis1=1, axis2=2), 0.0, None))
+            sd[sd == 0] = 1.0
+            lhs = n[:, None, None] * cov / (sd[:, :, None] * sd[:, None, :]) + alpha * np.eye(p)
+            rhs = n[:, None] * (sxy / n[:, None] - mx * my[:, None]) / sd
+            w = np.linalg.solve(lhs, rhs[:, :, None])[:, :, 0] / sd
+            x = np.stack([pdf[c].to_numpy() for c in xs], axis=1)
+            yield pd.DataFrame({"series_id": pdf["series_id"], "session_idx": pdf["session_idx"], "expected": my + ((x - mx) * w).sum(axis=1)})
 
     return ready.mapInPandas(solve, "series_id string, session_idx long, expected double")
 

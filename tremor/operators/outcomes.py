@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from tremor.functions.ordered import exact_quantiles
 from tremor.functions.scalars import log_ratio_pct
 from tremor.operators.calendar import event_days, sessions_to_next, usable_origins
-from tremor.operators.series import W_SERIES
+from tremor.operators.series import w_series
 
 # Protocol horizons and windows, in sessions.
 RETURN_HORIZONS = (1, 5, 10, 15, 20)
@@ -22,22 +22,22 @@ WINSOR = (0.05, 0.95)
 
 def forward_return(h: int) -> Column:
     """100 ln(P_h / P_0), null when the window runs off the series or a price is not positive."""
-    end, base = F.lead("close", h - 1).over(W_SERIES), F.lag("close").over(W_SERIES)
+    end, base = F.lead("close", h - 1).over(w_series()), F.lag("close").over(w_series())
     return F.when((end > 0) & (base > 0), 100.0 * F.log(end / base))
 
 
 def forward_return_end(h: int) -> Column:
-    return F.when(forward_return(h).isNotNull(), F.lead("date", h - 1).over(W_SERIES))
+    return F.when(forward_return(h).isNotNull(), F.lead("date", h - 1).over(w_series()))
 
 
 def volume_base() -> Column:
-    f = W_SERIES.rowsBetween(-BASELINE, -1)
+    f = w_series().rowsBetween(-BASELINE, -1)
     mean = F.avg("volume").over(f)
     return F.when((F.count("volume").over(f) == BASELINE) & (mean > 0), mean)
 
 
 def volume_future(w: int) -> Column:
-    f = W_SERIES.rowsBetween(0, w - 1)
+    f = w_series().rowsBetween(0, w - 1)
     mean = F.avg("volume").over(f)
     return F.when((F.count("volume").over(f) == w) & (mean > 0), mean)
 
@@ -48,9 +48,9 @@ def recovery_scan() -> list[Column]:
     The next CAP closes are one bounded array per session: first the position of a
     close below P0, then of a close at or above P0 after it.
     """
-    base = F.lag("close").over(W_SERIES)
-    ahead = F.collect_list(F.struct("close")).over(W_SERIES.rowsBetween(0, CAP - 1))
-    gate = F.min("close").over(W_SERIES.rowsBetween(0, GATE - 1))
+    base = F.lag("close").over(w_series())
+    ahead = F.collect_list(F.struct("close")).over(w_series().rowsBetween(0, CAP - 1))
+    gate = F.min("close").over(w_series().rowsBetween(0, GATE - 1))
     return [base.alias("p0"), gate.alias("_gate"), ahead.alias("_ahead")]
 
 
@@ -68,7 +68,7 @@ def session_outcomes(
         *[forward_return_end(h).alias(f"y1_{h}_end") for h in horizons],
         volume_base().alias("v_base"),
         *[volume_future(w).alias(f"_vf{w}") for w in windows],
-        *[F.lead("date", w - 1).over(W_SERIES).alias(f"_vd{w}") for w in windows],
+        *[F.lead("date", w - 1).over(w_series()).alias(f"_vd{w}") for w in windows],
         *recovery_scan(),
         F.max("session_idx").over(W.partitionBy("series_id")).alias("last_idx"),
     )
@@ -169,7 +169,7 @@ def winsorised(df: DataFrame, value: str, out: str, quantiles=WINSOR) -> DataFra
 
 def expected_return(h: int) -> Column:
     """100 (h alpha + beta sum of the factor over the window), null on any missing factor."""
-    f = W_SERIES.rowsBetween(0, h - 1)
+    f = w_series().rowsBetween(0, h - 1)
     total = F.sum("factor_ret").over(f)
     return F.when(
         F.count("factor_ret").over(f) == h,
@@ -184,7 +184,7 @@ def abnormal_returns(fitted: DataFrame, horizons=RETURN_HORIZONS) -> DataFrame:
         value = forward_return(h) - expected_return(h)
         cols += [
             value.alias(f"ab_{h}"),
-            F.when(value.isNotNull(), F.lead("date", h - 1).over(W_SERIES)).alias(f"ab_{h}_end"),
+            F.when(value.isNotNull(), F.lead("date", h - 1).over(w_series())).alias(f"ab_{h}_end"),
         ]
     return fitted.select(
         "series_id", "date", "session_idx", "fit_alpha", "fit_beta", "fit_sigma",

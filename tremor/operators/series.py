@@ -10,15 +10,18 @@ from pyspark.sql.window import Window as W
 
 from tremor.functions.scalars import ratio, safe_ln
 
-W_SERIES = W.partitionBy("series_id").orderBy("date")
+def w_series():
+    """Window over one series in date order; built on use, as it needs a session."""
+    return W.partitionBy("series_id").orderBy("date")
+
 
 
 def _prior(w: int):
-    return W_SERIES.rowsBetween(-w, -1)
+    return w_series().rowsBetween(-w, -1)
 
 
 def log_return(price: str = "close") -> Column:
-    return F.log(F.col(price) / F.lag(price).over(W_SERIES))
+    return F.log(F.col(price) / F.lag(price).over(w_series()))
 
 
 def full_mean(c: str, w: int) -> Column:
@@ -30,32 +33,34 @@ def full_std(c: str, w: int) -> Column:
     return F.when(F.count(c).over(_prior(w)) == w, F.stddev_samp(c).over(_prior(w)))
 
 
-def ema(c: str, span: int) -> Column:
-    """Exponential mean of the rows before this one, seeded by the oldest row.
+def ema_depth(span: int) -> int:
+    """Rows beyond which a weight is below 1e-17, so cutting there keeps double precision."""
+    return math.ceil(math.log(1e-17) / math.log(1.0 - 2.0 / (span + 1.0)))
 
-    The recursion is unrolled over a bounded frame: beyond it a row's weight is
-    below 1e-17, so the result equals the full recursion in double precision.
-    """
+
+def ema(history: str, span: int) -> Column:
+    """Exponential mean of an array of prior values (oldest first), seeded by the oldest used."""
     a = 2.0 / (span + 1.0)
-    depth = math.ceil(math.log(1e-17) / math.log(1.0 - a))
-    rows = F.collect_list(c).over(_prior(depth))
-    rest = F.slice(rows, 2, depth)
-    value = F.aggregate(rest, F.element_at(rows, 1), lambda acc, x: acc * (1.0 - a) + x * a)
-    return F.when(F.count(c).over(_prior(span)) == span, value)
+    depth = ema_depth(span)
+    size = F.size(history)
+    used = F.slice(history, F.greatest(size - depth + 1, F.lit(1)), F.lit(depth))
+    value = F.aggregate(F.slice(used, 2, depth), F.element_at(used, 1), lambda acc, x: acc * (1.0 - a) + x * a)
+    return F.when(size >= span, value)
 
 
 def market_features(sessions: DataFrame) -> DataFrame:
     """Return lags, moving means, volatility and the volume block, per session."""
-    df = sessions.withColumn("log_return", log_return())
-    lags = [F.lag("log_return", k).over(W_SERIES).alias(f"lag_return_{k}") for k in (1, 2, 3, 5)]
+    deepest = max(ema_depth(w) for w in (5, 10, 20))
+    df = sessions.withColumn("log_return", log_return()).withColumn("_hist", F.collect_list("close").over(_prior(deepest)))
+    lags = [F.lag("log_return", k).over(w_series()).alias(f"lag_return_{k}") for k in (1, 2, 3, 5)]
     df = df.select(
         "*",
         *lags,
-        F.lag("close").over(W_SERIES).alias("_p"),
-        F.lag("volume").over(W_SERIES).alias("_v"),
-        F.lag("volume", 2).over(W_SERIES).alias("_v2"),
+        F.lag("close").over(w_series()).alias("_p"),
+        F.lag("volume").over(w_series()).alias("_v"),
+        F.lag("volume", 2).over(w_series()).alias("_v2"),
         *[full_mean("close", w).alias(f"sma_{w}") for w in (5, 10, 20)],
-        *[ema("close", w).alias(f"ema_{w}") for w in (5, 10, 20)],
+        *[ema("_hist", w).alias(f"ema_{w}") for w in (5, 10, 20)],
         *[full_std("log_return", w).alias(f"rolling_std_{w}") for w in (5, 10, 20, 30)],
         (F.col("log_return") * F.col("log_return")).alias("squared_return"),
         *[full_mean("volume", w).alias(f"_vm{w}") for w in (5, 10, 30)],
@@ -74,7 +79,7 @@ def market_features(sessions: DataFrame) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, cols: list[str]) -> DataFrame:
-    w = W_SERIES.rowsBetween(W.unboundedPreceding, 0)
+    w = w_series().rowsBetween(W.unboundedPreceding, 0)
     return df.select(
         *[c for c in df.columns if c not in cols],
         *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols],
@@ -90,7 +95,7 @@ def realised_volatility(c: str = "log_return", w: int = 20, least: int = 5) -> C
 
 def regime_features(sessions: DataFrame) -> DataFrame:
     """Momentum, 20-session drawdown and volume ratio at the close before each session."""
-    last = F.lag("close").over(W_SERIES)
+    last = F.lag("close").over(w_series())
     closes = F.collect_list("close").over(_prior(20))
     # running peak and worst drop from it, in one pass over at most 20 values
     worst = F.aggregate(
@@ -107,7 +112,7 @@ def regime_features(sessions: DataFrame) -> DataFrame:
         "date",
         "session_idx",
         *[
-            (last / F.lag("close", k + 1).over(W_SERIES) - 1).alias(f"momentum_{k}")
+            (last / F.lag("close", k + 1).over(w_series()) - 1).alias(f"momentum_{k}")
             for k in (5, 10, 20)
         ],
         F.when(F.count("close").over(_prior(20)) == 20, worst).alias("max_drawdown_20"),
@@ -118,32 +123,33 @@ def regime_features(sessions: DataFrame) -> DataFrame:
 def market_model(df: DataFrame, y: str, x: str, window: int = 250, least: int = 60) -> DataFrame:
     """Single-factor fit on the ``window`` sessions before each session.
 
-    The frame is counted in rows; rows with a missing side are then skipped. Adds
-    fit_alpha, fit_beta, fit_sigma (ddof 2), fit_n, factor_mean, factor_ss.
+    The frame is counted in rows; rows with a missing side are then skipped. Window
+    moments are differences of running sums of values centred on the series mean, so
+    the cost per row does not depend on the window. Adds fit_alpha, fit_beta,
+    fit_sigma (ddof 2), fit_n, factor_mean, factor_ss.
     """
-    f = _prior(window)
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    df = df.withColumn("_y", F.when(both, F.col(y))).withColumn("_x", F.when(both, F.col(x)))
-    df = df.select(
-        "*",
-        F.regr_count("_y", "_x").over(f).alias("_n"),
-        F.regr_sxx("_y", "_x").over(f).alias("_sxx"),
-        F.regr_sxy("_y", "_x").over(f).alias("_sxy"),
-        F.regr_syy("_y", "_x").over(f).alias("_syy"),
-        F.regr_avgx("_y", "_x").over(f).alias("_mx"),
-        F.regr_avgy("_y", "_x").over(f).alias("_my"),
-    )
-    ok = (F.col("_n") >= least) & (F.col("_sxx") > 0)
-    beta = F.col("_sxy") / F.col("_sxx")
-    sse = F.greatest(F.col("_syy") - beta * F.col("_sxy"), F.lit(0.0))
+    whole = W.partitionBy("series_id")
+    df = df.withColumn("_my", F.avg(F.when(both, F.col(y))).over(whole)).withColumn("_mx", F.avg(F.when(both, F.col(x))).over(whole))
+    cy, cx = F.when(both, F.col(y) - F.col("_my")), F.when(both, F.col(x) - F.col("_mx"))
+    upto = w_series().rowsBetween(W.unboundedPreceding, -1)
+    parts = {"n": F.when(both, F.lit(1.0)), "y": cy, "x": cx, "yy": cy * cy, "xx": cx * cx, "xy": cx * cy}
+    df = df.select("*", *[F.coalesce(F.sum(e).over(upto), F.lit(0.0)).alias(f"_r{k}") for k, e in parts.items()])
+    df = df.select("*", *[(F.col(f"_r{k}") - F.coalesce(F.lag(f"_r{k}", window).over(w_series()), F.lit(0.0))).alias(f"_w{k}") for k in parts])
+    n = F.nullif(F.col("_wn"), F.lit(0.0))
+    mx, my = F.col("_wx") / n, F.col("_wy") / n
+    sxx, sxy, syy = F.col("_wxx") - n * mx * mx, F.col("_wxy") - n * mx * my, F.col("_wyy") - n * my * my
+    ok = (n >= least) & (sxx > 1e-14)
+    beta = sxy / F.when(ok, sxx)
+    sse = F.greatest(syy - beta * sxy, F.lit(0.0))
     return df.select(
         *[c for c in df.columns if not c.startswith("_")],
-        F.when(ok, F.col("_my") - beta * F.col("_mx")).alias("fit_alpha"),
+        F.when(ok, my + F.col("_my") - beta * (mx + F.col("_mx"))).alias("fit_alpha"),
         F.when(ok, beta).alias("fit_beta"),
-        F.when(ok, F.sqrt(sse / F.greatest(F.col("_n") - 2, F.lit(1)))).alias("fit_sigma"),
-        F.when(ok, F.col("_n")).cast("long").alias("fit_n"),
-        F.when(ok, F.col("_mx")).alias("factor_mean"),
-        F.when(ok, F.col("_sxx")).alias("factor_ss"),
+        F.when(ok, F.sqrt(sse / F.greatest(n - 2, F.lit(1.0)))).alias("fit_sigma"),
+        F.when(ok, n).cast("long").alias("fit_n"),
+        F.when(ok, mx + F.col("_mx")).alias("factor_mean"),
+        F.when(ok, sxx).alias("factor_ss"),
     )
 
 

@@ -131,14 +131,14 @@ def harrell_c(df: DataFrame, by: list[str], t: str, event: str, score: str) -> D
 
 def censoring_curve(df: DataFrame, by: list[str], t: str, event: str) -> DataFrame:
     """G(t): Kaplan-Meier of the censoring time."""
-    return km_curve(df, by, t, F.col(event) == 0).select(*by, "t", F.col("surv").alias("g"))
+    return km_curve(df, by, t, F.col(event) == 0).select(*by, "t", F.col("surv").alias("cens_surv"))
 
 
 def uno_c(df: DataFrame, by: list[str], t: str, event: str, score: str) -> DataFrame:
     """C weighted by the squared inverse censoring survival at the event time."""
     per = concordance_by_time(df, by, t, event, score, False)
     g = censoring_curve(df, by, t, event).withColumn("d", F.col("t").cast("int")).drop("t")
-    w = F.pow(1.0 / F.greatest(F.col("g"), F.lit(FLOOR_TRAPEZOID)), 2)
+    w = F.pow(1.0 / F.greatest(F.col("cens_surv"), F.lit(FLOOR_TRAPEZOID)), 2)
     return per.join(g, [*by, "d"]).groupBy(*by).agg(
         (F.sum(w * F.col("wins")) / F.nullif(F.sum(w * F.col("pairs")), F.lit(0.0))).alias("uno_c")
     )
@@ -147,8 +147,8 @@ def uno_c(df: DataFrame, by: list[str], t: str, event: str, score: str) -> DataF
 def brier_by_time(df: DataFrame, by: list[str], t: str, event: str, probs: dict[int, str], floor: float) -> DataFrame:
     """Censoring-weighted Brier score of P(T <= time) per (by, time)."""
     g = censoring_curve(df, by, t, event)
-    g_at = at_times(g, by, probs.keys(), {"g": 1.0}).withColumnRenamed("g", "g_at")
-    own = g.select(*by, F.col("t").alias(t), F.col("g").alias("_g"))  # at most the cap's rows per group
+    g_at = at_times(g, by, probs.keys(), {"cens_surv": 1.0}).withColumnRenamed("cens_surv", "g_at")
+    own = g.select(*by, F.col("t").alias(t), F.col("cens_surv").alias("_g"))  # at most the cap's rows per group
     long = df.select(
         *by, t, event,
         F.explode(F.array(*[F.struct(F.lit(float(k)).alias("horizon"), F.col(c).alias("p")) for k, c in probs.items()])).alias("_x"),

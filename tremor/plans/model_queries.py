@@ -58,8 +58,9 @@ def _ridge_sql(src, keys=("fold",), y="y", end="label_end", blocks=("both",), ta
     """CTEs ending in ``fit{tag}``: standardised two-column ridge with purged inner splits."""
     t, k = tag, ", ".join(keys)
     on = f"({k})"
-    mom = f"""count(*)::DOUBLE AS n, avg(x1) AS a1, avg(x2) AS a2, avg({y}) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r,
-  covar_pop(x1, {y}) / stddev_pop(x1) AS c1, covar_pop(x2, {y}) / stddev_pop(x2) AS c2"""
+    mom = f"""count(*)::DOUBLE AS n, avg(x1) AS a1, avg(x2) AS a2, avg({y}) AS ay, CASE WHEN stddev_pop(x1) > 1e-9 THEN stddev_pop(x1) ELSE 1 END AS s1, CASE WHEN stddev_pop(x2) > 1e-9 THEN stddev_pop(x2) ELSE 1 END AS s2,
+  CASE WHEN stddev_pop(x1) > 1e-9 AND stddev_pop(x2) > 1e-9 THEN corr(x1, x2) ELSE 0 END AS r,
+  CASE WHEN stddev_pop(x1) > 1e-9 THEN covar_pop(x1, {y}) / stddev_pop(x1) ELSE 0 END AS c1, CASE WHEN stddev_pop(x2) > 1e-9 THEN covar_pop(x2, {y}) / stddev_pop(x2) ELSE 0 END AS c2"""
     w1 = "CASE block WHEN 'x1' THEN n * c1 / (n + alpha) WHEN 'x2' THEN 0 ELSE ((n + alpha) * n * c1 - n * r * n * c2) / ((n + alpha) ** 2 - n * n * r * r) END / s1"
     w2 = "CASE block WHEN 'x2' THEN n * c2 / (n + alpha) WHEN 'x1' THEN 0 ELSE ((n + alpha) * n * c2 - n * r * n * c1) / ((n + alpha) ** 2 - n * n * r * r) END / s2"
     return f"""
@@ -174,9 +175,16 @@ c AS (SELECT *, v12 / (s1 * s2) AS r, v1y / s1 AS c1, v2y / s2 AS c2 FROM mo WHE
 SELECT series_id, session_idx, {r("ay + ((n + 10) * n * c1 - n * r * n * c2) / ((n + 10) ** 2 - n * n * r * r) / s1 * (f1 - a1) + ((n + 10) * n * c2 - n * r * n * c1) / ((n + 10) ** 2 - n * n * r * r) / s2 * (f2 - a2)", 4, "expected")} FROM c""")
 def e10_stage_a_expected(spark, sf_dir):
     """Expected 5-session return from a ridge on all sessions settled before each session."""
-    f = features(spark, sf_dir)
-    z = f.select("series_id", "date", "session_idx", F.lag("log_return").over(sr.W_SERIES).alias("f1"), F.lag("price_to_sma_20").over(sr.W_SERIES).alias("f2"), oc.forward_return(5).alias("y"))
-    return md.expanding_ridge(z, ["f1", "f2"], 5).select("series_id", "session_idx", rnd("expected", 4).alias("expected"))
+    return stage_a(spark, sf_dir).select("series_id", "session_idx", rnd("expected", 4).alias("expected"))
+
+
+def stage_a(spark, sf_dir):
+    def build():
+        w = sr.w_series()
+        z = features(spark, sf_dir).select("series_id", "date", "session_idx", F.lag("log_return").over(w).alias("f1"), F.lag("price_to_sma_20").over(w).alias("f2"), oc.forward_return(5).alias("y"))
+        return md.expanding_ridge(z, ["f1", "f2"], 5)
+
+    return staged_once(spark, sf_dir, "stage_a", build)
 
 
 SQL_STAGE_A = """
@@ -197,12 +205,10 @@ rx AS (SELECT rw.*, e.expected, rw.y - e.expected AS resid FROM rw JOIN fo USING
 SELECT fold, event_id, {r("y", 4, "y_true")}, {r("expected", 4, "expected")}, {r("ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 + expected", 4, "y_pred")} FROM rx JOIN fit USING (fold) WHERE role = 'test'""")
 def e11_normal_plus_residual(spark, sf_dir):
     """Fit y minus its stage-A expectation, then add the expectation back."""
-    f = features(spark, sf_dir)
-    z = f.select("series_id", "date", "session_idx", F.lag("log_return").over(sr.W_SERIES).alias("f1"), F.lag("price_to_sma_20").over(sr.W_SERIES).alias("f2"), oc.forward_return(5).alias("y"))
-    expected = md.expanding_ridge(z, ["f1", "f2"], 5)
+    expected = stage_a(spark, sf_dir)
     ids = ordered(spark, sf_dir).select("event_id", "series_id", "session_idx")
     e = ids.join(expected, ["series_id", "session_idx"]).select("event_id", "expected")
-    d = rows(spark, sf_dir).join(e, "event_id").withColumn("resid", F.col("y") - F.col("expected"))
+    d = stage(rows(spark, sf_dir).join(e, "event_id").withColumn("resid", F.col("y") - F.col("expected")), "residual_rows")
     fits = md.ridge_walk_forward(d, XS, "resid", "label_end")
     p = md.linear_predictions(d.where("role = 'test'"), fits, ["fold"], XS, "_r")
     return p.select("fold", "event_id", rnd("y", 4).alias("y_true"), rnd("expected", 4).alias("expected"), rnd(F.col("_r") + F.col("expected"), 4).alias("y_pred"))

@@ -274,7 +274,7 @@ def j11_splice_series(spark, sf_dir):
 a AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 2) AS va FROM orders GROUP BY 1),
 b AS (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 2) AS vb FROM lineitem GROUP BY 1)""") + f"""
 SELECT count(*) AS n_overlap, CAST(sum(CASE WHEN abs(va - vb) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_exact,
-  {r("max(abs(va - vb))", 4, "max_abs_diff")}, {r("avg(abs(va - vb))", 4, "mean_abs_diff")}
+  {r("max(abs(va - vb))", 6, "max_abs_diff")}, {r("avg(abs(va - vb))", 6, "mean_abs_diff")}
 FROM a JOIN b USING (date)""")
 def j12_overlap_check(spark, sf_dir):
     a = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
@@ -282,8 +282,8 @@ def j12_overlap_check(spark, sf_dir):
     b = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(
         F.round(F.avg("l_extendedprice"), 2).alias("vb"))
     out = cal.overlap_check(a, b, ["date"], "va", "vb")
-    return out.select("n_overlap", "n_exact", rnd("max_abs_diff", 4).alias("max_abs_diff"),
-                      rnd("mean_abs_diff", 4).alias("mean_abs_diff"))
+    return out.select("n_overlap", "n_exact", rnd("max_abs_diff", 6).alias("max_abs_diff"),
+                      rnd("mean_abs_diff", 6).alias("mean_abs_diff"))
 
 
 @query("j15_unblocked_sessions", ctes(SQL_SESS, SQL_SHOCKS, SQL_ORIGIN) + """
@@ -442,8 +442,8 @@ FROM origin o JOIN win w ON w.series_id = o.series_id AND w.session_idx = o.sess
 def e03_drawdown_gate(spark, sf_dir):
     events, ses = shocks(spark, sf_dir), sessions(spark, sf_dir)
     gate = ses.select(
-        "series_id", "session_idx", F.lag("close").over(sr.W_SERIES).alias("p0"),
-        F.min("close").over(sr.W_SERIES.rowsBetween(0, oc.GATE - 1)).alias("gate_low"),
+        "series_id", "session_idx", F.lag("close").over(sr.w_series()).alias("p0"),
+        F.min("close").over(sr.w_series().rowsBetween(0, oc.GATE - 1)).alias("gate_low"),
     )
     days = cal.usable_origins(cal.event_days(events, ses)).join(gate, ["series_id", "session_idx"])
     return events.join(days, ["series_id", "event_date"]).select(

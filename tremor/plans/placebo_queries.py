@@ -24,7 +24,7 @@ from tremor.plans.forecast_queries import NB, SQL_OOF, _draw_sql, oof
 from tremor.plans.model_queries import SQL_ROWS, XS, rows
 from tremor.plans.outcome_queries import SQL_ALIGNED, SQL_FIT, features, fitted
 from tremor.plans.registry import ctes, query, r
-from tremor.session import staged_once
+from tremor.session import stage, staged_once
 from tremor.sources.adapters import SQL_SHOCKS, factor, sessions, shocks
 
 # Fixed value: severity from which an event counts as severe here.
@@ -52,6 +52,10 @@ def origin_context(spark, sf_dir):
     return o.join(context(spark, sf_dir).withColumnRenamed("session_idx", "origin").select("series_id", "origin", "vol", "month", "year"), ["series_id", "origin"])
 
 
+def matched(spark, sf_dir):
+    return staged_once(spark, sf_dir, "matched", lambda: pb.matched_placebos(origin_context(spark, sf_dir), free_sessions(spark, sf_dir)))
+
+
 def fitted50(spark, sf_dir):
     def build():
         a = cal.align_factor(sessions(spark, sf_dir), factor(spark, sf_dir)).withColumn("log_return", sr.log_return())
@@ -77,7 +81,7 @@ match AS (SELECT ma.series_id, ma.origin, ma.weight, coalesce(m, a) AS placebo F
 
 @query("j17_volatility_match", ctes(SQL_ALIGNED, SQL_FREE, SQL_MATCH) + " SELECT series_id, origin, placebo FROM match")
 def j17_volatility_match(spark, sf_dir):
-    return pb.matched_placebos(origin_context(spark, sf_dir), free_sessions(spark, sf_dir)).select("series_id", "origin", "placebo")
+    return matched(spark, sf_dir).select("series_id", "origin", "placebo")
 
 
 @query("v11_placebo_study", ctes(SQL_FIT, SQL_FREE, SQL_MATCH, """
@@ -90,7 +94,7 @@ scars AS (SELECT *, car / (fit_sigma * sqrt(nd + nd * nd / fit_n + cdev * cdev /
 SELECT CAST(k AS INTEGER) AS k, count(car) AS n_events, {r("avg(car)", 4, "caar")}, {r("avg(car) / (stddev_samp(car) / sqrt(count(car)))", 4, "t_cross")}, {r("sqrt(count(scar)) * avg(scar) / stddev_samp(scar)", 4, "t_bmp")} FROM scars GROUP BY 1""")
 def v11_placebo_study(spark, sf_dir):
     """The event study on matched placebo origins; rejections there measure test size."""
-    m = pb.matched_placebos(origin_context(spark, sf_dir), free_sessions(spark, sf_dir))
+    m = matched(spark, sf_dir)
     o = m.groupBy("series_id", F.col("placebo").alias("origin")).agg(F.sum("weight").alias("weight"))
     t = st.cross_section(st.standardised(st.cumulated(st.abnormal_panel(fitted(spark, sf_dir), o), -5), -5), [])
     return t.select("k", "n_events", *[rnd(c, 4).alias(c) for c in ("caar", "t_cross", "t_bmp")])
@@ -99,7 +103,7 @@ def v11_placebo_study(spark, sf_dir):
 @query("v11_rejection_rate")
 def v11_rejection_rate(spark, sf_dir):
     """Share of placebo event-time days with p below 5 %, per test."""
-    m = pb.matched_placebos(origin_context(spark, sf_dir), free_sessions(spark, sf_dir))
+    m = matched(spark, sf_dir)
     o = m.groupBy("series_id", F.col("placebo").alias("origin")).agg(F.sum("weight").alias("weight"))
     t = st.with_p_values(st.event_study_table(fitted(spark, sf_dir), o, []))
     return t.agg(*[F.avg((F.col(p) < 0.05).cast("double")).alias(f"reject_{p[2:]}") for p in ("p_cross", "p_bmp", "p_rank", "p_kp")], F.count("*").alias("n_days"))
@@ -154,7 +158,7 @@ pr AS (SELECT m.origin_type, y AS y_true, a + b * x AS y_pred FROM mem m JOIN ln
 SELECT origin_type, count(*) AS n, {r("sqrt(avg((y_pred - y_true) ** 2))", 4, "rmse")}, {r("avg(abs(y_pred - y_true))", 4, "mae")}, {r("1 - sum((y_pred - y_true) ** 2) / (count(*) * var_pop(y_true))", 4, "r2")} FROM pr GROUP BY 1""")
 def v13_matched_forecast(spark, sf_dir):
     """The same one-feature forecast on event origins and on their matched placebos."""
-    m = pb.matched_placebos(origin_context(spark, sf_dir), free_sessions(spark, sf_dir)).select("series_id", "origin", "placebo")
+    m = matched(spark, sf_dir).select("series_id", "origin", "placebo")
     # one integer per match, by series and origin, as the position tie-breaker
     per = m.groupBy("series_id").agg(F.count("*").alias("_n"))
     from pyspark.sql.window import Window as W
@@ -163,8 +167,8 @@ def v13_matched_forecast(spark, sf_dir):
     keyed = m.join(off, "series_id").withColumn("key", F.col("_o") + F.row_number().over(W.partitionBy("series_id").orderBy("origin")))
     both = keyed.withColumn("_x", F.explode(F.array(F.struct(F.lit("event").alias("origin_type"), F.col("origin").alias("session_idx")), F.struct(F.lit("placebo").alias("origin_type"), F.col("placebo").alias("session_idx")))))
     both = both.select("series_id", "key", "_x.*")
-    f = features(spark, sf_dir).select("series_id", "session_idx", "date", F.lag("log_return").over(sr.W_SERIES).alias("x"), oc.forward_return(5).alias("y"))
-    d = both.join(f, ["series_id", "session_idx"]).where("x IS NOT NULL AND y IS NOT NULL")
+    f = features(spark, sf_dir).select("series_id", "session_idx", "date", F.lag("log_return").over(sr.w_series()).alias("x"), oc.forward_return(5).alias("y"))
+    d = stage(both.join(f, ["series_id", "session_idx"]).where("x IS NOT NULL AND y IS NOT NULL"), "matched_rows")
     out = None
     for kind in ("event", "placebo"):
         rows_ = order_index(d.where(F.col("origin_type") == kind), "date", "key")

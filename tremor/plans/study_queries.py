@@ -85,7 +85,7 @@ SELECT 'market', CAST(k AS INTEGER), count(ar), {r("avg(ar)", 5)} FROM pan GROUP
 def v02_panel_variants(spark, sf_dir):
     """Mean abnormal value per k under three expectation models, from one joined panel."""
     f, o = fitted(spark, sf_dir), origins(spark, sf_dir)
-    lagged = f.withColumn("_lf", F.lag("factor_ret").over(sr.W_SERIES))
+    lagged = f.withColumn("_lf", F.lag("factor_ret").over(sr.w_series()))
     zero = f.withColumn("fit_alpha", F.when(F.col("fit_alpha").isNotNull(), F.lit(0.0))).withColumn(
         "fit_beta", F.when(F.col("fit_alpha").isNotNull(), F.lit(0.0)))
     out = None

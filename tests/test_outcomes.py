@@ -65,12 +65,12 @@ def test_next_event_censors_and_same_session_counts_one(spark):
     closes = [10000] * 30 + [9500] * 20 + [10100] * 60
     a, b = outcome(spark, closes, offsets=(30, 39))
     assert (a.t_next, a.duration, a.reason) == (10, 10.0, "next_disaster")
-    assert b.t_next is None and b.reason == "recovered"
+    assert b.t_next is None and b.reason == "no_drawdown"  # its own P0 is already the low
     first, second = outcome(spark, closes, offsets=(30, 30))
     assert first.t_next == 1 and second.t_next is None
 
 
-def test_late_recovery_tie_uses_the_cap_rule(spark):
+def test_no_recovery_at_the_cap_reports_the_cap(spark):
     # recovery at session 91 lies outside the scan, next event exactly at the cap
     closes = [10000] * 30 + [9500] * 90 + [10100] * 5
     a, _ = outcome(spark, closes, offsets=(30, 119))

@@ -101,9 +101,9 @@ def sessions_to_next(days_joined: DataFrame) -> DataFrame:
     own_next = F.when(F.col("event_id") < F.col("last_id"), F.col("session_idx")).otherwise(
         F.col("next_origin")
     )
-    return days_joined.withColumn(
-        "t_next", F.greatest(F.lit(0).cast("long"), own_next - F.col("session_idx") + 1)
-    )
+    gap = own_next - F.col("session_idx") + 1
+    # greatest() skips nulls, so a missing next event needs its own branch
+    return days_joined.withColumn("t_next", F.when(gap.isNotNull(), F.greatest(F.lit(0).cast("long"), gap)))
 
 
 def align_factor(sessions: DataFrame, factor: DataFrame) -> DataFrame:

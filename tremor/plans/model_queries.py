@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from tremor.functions.draws import cluster_draws, hash_unit
 from tremor.functions.ordered import order_index
+from tremor.functions import scalars as sc
 from tremor.functions.scalars import rnd
 from tremor.operators import diagnose as dg
 from tremor.operators import folds as fd
@@ -309,7 +310,7 @@ def l09_log_duration_model(spark, sf_dir):
     d = fd.median_imputed(m, XS).withColumn("ly", F.log1p("duration"))
     fits = md.ridge_walk_forward(d, XS, "ly", "y3_end")
     p = md.linear_predictions(d.where("role = 'test'"), fits, ["fold"], XS, "_l")
-    return p.select("fold", "event_id", F.col("duration").alias("y_true"), rnd(F.greatest(F.least(F.expm1("_l"), F.lit(90.0)), F.lit(0.0)), 5).alias("y_pred"))
+    return p.select("fold", "event_id", F.col("duration").alias("y_true"), rnd(sc.clip(F.expm1("_l"), 0.0, 90.0), 5).alias("y_pred"))
 
 
 @query("l10_pca_ridge")
@@ -332,7 +333,7 @@ def l12_final_refit_scoring(spark, sf_dir):
     model = PipelineModel.load(path)
     scen = o.withColumn("_s", F.explode(F.array(F.struct(F.lit("actual").alias("scenario"), F.col("severity").alias("sev")), F.struct(F.lit("double").alias("scenario"), (F.col("severity") * 2).alias("sev")))))
     scen = scen.select("event_id", *XS, "_s.scenario", F.col("_s.sev").alias("severity"))
-    return model.transform(scen).select("event_id", "scenario", F.greatest(F.least(F.col("prediction"), F.lit(100.0)), F.lit(-100.0)).alias("y_pred"))
+    return model.transform(scen).select("event_id", "scenario", sc.clip("prediction", -100.0, 100.0).alias("y_pred"))
 
 
 @query("q06_importance_ranking")
@@ -528,8 +529,8 @@ def d16_hurdle_model(spark, sf_dir):
             clf = LogisticRegression(labelCol="e", regParam=0.01, probabilityCol="pc", predictionCol="_c", rawPredictionCol="_r").fit(tr.withColumn("e", F.col("event_observed").cast("double")))
             reg = LinearRegression(labelCol="l", regParam=0.1, predictionCol="_l").fit(tr.where("event_observed = 1").withColumn("l", F.log1p("duration")))
             both = reg.transform(clf.transform(te))
-            p, dur = md.class_probability("pc"), F.greatest(F.least(F.expm1("_l"), F.lit(90.0)), F.lit(0.0))
-            t = both.withColumn("y_pred", F.greatest(F.least(p * dur + (1 - p) * 90.0, F.lit(90.0)), F.lit(0.0)))
+            p, dur = md.class_probability("pc"), sc.clip(F.expm1("_l"), 0.0, 90.0)
+            t = both.withColumn("y_pred", sc.clip(p * dur + (1 - p) * 90.0, 0.0, 90.0))
         t = t.select("fold", "event_id", F.col("duration").alias("y_true"), "y_pred")
         out = t if out is None else out.unionByName(t)
     return out

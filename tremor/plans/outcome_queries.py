@@ -67,7 +67,7 @@ ordered AS (
   FROM shocks s LEFT JOIN origin o USING (event_id)),
 ev AS (
   SELECT o.*, w.* EXCLUDE (series_id, session_idx),
-    greatest(0, o.next_idx - o.session_idx + 1) AS t_next
+    CASE WHEN o.next_idx IS NOT NULL THEN greatest(0, o.next_idx - o.session_idx + 1) END AS t_next
   FROM ordered o JOIN win w ON w.series_id = o.series_id AND w.session_idx = o.session_idx
   WHERE o.session_idx > 1),
 scan AS (
@@ -246,7 +246,7 @@ def j08_left_join_source_tag(spark, sf_dir):
 ordered AS (SELECT s.event_id, s.series_id, o.session_idx,
   lead(o.session_idx) OVER (PARTITION BY s.series_id ORDER BY s.event_date, s.event_id) AS next_idx
   FROM shocks s LEFT JOIN origin o USING (event_id))""") + """
-SELECT event_id, session_idx, CAST(greatest(0, next_idx - session_idx + 1) AS DOUBLE) AS t_next FROM ordered WHERE session_idx > 1""")
+SELECT event_id, session_idx, CAST(CASE WHEN next_idx IS NOT NULL THEN greatest(0, next_idx - session_idx + 1) END AS DOUBLE) AS t_next FROM ordered WHERE session_idx > 1""")
 def j10_competing_event(spark, sf_dir):
     events = shocks(spark, sf_dir)
     days = cal.usable_origins(cal.event_days(events, sessions(spark, sf_dir)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremor.functions import scalars as sc
 from tremor.functions.scalars import rnd
 from tremor.operators import folds as fd
 from tremor.operators import metrics as mt
@@ -35,7 +36,7 @@ def predictions(spark, sf_dir):
         med = sv.median_time(curve, ["fold"])
         line = train.groupBy("fold").agg(F.regr_slope("duration", "x1").alias("_b"), F.regr_intercept("duration", "x1").alias("_a"))
         per_fold = steps.join(med, "fold").join(line, "fold")  # one row per fold
-        t = test.join(F.broadcast(per_fold), "fold").withColumn("_l", F.greatest(F.least(F.col("_a") + F.col("_b") * F.col("x1"), F.lit(90.0)), F.lit(0.0)))
+        t = test.join(F.broadcast(per_fold), "fold").withColumn("_l", sc.clip(F.col("_a") + F.col("_b") * F.col("x1"), 0.0, 90.0))
         km = F.struct(F.lit("km_train").alias("model"), F.col("median").alias("pred_median"), *[F.col(c).alias(c) for c in PROBS.values()])
         step = F.struct(F.lit("median_step").alias("model"), F.col("median").alias("pred_median"), *[(F.col("median") <= float(k)).cast("double").alias(c) for k, c in PROBS.items()])
         lin = F.struct(F.lit("line").alias("model"), F.col("_l").alias("pred_median"), *[(1 / (1 + F.exp((F.col("_l") - float(k)) / 20))).alias(c) for k, c in PROBS.items()])

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tremor.session import stage
+
 INF = float("inf")
 
 
@@ -40,7 +42,9 @@ def running_sums(
     ``df`` holds one row per (by, value). The offset window sees at most ``buckets``
     rows per group; the inner window sees one bucket of one group.
     """
-    parted = with_bucket(df.where(F.col(value).isNotNull()), value, buckets)
+    # computed once: the cut points and both passes below read the same table
+    df = stage(df.where(F.col(value).isNotNull()), "runs")
+    parted = with_bucket(df, value, buckets)
     per_bucket = parted.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)

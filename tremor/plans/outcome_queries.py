@@ -271,19 +271,19 @@ def j11_splice_series(spark, sf_dir):
 
 
 @query("j12_overlap_check", ctes("""
-a AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 2) AS va FROM orders GROUP BY 1),
-b AS (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 2) AS vb FROM lineitem GROUP BY 1)""") + f"""
+a AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 6) AS va FROM orders GROUP BY 1),
+b AS (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice), 6) AS vb FROM lineitem GROUP BY 1)""") + f"""
 SELECT count(*) AS n_overlap, CAST(sum(CASE WHEN abs(va - vb) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_exact,
-  {r("max(abs(va - vb))", 6, "max_abs_diff")}, {r("avg(abs(va - vb))", 6, "mean_abs_diff")}
+  {r("max(abs(va - vb))", 3, "max_abs_diff")}, {r("avg(abs(va - vb))", 3, "mean_abs_diff")}
 FROM a JOIN b USING (date)""")
 def j12_overlap_check(spark, sf_dir):
     a = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        F.round(F.avg("o_totalprice"), 2).alias("va"))
+        F.round(F.avg("o_totalprice"), 6).alias("va"))
     b = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        F.round(F.avg("l_extendedprice"), 2).alias("vb"))
+        F.round(F.avg("l_extendedprice"), 6).alias("vb"))
     out = cal.overlap_check(a, b, ["date"], "va", "vb")
-    return out.select("n_overlap", "n_exact", rnd("max_abs_diff", 6).alias("max_abs_diff"),
-                      rnd("mean_abs_diff", 6).alias("mean_abs_diff"))
+    return out.select("n_overlap", "n_exact", rnd("max_abs_diff", 3).alias("max_abs_diff"),
+                      rnd("mean_abs_diff", 3).alias("mean_abs_diff"))
 
 
 @query("j15_unblocked_sessions", ctes(SQL_SESS, SQL_SHOCKS, SQL_ORIGIN) + """

@@ -1,0 +1 @@
+"""No streaming operator is needed: the study is a batch over daily series."""

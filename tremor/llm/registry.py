@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("bpe",)
+MODULES = ("bpe", "embed_dedup", "mixing", "langid", "simhash")
 
 
 def query(name: str, sql: str | None = None):

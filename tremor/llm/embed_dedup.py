@@ -105,12 +105,13 @@ def _cell_batches(batches):
 def _linked(left, right=None):
     """Verified links of a block: (kind, a, b) rows; kind 0 adds b links to a, kind 1 joins a and b.
 
-    A side is (ids, counts, units, cells, cell): own cells sorted, and the cell that it stands in here.
+    A side is (ids, counts, units, cells, cell, chunk): own cells sorted, the cell that it stands in
+    here, and which of the cell's groups this is.
     """
     own = right is None
     right = left if own else right
     close = left[2] @ right[2].T >= COSINE
-    close &= left[4][:, None] == right[4][None, :]
+    close &= (left[4][:, None] == right[4][None, :]) & (left[5][:, None] == right[5][None, :])
     a, b = np.nonzero(np.triu(close, 1) if own else close)
     if not len(a):
         return
@@ -141,7 +142,7 @@ def _link_batches(batches):
     def groups(cols, starts, ends):
         nonlocal pool, pooled
         for s, e in zip(starts, ends, strict=True):
-            side = [x[s:e] for x in cols[4:]] + [cols[0][s:e]]
+            side = [x[s:e] for x in cols[4:]] + [cols[0][s:e], cols[1][s:e]]
             if cols[1][s] != cols[2][s]:
                 at_i = cols[3][s:e] == cols[1][s]
                 yield from _linked([x[at_i] for x in side], [x[~at_i] for x in side])
@@ -225,7 +226,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
 links AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,

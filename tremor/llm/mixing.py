@@ -147,6 +147,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return copies(stage(sized, "mix-sized"))
 
 
+def repeat_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; rows with one id and size are taken alike."""
+    taken = mix(docs).where("n_copies > 0").select("doc_id", "size", "n_copies").distinct().toDF("_id", "_size", "_n")
+    rows = docs.withColumn("_words", n_words(F.col("text")))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+
+
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))

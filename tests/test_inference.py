@@ -15,8 +15,8 @@ from tremor.operators import survival as sv
 
 
 def test_reference_geometry(spark):
-    df = spark.range(74).select(F.col("id").alias("ord"))
-    geo = fd.scaled_geometry(74)
+    df = spark.range(74).select(F.col("id").alias("ord"), F.col("id").alias("pos"))
+    geo = fd.Geometry(74)
     m = fd.fold_membership(df, geo)
     test = [r.ord for r in m.where("role = 'test'").collect()]
     assert geo.n_folds == 4 and len(test) == 40 and len(set(test)) == 40
@@ -27,6 +27,21 @@ def test_reference_geometry(spark):
     assert late.count() == 0
 
 
+def test_more_rows_leave_earlier_folds_alone(spark):
+    df = spark.range(200).select(F.col("id").alias("ord"), F.col("id").alias("pos"))
+    keep = lambda n: {tuple(r) for r in fd.fold_membership(df.where(F.col("ord") < n), fd.Geometry(n)).select("fold", "role", "ord").collect()}
+    a, b = keep(74), keep(200)
+    assert a == {r for r in b if r[0] < fd.Geometry(74).n_folds}
+    days = spark.createDataFrame([(i, date(2000, 1, 15) + timedelta(days=9 * i)) for i in range(300)], "id long, day date")
+
+    def by_month(n):
+        return {tuple(r) for r in fd.fold_membership(*fd.month_positions(days.where(F.col("id") < n), "day")).select("fold", "role", "id").collect()}
+
+    a, b = by_month(250), by_month(300)
+    last = max(r[0] for r in a)
+    assert {r for r in a if r[0] < last} == {r for r in b if r[0] < last}
+
+
 def test_purge_and_median_fill(spark):
     d0 = date(2020, 1, 1)
     rows = [(0, "train" if i < 6 else "test", i, d0 + timedelta(days=i), d0 + timedelta(days=i + 3)) for i in range(10)]

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tremor.functions.ordered import order_index
+from tremor.functions.ordered import exact_quantiles, order_index
 
-# The reference geometry, 74 rows as 30 train, 10 test, step 10.
-GEOMETRY = (74, 30, 10)
+# The reference geometry, in units of the position column.
+TRAIN, TEST, STEP = 30, 10, 10
 
 
 @dataclass(frozen=True)
 class Geometry:
+    """Fold lengths in units of the position (rows, days or months); ``n`` positions only say how many folds fit."""
+
     n: int
-    train: int
-    test: int
-    step: int
+    train: int = TRAIN
+    test: int = TEST
+    step: int = STEP
 
     @property
     def n_folds(self) -> int:
@@ -27,21 +29,25 @@ class Geometry:
         return 0 if spare < 0 else spare // self.step + 1
 
 
-def scaled_geometry(n: int) -> Geometry:
-    """The fixed geometry stretched to n rows: the fold count stays put as data grows."""
-    base, train, test = GEOMETRY
-    if n < base:
-        return Geometry(n, train, test, test)
-    return Geometry(n, n * train // base, n * test // base, n * test // base)
+def month_positions(df: DataFrame, date: str, train: int = TRAIN, test: int = TEST, step: int = STEP) -> tuple[DataFrame, Geometry]:
+    """Adds ``pos``, months since the first one, and the geometry in months.
+
+    Folds follow from the calendar alone: more rows make folds fuller and later rows add folds, but
+    no earlier fold changes. Rows of one day never split between roles.
+    """
+    month = (F.year(date) * 12 + F.month(date)).cast("long")
+    first, last = df.agg(F.min(month), F.max(month)).first()  # two numbers
+    first, last = (0, -1) if first is None else (first, last)
+    return df.withColumn("pos", month - F.lit(first)), Geometry(last - first + 1, train, test, step)
 
 
 def _ceil_div(a: Column, b: int) -> Column:
     return F.ceil(a / F.lit(float(b))).cast("long")
 
 
-def fold_membership(ordered: DataFrame, geo: Geometry, ord_col: str = "ord", mode: str = "sliding") -> DataFrame:
-    """Adds (fold, role) by arithmetic on the row position; a row appears at most
-    once per fold, so the fan-out is the fold count."""
+def fold_membership(ordered: DataFrame, geo: Geometry, ord_col: str = "pos", mode: str = "sliding") -> DataFrame:
+    """Adds (fold, role) by arithmetic on the position; a row is in at most
+    (train + test) / step folds, or in every later one when expanding."""
     if mode not in ("sliding", "expanding"):
         raise ValueError(f"unknown mode {mode!r}")
     o, last = F.col(ord_col), F.lit(geo.n_folds - 1).cast("long")
@@ -77,14 +83,16 @@ def grouped_order(df: DataFrame, date: str) -> DataFrame:
     """Position by distinct day, so rows of one day never split between roles."""
     days = df.select(date).distinct()
     w = W.partitionBy(F.lit("days")).orderBy(date)  # one row per calendar day
-    return df.join(days.withColumn("ord", (F.row_number().over(w) - 1).cast("long")), date)
+    return df.join(days.withColumn("pos", (F.row_number().over(w) - 1).cast("long")), date)
 
 
 def train_medians(members: DataFrame, cols: list[str], by: tuple = ("fold",)) -> DataFrame:
     """Per fold, the train median of each column, 0 when all are missing."""
-    return members.where("role = 'train'").groupBy(*by).agg(
-        *[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(f"_med_{c}") for c in cols]
-    )
+    train = members.where("role = 'train'")
+    out = train.groupBy(*by).agg(F.count("*").alias("_rows")).drop("_rows")
+    for c in cols:
+        out = out.join(exact_quantiles(train, [*by], c, {f"_med_{c}": 0.5}).drop("n_total"), [*by], "left")
+    return out.select(*by, *[F.coalesce(F.col(f"_med_{c}"), F.lit(0.0)).alias(f"_med_{c}") for c in cols])
 
 
 def median_imputed(members: DataFrame, cols: list[str], by: tuple = ("fold",)) -> DataFrame:
@@ -96,13 +104,6 @@ def median_imputed(members: DataFrame, cols: list[str], by: tuple = ("fold",)) -
     )
 
 
-def inner_splits(n: int, want: int = 3) -> list[tuple[int, int]]:
-    """(train end, validation end) positions of an expanding inner split of n rows."""
-    k = max(2, min(want, n - 1))
-    size = n // (k + 1)
-    return [(n - (k - i) * size, n - (k - i - 1) * size) for i in range(k)]
-
-
 def inner_membership(train_rows: DataFrame, by: list[str], pos: str, count: str, date: str, label_end: str, k: int = 3,
                      least: int = 1) -> DataFrame:
     """Purged inner splits of every outer fold: (.., split, inner_role).
@@ -144,14 +145,13 @@ def leakage_audit(members: DataFrame, date: str, label_end: str) -> DataFrame:
 
 def baselines(members: DataFrame, target: str) -> DataFrame:
     """Per fold constants from train rows: zero, mean, median."""
-    return members.where((F.col("role") == "train") & F.col(target).isNotNull()).groupBy("fold").agg(
-        F.lit(0.0).alias("zero"), F.avg(target).alias("train_mean"), F.percentile(target, 0.5).alias("train_median"),
-        F.count("*").alias("n_train"),
-    )
+    train = members.where((F.col("role") == "train") & F.col(target).isNotNull())
+    means = train.groupBy("fold").agg(F.lit(0.0).alias("zero"), F.avg(target).alias("train_mean"), F.count("*").alias("n_train"))
+    return means.join(exact_quantiles(train, ["fold"], target, {"train_median": 0.5}).drop("n_total"), "fold")
 
 
 def ordered_events(df: DataFrame) -> tuple[DataFrame, Geometry]:
-    return order_index(df, "event_date", "event_id"), scaled_geometry(df.count())
+    return month_positions(order_index(df, "event_date", "event_id"), "event_date")
 
 
 def span_table(members: DataFrame, date: str, key: str) -> DataFrame:

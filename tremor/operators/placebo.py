@@ -10,6 +10,7 @@ from tremor.functions.draws import hash_unit
 from tremor.operators.calendar import unblocked_sessions
 from tremor.operators.outcomes import expected_return, forward_return
 from tremor.operators.series import log_return, realised_volatility
+from tremor.session import stage
 
 # Estimation history, forward need, volatility ratio, smallest matched pool.
 HISTORY = 250
@@ -93,11 +94,18 @@ def pools(origins: DataFrame, cands: DataFrame, cars: DataFrame, horizons=CAR_HO
 
 
 def randomisation(events: DataFrame, pooled: DataFrame, cars: DataFrame, n_draws: int, horizons=CAR_HORIZONS, seed: int = 42) -> DataFrame:
-    """Observed mean CAR against the means of one hashed placebo per event and draw."""
-    live = events.join(pooled.select("series_id", "origin", "pool"), ["series_id", "origin"])
+    """Observed mean CAR against the means of one hashed placebo per event and draw.
+
+    Candidates are numbered in a table of their own, so a draw carries the pool's size and a slot,
+    and meets the picked candidate in an equi-join.
+    """
+    pooled = stage(pooled.select("series_id", "origin", "pool"), "pools")
+    slots = pooled.select("series_id", "origin", F.posexplode("pool").alias("slot", "_c"))
+    live = events.join(pooled.select("series_id", "origin", F.size("pool").alias("_size")), ["series_id", "origin"])
     obs = live.join(cars.withColumnRenamed("session_idx", "origin"), ["series_id", "origin"]).agg(*[F.avg(f"car_{h}").alias(f"o_{h}") for h in horizons])
-    draws = live.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).withColumn(
-        "_c", F.element_at("pool", (F.floor(hash_unit(seed, F.col("event_id").cast("string"), "b") * F.size("pool")) + 1).cast("int")))
+    drawn = live.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).select(
+        "series_id", "origin", "b", F.floor(hash_unit(seed, F.col("event_id").cast("string"), "b") * F.col("_size")).cast("int").alias("slot"))
+    draws = drawn.join(slots, ["series_id", "origin", "slot"])
     dist = draws.groupBy("b").agg(*[F.avg(F.col(f"_c.car_{h}")).alias(f"d_{h}") for h in horizons])
     long = dist.withColumn("_k", F.lit(1)).join(obs.withColumn("_k", F.lit(1)), "_k").select(
         F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"d_{h}").alias("d"), F.col(f"o_{h}").alias("o")) for h in horizons])).alias("_x")).select("_x.*")

@@ -139,7 +139,7 @@ def market_model(df: DataFrame, y: str, x: str, window: int = 250, least: int =
     n = F.nullif(F.col("_wn"), F.lit(0.0))
     mx, my = F.col("_wx") / n, F.col("_wy") / n
     sxx, sxy, syy = F.col("_wxx") - n * mx * mx, F.col("_wxy") - n * mx * my, F.col("_wyy") - n * my * my
-    ok = (n >= least) & (sxx > 1e-14)
+    ok = (n >= least) & (sxx > 1e-12 * F.col("_wxx"))  # any spread beyond rounding, in whatever units
     beta = sxy / F.when(ok, sxx)
     sse = F.greatest(syy - beta * sxy, F.lit(0.0))
     return df.select(

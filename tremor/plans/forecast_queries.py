@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from tremor.functions import scalars as sc
 from tremor.functions.draws import cluster_draws
+from tremor.functions.ordered import exact_quantiles
 from tremor.functions.scalars import rnd
 from tremor.operators import events as ev
 from tremor.operators import folds as fd
@@ -35,9 +36,14 @@ def ordered(spark, sf_dir):
     return staged_once(spark, sf_dir, "ordered", build)
 
 
+def geometry(spark, sf_dir):
+    """Folds of 30, 10 and 10 months."""
+    last = ordered(spark, sf_dir).agg(F.max("pos")).first()[0]
+    return fd.Geometry(0 if last is None else last + 1)
+
+
 def members(spark, sf_dir, mode="sliding"):
-    o = ordered(spark, sf_dir)
-    return fd.fold_membership(o, fd.scaled_geometry(o.count()), mode=mode)
+    return fd.fold_membership(ordered(spark, sf_dir), geometry(spark, sf_dir), mode=mode)
 
 
 def oof(spark, sf_dir):
@@ -49,10 +55,9 @@ def oof(spark, sf_dir):
         for name, (y, end) in TARGETS.items():
             p = fd.purge(m.where(F.col(y).isNotNull()), "event_date", end)
             p = fd.median_imputed(p, ["x1"])
-            train = p.where("role = 'train'").groupBy("fold").agg(
-                F.avg(y).alias("train_mean"), F.percentile(y, 0.5).alias("train_median"),
-                F.regr_slope(y, "x1").alias("_b"), F.regr_intercept(y, "x1").alias("_a"),
-            )
+            rows = p.where("role = 'train'")
+            train = rows.groupBy("fold").agg(F.avg(y).alias("train_mean"), F.regr_slope(y, "x1").alias("_b"), F.regr_intercept(y, "x1").alias("_a"))
+            train = train.join(exact_quantiles(rows, ["fold"], y, {"train_median": 0.5}).drop("n_total"), "fold")
             test = p.where("role = 'test'").join(F.broadcast(train), "fold")  # one row per fold
             models = F.array(
                 F.struct(F.lit("ols").alias("model"), (F.col("_a") + F.col("_b") * F.col("x1")).alias("y_pred")),
@@ -79,12 +84,13 @@ ft AS (SELECT series_id, session_idx,
    b20 AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
    b30 AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
    b5 AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-fo AS (SELECT o.*, ft.x1, ft.x2, row_number() OVER (ORDER BY event_date, event_id) - 1 AS ord FROM outc o LEFT JOIN ft USING (series_id, session_idx)),
-fp AS (SELECT count(*) AS n, count(*) * 30 // 74 AS tr, count(*) * 10 // 74 AS te FROM fo),
+fo AS (SELECT o.*, ft.x1, ft.x2, row_number() OVER (ORDER BY event_date, event_id) - 1 AS ord,
+  year(event_date) * 12 + month(event_date) - min(year(event_date) * 12 + month(event_date)) OVER () AS pos FROM outc o LEFT JOIN ft USING (series_id, session_idx)),
+fp AS (SELECT max(pos) + 1 AS n, 30 AS tr, 10 AS te FROM fo),
 fl AS (SELECT unnest(range(0, (n - tr - te) // te + 1)) AS fold FROM fp),
 mem AS (
-  SELECT fl.fold, 'train' AS role, fo.* FROM fo, fp, fl WHERE ord >= fold * te AND ord < fold * te + tr
-  UNION ALL SELECT fl.fold, 'test', fo.* FROM fo, fp, fl WHERE ord >= fold * te + tr AND ord < fold * te + tr + te)"""
+  SELECT fl.fold, 'train' AS role, fo.* FROM fo, fp, fl WHERE pos >= fold * te AND pos < fold * te + tr
+  UNION ALL SELECT fl.fold, 'test', fo.* FROM fo, fp, fl WHERE pos >= fold * te + tr AND pos < fold * te + tr + te)"""
 
 
 def _sql_target(name, y, end):
@@ -111,8 +117,18 @@ def c01_fold_membership(spark, sf_dir):
     return members(spark, sf_dir).select("fold", "role", "event_id", "ord")
 
 
+@query("c01_row_folds", ctes(SQL_MEM, """
+rp AS (SELECT count(*) AS n, 30 AS tr, 10 AS te FROM fo),
+rl AS (SELECT unnest(range(0, (n - tr - te) // te + 1)) AS fold FROM rp)""") + """
+SELECT fold, CASE WHEN ord < fold * te + tr THEN 'train' ELSE 'test' END AS role, event_id FROM fo, rp, rl WHERE ord >= fold * te AND ord < fold * te + tr + te""")
+def c01_row_folds(spark, sf_dir):
+    """The geometry in rows: 30 events, then 10, moving by 10; four rows for each event."""
+    o = ordered(spark, sf_dir)
+    return fd.fold_membership(o, fd.Geometry(o.count()), "ord").select("fold", "role", "event_id")
+
+
 @query("c01_expanding_folds", ctes(SQL_MEM) + """
-SELECT fl.fold, 'train' AS role, fo.event_id FROM fo, fp, fl WHERE ord < fold * te + tr
+SELECT fl.fold, 'train' AS role, fo.event_id FROM fo, fp, fl WHERE pos < fold * te + tr
 UNION ALL SELECT fold, role, event_id FROM mem WHERE role = 'test'""")
 def c01_expanding_folds(spark, sf_dir):
     return members(spark, sf_dir, "expanding").select("fold", "role", "event_id")
@@ -120,13 +136,13 @@ def c01_expanding_folds(spark, sf_dir):
 
 @query("c02_grouped_folds", ctes(SQL_OUT, """
 go AS (SELECT *, dense_rank() OVER (ORDER BY event_date) - 1 AS gord FROM outc),
-gp AS (SELECT count(DISTINCT event_date) AS n, count(DISTINCT event_date) * 30 // 74 AS tr, count(DISTINCT event_date) * 10 // 74 AS te FROM outc),
+gp AS (SELECT count(DISTINCT event_date) AS n, 30 AS tr, 10 AS te FROM outc),
 gl AS (SELECT unnest(range(0, (n - tr - te) // te + 1)) AS fold FROM gp)""") + """
 SELECT fold, 'train' AS role, event_id FROM go, gp, gl WHERE gord >= fold * te AND gord < fold * te + tr
 UNION ALL SELECT fold, 'test', event_id FROM go, gp, gl WHERE gord >= fold * te + tr AND gord < fold * te + tr + te""")
 def c02_grouped_folds(spark, sf_dir):
     o = outcomes(spark, sf_dir).select("event_id", "event_date")
-    geo = fd.scaled_geometry(o.select("event_date").distinct().count())
+    geo = fd.Geometry(o.select("event_date").distinct().count())  # in event days
     return fd.fold_membership(fd.grouped_order(o, "event_date"), geo).select("fold", "role", "event_id")
 
 
@@ -149,19 +165,18 @@ def u02_purged_rows(spark, sf_dir):
 
 
 @query("c04_c05_inner_splits", ctes(SQL_MEM, """
-tr0 AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY ord) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS cnt FROM mem WHERE role = 'train'),
-sp AS (SELECT t.*, s.split, CASE WHEN pos < cnt - (3 - split) * (cnt // 4) THEN 'train' WHEN pos < cnt - (3 - split) * (cnt // 4) + cnt // 4 THEN 'validation' END AS ir
+tr0 AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY ord) - 1 AS ip, count(*) OVER (PARTITION BY fold) AS cnt FROM mem WHERE role = 'train'),
+sp AS (SELECT t.*, s.split, CASE WHEN ip < cnt - (3 - split) * (cnt // 4) THEN 'train' WHEN ip < cnt - (3 - split) * (cnt // 4) + cnt // 4 THEN 'validation' END AS ir
   FROM tr0 t, (SELECT unnest(range(0, 3)) AS split) s),
 fv AS (SELECT fold, split, min(event_date) AS d FROM sp WHERE ir = 'validation' GROUP BY 1, 2),
 kept AS (SELECT sp.* FROM sp JOIN fv USING (fold, split) WHERE ir = 'validation' OR (ir = 'train' AND (y1_5_end IS NULL OR y1_5_end < d)))""") + """
 SELECT fold, CAST(split AS INTEGER) AS split, sum((ir = 'train')::INT)::BIGINT AS n_train, sum((ir = 'validation')::INT)::BIGINT AS n_validation,
  sum((ir = 'train')::INT) >= 5 AS usable FROM kept GROUP BY fold, split""")
 def c04_c05_inner_splits(spark, sf_dir):
-    o = ordered(spark, sf_dir)
-    geo = fd.scaled_geometry(o.count())
-    train = fd.fold_membership(o, geo).where("role = 'train'")
-    # sliding train blocks are contiguous, so a row's place in its block is arithmetic
-    placed = train.withColumn("_pos", F.col("ord") - F.col("fold") * geo.step).withColumn("_n", F.lit(geo.train))
+    train = members(spark, sf_dir).where("role = 'train'")
+    # train blocks are contiguous, so a row's place in its block is arithmetic
+    block = train.groupBy("fold").agg(F.min("ord").alias("_first"), F.count("*").alias("_n"))
+    placed = train.join(F.broadcast(block), "fold").withColumn("_pos", F.col("ord") - F.col("_first"))  # one row per fold
     inner = fd.inner_membership(placed, ["fold"], "_pos", "_n", "event_date", "y1_5_end")
     return fd.surviving_splits(inner, ["fold"])
 
@@ -249,7 +264,7 @@ med AS (SELECT fold, median(x1) AS m FROM mem WHERE role = 'train' GROUP BY 1)""
 SELECT fold, role, event_id, CAST(CASE WHEN x1 > m THEN 1 WHEN x1 <= m THEN 0 END AS DOUBLE) AS high_momentum FROM mem JOIN med USING (fold)""")
 def w16_regime_flags(spark, sf_dir):
     m = members(spark, sf_dir)
-    med = m.where("role = 'train'").groupBy("fold").agg(F.percentile("x1", 0.5).alias("_m"))
+    med = exact_quantiles(m.where("role = 'train'"), ["fold"], "x1", {"_m": 0.5})
     return m.join(F.broadcast(med), "fold").select("fold", "role", "event_id", (F.col("x1") > F.col("_m")).cast("double").alias("high_momentum"))
 
 
@@ -262,8 +277,10 @@ def e13_outcome_labels(spark, sf_dir):
     """Six labels; missing outcomes stay null, train-relative cuts come from train rows only."""
     m = members(spark, sf_dir)
     known = F.col("duration").isNotNull() & ~F.col("reason").isin("next_disaster", "no_drawdown")
-    cut = m.where("role = 'train'").groupBy("fold").agg(
-        F.percentile("y1_5", F.lit(1.0 / 3)).alias("_c1b"), F.percentile(F.when(known, F.col("duration")), 0.5).alias("_c3b"))
+    train = m.where("role = 'train'")
+    # durations have at most as many values as the cap, returns have as many as there are rows
+    cut = train.groupBy("fold").agg(F.percentile(F.when(known, F.col("duration")), 0.5).alias("_c3b"))
+    cut = cut.join(exact_quantiles(train, ["fold"], "y1_5", {"_c1b": 1.0 / 3}).drop("n_total"), "fold", "left")
     d = lambda c: c.cast("double")
     return m.join(F.broadcast(cut), "fold").select(  # one row per fold
         "fold", "role", "event_id", d(F.col("drawdown")).alias("c0"), d(F.col("y1_5") < 0).alias("c1"), d(F.col("y1_5") < F.col("_c1b")).alias("c1b"),

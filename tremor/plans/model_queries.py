@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tremor.functions.draws import cluster_draws, hash_unit
-from tremor.functions.ordered import order_index
+from tremor.functions.ordered import exact_quantiles, order_index
 from tremor.functions import scalars as sc
 from tremor.functions.scalars import rnd
 from tremor.operators import diagnose as dg
@@ -25,7 +25,7 @@ from tremor.operators import outcomes as oc
 from tremor.operators import resample as rs
 from tremor.operators import series as sr
 from tremor.operators import survival as sv
-from tremor.plans.forecast_queries import NB, SQL_MEM, SQL_OEPI, SQL_OOF, _boot_sql, _draw_sql, clustered, members, oof, ordered
+from tremor.plans.forecast_queries import NB, SQL_MEM, SQL_OEPI, SQL_OOF, _boot_sql, _draw_sql, clustered, geometry, members, oof, ordered
 from tremor.plans.outcome_queries import SQL_RET, SQL_SESS, features, panel
 from tremor.plans.registry import ctes, query, r
 from tremor.session import shared_dir, stage, staged_once
@@ -46,7 +46,7 @@ def rows(spark, sf_dir, y="y1_5", end="y1_5_end", name="rows_ret5"):
 
 
 def n_folds(spark, sf_dir):
-    return list(range(fd.scaled_geometry(ordered(spark, sf_dir).count()).n_folds))
+    return list(range(geometry(spark, sf_dir).n_folds))
 
 
 SQL_ROWS = f"""{SQL_MEM},
@@ -203,7 +203,8 @@ rx AS (SELECT rw.*, e.expected, rw.y - e.expected AS resid FROM rw JOIN fo USING
 
 
 @query("e11_normal_plus_residual", ctes(SQL_ROWS, SQL_STAGE_A, _ridge_sql("rx", y="resid")) + f"""
-SELECT fold, event_id, {r("y", 4, "y_true")}, {r("expected", 4, "expected")}, {r("ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 + expected", 4, "y_pred")} FROM rx JOIN fit USING (fold) WHERE role = 'test'""")
+SELECT fold, event_id, {r("y", 4, "y_true")}, {r("expected", 4, "expected")}, {r("ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 + expected", 4, "y_pred")},
+ (SELECT count(*) FROM rw w WHERE w.role = 'test' AND w.fold = rx.fold) - count(*) OVER (PARTITION BY fold) AS n_unscored FROM rx JOIN fit USING (fold) WHERE role = 'test'""")
 def e11_normal_plus_residual(spark, sf_dir):
     """Fit y minus its stage-A expectation, then add the expectation back."""
     expected = stage_a(spark, sf_dir)
@@ -212,7 +213,11 @@ def e11_normal_plus_residual(spark, sf_dir):
     d = stage(rows(spark, sf_dir).join(e, "event_id").withColumn("resid", F.col("y") - F.col("expected")), "residual_rows")
     fits = md.ridge_walk_forward(d, XS, "resid", "label_end")
     p = md.linear_predictions(d.where("role = 'test'"), fits, ["fold"], XS, "_r")
-    return p.select("fold", "event_id", rnd("y", 4).alias("y_true"), rnd("expected", 4).alias("expected"), rnd(F.col("_r") + F.col("expected"), 4).alias("y_pred"))
+    # held-out rows without an expectation get no score; how many, is said beside each fold's scores
+    test = rows(spark, sf_dir).where("role = 'test'").groupBy("fold").agg(F.count("*").alias("_all"))
+    scored = d.where("role = 'test'").groupBy("fold").agg(F.count("*").alias("_scored"))
+    left = test.join(scored, "fold").select("fold", (F.col("_all") - F.col("_scored")).alias("n_unscored"))
+    return p.join(left, "fold").select("fold", "event_id", rnd("y", 4).alias("y_true"), rnd("expected", 4).alias("expected"), rnd(F.col("_r") + F.col("expected"), 4).alias("y_pred"), "n_unscored")
 
 
 @query("e12_yearly_volatility")
@@ -326,10 +331,16 @@ def l10_pca_ridge(spark, sf_dir):
 @query("l12_final_refit_scoring")
 def l12_final_refit_scoring(spark, sf_dir):
     """Refit on all labelled events, save, load, and score what-if scenarios with bounds."""
-    o = ordered(spark, sf_dir).where("y1_5 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL").withColumn("label", F.col("y1_5"))
+    o = ordered(spark, sf_dir)
+    # missing features get the median of the labelled rows, in the refit and in every scored row
+    fit_rows = o.where("y1_5 IS NOT NULL").withColumn("g", F.lit(1))
+    for x in XS:
+        mid = exact_quantiles(fit_rows, ["g"], x, {"_m": 0.5}).first()
+        o = o.withColumn(x, F.coalesce(x, F.lit(float(mid["_m"]) if mid else 0.0)))
+    labelled = o.where("y1_5 IS NOT NULL").withColumn("label", F.col("y1_5"))
     pipe = Pipeline(stages=[VectorAssembler(inputCols=[*XS, "severity"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"), LinearRegression(regParam=0.1)])
     path = os.path.join(shared_dir(spark), f"model-{uuid.uuid4().hex[:12]}")
-    pipe.fit(o).write().save(path)
+    pipe.fit(labelled).write().save(path)
     model = PipelineModel.load(path)
     scen = o.withColumn("_s", F.explode(F.array(F.struct(F.lit("actual").alias("scenario"), F.col("severity").alias("sev")), F.struct(F.lit("double").alias("scenario"), (F.col("severity") * 2).alias("sev")))))
     scen = scen.select("event_id", *XS, "_s.scenario", F.col("_s.sev").alias("severity"))
@@ -371,8 +382,8 @@ def l14_panel_models(spark, sf_dir):
     """Panel rows with series dummies, folds that never split an event day, against the train mean."""
     f = features(spark, sf_dir).select("series_id", "session_idx", F.coalesce("price_to_sma_20", F.lit(0.0)).alias("x1"), F.coalesce("vol_ratio_5_30", F.lit(0.0)).alias("x2"))
     p = panel(spark, sf_dir).where("y1_5 IS NOT NULL").join(f, ["series_id", "session_idx"])
-    geo = fd.scaled_geometry(p.select("event_code").distinct().count())
-    m = fd.purge(fd.fold_membership(p.withColumn("ord", F.col("event_code")), geo), "event_date", "y1_5_end").withColumn("label", F.col("y1_5"))
+    p, geo = fd.month_positions(p, "event_date")
+    m = fd.purge(fd.fold_membership(p, geo), "event_date", "y1_5_end").withColumn("label", F.col("y1_5"))
     idx = StringIndexer(inputCol="series_id", outputCol="_i", stringOrderType="alphabetAsc").fit(p)
     m = OneHotEncoder(inputCols=["_i"], outputCols=["dummies"]).fit(idx.transform(p)).transform(idx.transform(m))
     m = VectorAssembler(inputCols=[*XS, "dummies"], outputCol="features").transform(m).select("fold", "role", "series_id", "event_date", "label", "features").persist()
@@ -481,7 +492,7 @@ def _aft(train, test):
     # prediction is exp(linear); S(t) = exp(-(t / exp(linear))^(1 / scale))
     surv = lambda t: F.exp(-F.pow((F.lit(float(t)) + 0.5) / F.col("prediction"), 1.0 / scale))
     median = F.greatest(F.least(F.col("prediction") * F.pow(F.log(F.lit(2.0)), scale) - 0.5, F.lit(90.0)), F.lit(0.0))
-    return p.select("fold", "event_id", "duration", "event_observed", "drawdown", *XS, median.alias("pred_median"), *[(1 - surv(t)).alias(f"p_{t}") for t in sv.PROB_TIMES])
+    return p.select("fold", "event_id", "duration", "event_observed", "drawdown", *XS, F.col("prediction").alias("location"), F.lit(float(scale)).alias("scale"), median.alias("pred_median"), *[(1 - surv(t)).alias(f"p_{t}") for t in sv.PROB_TIMES])
 
 
 @query("d11_weibull_aft")
@@ -500,6 +511,12 @@ def _survival_scores(p):
     return c.join(sv.brier_mean(sv.brier_by_time(p, ["model"], "duration", "event_observed", probs, sv.FLOOR_MEAN), ["model"]), "model")
 
 
+def _mixed_median(p, cap=90.0):
+    """First whole day t with p * S(t) <= 1/2 for the Weibull S of ``_aft``: 0 where p is at most 1/2, the cap at most."""
+    t = F.ceil(F.col("location") * F.pow(F.log(2 * F.col(p)), F.col("scale")) - 0.5)
+    return F.when(F.col(p) <= 0.5, F.lit(0.0)).otherwise(sc.clip(t.cast("double"), 0.0, cap))
+
+
 @query("d12_two_stage_survival")
 def d12_two_stage_survival(spark, sf_dir):
     """P(drawdown) times the survival of drawdown rows; no drawdown means no time at risk."""
@@ -510,7 +527,7 @@ def d12_two_stage_survival(spark, sf_dir):
         clf = Pipeline(stages=[VectorAssembler(inputCols=XS, outputCol="features"), LogisticRegression(labelCol="dd", regParam=0.01)]).fit(tr.withColumn("dd", F.col("drawdown").cast("double")))
         pd_ = clf.transform(te).select("event_id", md.class_probability().alias("p_dd"))
         j = cond.join(pd_, "event_id")
-        mixed = j.select("fold", "event_id", "duration", "event_observed", (F.col("p_dd") * F.col("pred_median")).alias("pred_median"), *[(1 - F.col("p_dd") * (1 - F.col(f"p_{t}"))).alias(f"p_{t}") for t in sv.PROB_TIMES])
+        mixed = j.select("fold", "event_id", "duration", "event_observed", _mixed_median("p_dd").alias("pred_median"), *[(1 - F.col("p_dd") * (1 - F.col(f"p_{t}"))).alias(f"p_{t}") for t in sv.PROB_TIMES])
         out = mixed if out is None else out.unionByName(mixed)
     return _survival_scores(out.withColumn("model", F.lit("two_stage")))
 

@@ -509,16 +509,17 @@ def e07_market_model(spark, sf_dir):
 ab AS (SELECT series_id, session_idx, fit_n, {", ".join(f'''
   CASE WHEN count(factor_ret) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) = {h}
   THEN 100 * ({h} * fit_alpha + fit_beta * sum(factor_ret) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)) END AS ex_{h},
-  100 * ln(lead(close, {h - 1}) OVER w / lag(close) OVER w) AS y_{h}''' for h in (1, 5, 10))}
+  100 * ln(lead(close, {h - 1}) OVER w / lag(close) OVER w) AS y_{h}''' for h in oc.RETURN_HORIZONS)}, fit_alpha, fit_beta, fit_sigma
   FROM fit WINDOW w AS (PARTITION BY series_id ORDER BY date))""") + f"""
-SELECT o.event_id, CAST(coalesce(fit_n, 0) AS BIGINT) AS fit_n, {", ".join(r(f"y_{h} - ex_{h}", 4, f"ab_{h}") for h in (1, 5, 10))}
+SELECT o.event_id, CAST(coalesce(fit_n, 0) AS BIGINT) AS fit_n, {", ".join(r(c, 5, c) for c in ("fit_alpha", "fit_beta", "fit_sigma"))},
+ {", ".join(r(f"y_{h} - ex_{h}", 4, f"ab_{h}") for h in oc.RETURN_HORIZONS)}
 FROM origin o JOIN ab USING (series_id, session_idx) WHERE o.session_idx > 1""")
 def e08_e09_abnormal_returns(spark, sf_dir):
     events, ses = shocks(spark, sf_dir), sessions(spark, sf_dir)
-    ab = oc.abnormal_returns(fitted(spark, sf_dir), (1, 5, 10)).drop("date")
+    ab = oc.abnormal_returns(fitted(spark, sf_dir)).drop("date")
     days = cal.usable_origins(cal.event_days(events, ses)).join(ab, ["series_id", "session_idx"])
     return events.join(days, ["series_id", "event_date"]).select(
-        "event_id", "fit_n", *[rnd(f"ab_{h}", 4).alias(f"ab_{h}") for h in (1, 5, 10)]
+        "event_id", "fit_n", *[rnd(c, 5).alias(c) for c in ("fit_alpha", "fit_beta", "fit_sigma")], *[rnd(f"ab_{h}", 4).alias(f"ab_{h}") for h in oc.RETURN_HORIZONS]
     )
 
 

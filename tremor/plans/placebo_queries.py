@@ -7,8 +7,9 @@ as an event no session would be free of events.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tremor.functions.ordered import order_index
+from tremor.functions.ordered import exact_quantiles
 from tremor.functions.scalars import rnd
 from tremor.operators import augment as ag
 from tremor.operators import calendar as cal
@@ -27,12 +28,17 @@ from tremor.plans.registry import ctes, query, r
 from tremor.session import stage, staged_once
 from tremor.sources.adapters import SQL_SHOCKS, factor, sessions, shocks
 
-# Fixed value: severity from which an event counts as severe here.
-SEVERE = 490000.0
+#: Draws of the randomisation test.
+PERMUTED = 5000
+#: Events that count as severe: so many of each series and calendar year. The rule follows the
+#: calendar, so free sessions remain however many events there are.
+SEVERE_PER_YEAR = 2
 
 
-def severe(spark, sf_dir):
-    return shocks(spark, sf_dir).where(F.col("severity") >= SEVERE)
+def severe(spark, sf_dir, most=SEVERE_PER_YEAR):
+    """The most severe events of each series and year; ties go to the smaller id."""
+    w = W.partitionBy("series_id", F.year("event_date")).orderBy(F.desc("severity"), "event_id")
+    return shocks(spark, sf_dir).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
 def severe_days(spark, sf_dir):
@@ -65,7 +71,7 @@ def fitted50(spark, sf_dir):
 
 
 SQL_FREE = f"""{SQL_SHOCKS},
-sev AS (SELECT * FROM shocks WHERE severity >= {SEVERE}),
+sev AS (SELECT * FROM shocks QUALIFY row_number() OVER (PARTITION BY series_id, year(event_date) ORDER BY severity DESC, event_id) <= {SEVERE_PER_YEAR}),
 so AS (SELECT s.event_id, s.series_id, s.event_date, min(x.session_idx) AS session_idx FROM sev s JOIN sess x ON x.series_id = s.series_id AND x.date >= s.event_date GROUP BY 1, 2, 3),
 lr AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY series_id ORDER BY date)) AS lret FROM sess),
 cx AS (SELECT series_id, session_idx, date, month(date) AS mo, year(date) AS yr, max(session_idx) OVER (PARTITION BY series_id) AS last_idx,
@@ -129,7 +135,7 @@ def j16_candidate_pools(spark, sf_dir):
 
 @query("v12_randomisation_test", ctes(SQL_FIT.replace("n >= 60", "n >= 50"), SQL_FREE, SQL_POOL, """
 ev AS (SELECT so.event_id, so.series_id, so.session_idx AS origin, p.size FROM so JOIN (SELECT DISTINCT series_id, origin, size FROM pool) p ON p.series_id = so.series_id AND p.origin = so.session_idx),
-dr AS (SELECT event_id, series_id, origin, b, CAST(floor(('0x' || substr(md5('42:' || event_id || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS BIGINT) + 1 AS slot FROM ev, (SELECT unnest(range(0, 500)) AS b)),
+dr AS (SELECT event_id, series_id, origin, b, CAST(floor(('0x' || substr(md5('42:' || event_id || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS BIGINT) + 1 AS slot FROM ev, (SELECT unnest(range(0, 5000)) AS b)),
 ds AS (SELECT b, avg(car_1) AS d1, avg(car_5) AS d5, avg(car_10) AS d10, avg(car_20) AS d20 FROM dr JOIN pool USING (series_id, origin, slot) JOIN car ON car.series_id = dr.series_id AND car.session_idx = pool.session_idx GROUP BY 1),
 ob AS (SELECT avg(car_1) AS o1, avg(car_5) AS o5, avg(car_10) AS o10, avg(car_20) AS o20 FROM ev JOIN car ON car.series_id = ev.series_id AND car.session_idx = ev.origin),
 lg AS (SELECT unnest([{'horizon': 1, 'd': d1, 'o': o1}, {'horizon': 5, 'd': d5, 'o': o5}, {'horizon': 10, 'd': d10, 'o': o10}, {'horizon': 20, 'd': d20, 'o': o20}], recursive := true) FROM ds, ob)""") + f"""
@@ -140,7 +146,7 @@ def v12_randomisation_test(spark, sf_dir):
     p = pb.pools(origin_context(spark, sf_dir), free_sessions(spark, sf_dir), cars)
     days = cal.usable_origins(severe_days(spark, sf_dir)).select("series_id", "event_date", F.col("session_idx").alias("origin"))
     ev = severe(spark, sf_dir).join(days, ["series_id", "event_date"]).select("event_id", "series_id", "origin")
-    t = pb.randomisation(ev, p, cars, 500)
+    t = pb.randomisation(ev, p, cars, PERMUTED)
     return t.select("horizon", *[rnd(c, 5).alias(c) for c in ("observed", "placebo_mean", "placebo_sd", "placebo_low", "placebo_high")], rnd("p_value").alias("p_value"))
 
 
@@ -148,8 +154,8 @@ def v12_randomisation_test(spark, sf_dir):
 xx AS (SELECT series_id, session_idx, date, lag(lret) OVER (PARTITION BY series_id ORDER BY date) AS x, 100 * ln(lead(close, 4) OVER (PARTITION BY series_id ORDER BY date) / lag(close) OVER (PARTITION BY series_id ORDER BY date)) AS y FROM lr),
 bo AS (SELECT 'event' AS origin_type, series_id, origin, origin AS at_idx FROM match UNION ALL SELECT 'placebo', series_id, origin, placebo FROM match),
 mr AS (SELECT b.*, xx.date, xx.x, xx.y, hash_key FROM bo b JOIN xx ON xx.series_id = b.series_id AND xx.session_idx = b.at_idx JOIN (SELECT series_id, origin, row_number() OVER (ORDER BY series_id, origin) AS hash_key FROM match) h ON h.series_id = b.series_id AND h.origin = b.origin WHERE xx.x IS NOT NULL AND xx.y IS NOT NULL),
-o0 AS (SELECT *, row_number() OVER (PARTITION BY origin_type ORDER BY date, hash_key) - 1 AS ord, count(*) OVER (PARTITION BY origin_type) AS n FROM mr),
-od AS (SELECT *, CASE WHEN n < 74 THEN 30 ELSE n * 30 // 74 END AS tr, CASE WHEN n < 74 THEN 10 ELSE n * 10 // 74 END AS te FROM o0),
+o0 AS (SELECT *, year(date) * 12 + month(date) AS mo, min(year(date) * 12 + month(date)) OVER (PARTITION BY origin_type) AS m0, max(year(date) * 12 + month(date)) OVER (PARTITION BY origin_type) AS m1 FROM mr),
+od AS (SELECT *, mo - m0 AS ord, m1 - m0 + 1 AS n, 30 AS tr, 10 AS te FROM o0),
 fl AS (SELECT unnest(range(0, 10)) AS fold),
 mem AS (SELECT fold, CASE WHEN ord < fold * te + tr THEN 'train' ELSE 'test' END AS role, od.* FROM od, fl
   WHERE n >= tr + te AND fold <= (n - tr - te) // te AND ord >= fold * te AND ord < fold * te + tr + te),
@@ -161,8 +167,6 @@ def v13_matched_forecast(spark, sf_dir):
     m = matched(spark, sf_dir).select("series_id", "origin", "placebo")
     # one integer per match, by series and origin, as the position tie-breaker
     per = m.groupBy("series_id").agg(F.count("*").alias("_n"))
-    from pyspark.sql.window import Window as W
-
     off = per.select("series_id", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit("series")).orderBy("series_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     keyed = m.join(off, "series_id").withColumn("key", F.col("_o") + F.row_number().over(W.partitionBy("series_id").orderBy("origin")))
     both = keyed.withColumn("_x", F.explode(F.array(F.struct(F.lit("event").alias("origin_type"), F.col("origin").alias("session_idx")), F.struct(F.lit("placebo").alias("origin_type"), F.col("placebo").alias("session_idx")))))
@@ -171,8 +175,7 @@ def v13_matched_forecast(spark, sf_dir):
     d = stage(both.join(f, ["series_id", "session_idx"]).where("x IS NOT NULL AND y IS NOT NULL"), "matched_rows")
     out = None
     for kind in ("event", "placebo"):
-        rows_ = order_index(d.where(F.col("origin_type") == kind), "date", "key")
-        mem = fd.fold_membership(rows_, fd.scaled_geometry(rows_.count()))
+        mem = fd.fold_membership(*fd.month_positions(d.where(F.col("origin_type") == kind), "date"))
         line = mem.where("role = 'train'").groupBy("fold").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
         t = mem.where("role = 'test'").join(F.broadcast(line), "fold").select("origin_type", F.col("y").alias("y_true"), (F.col("a") + F.col("b") * F.col("x")).alias("y_pred"))  # one row per fold
         out = t if out is None else out.unionByName(t)
@@ -198,7 +201,8 @@ def b04_metric_interval(spark, sf_dir):
 def _minority(spark, sf_dir):
     """Train rows in the outer tenths of the response, features scaled by the fold's train spread."""
     train = rows(spark, sf_dir).where("role = 'train'")
-    s = train.groupBy("fold").agg(F.percentile("y", 0.1).alias("_lo"), F.percentile("y", 0.9).alias("_hi"), *[F.avg(x).alias(f"_m_{x}") for x in XS], *[F.stddev_pop(x).alias(f"_s_{x}") for x in XS])
+    s = train.groupBy("fold").agg(*[F.avg(x).alias(f"_m_{x}") for x in XS], *[F.stddev_pop(x).alias(f"_s_{x}") for x in XS])
+    s = s.join(exact_quantiles(train, ["fold"], "y", {"_lo": 0.1, "_hi": 0.9}).drop("n_total"), "fold")
     j = train.join(F.broadcast(s), "fold").where((F.col("y") < F.col("_lo")) | (F.col("y") > F.col("_hi")))  # one row per fold
     return train, j.select("fold", "type", "event_id", "event_date", *XS, "y", *[((F.col(x) - F.col(f"_m_{x}")) / F.col(f"_s_{x}")).alias(f"z{i + 1}") for i, x in enumerate(XS)])
 

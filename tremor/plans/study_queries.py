@@ -73,24 +73,33 @@ def v01_abnormal_panel(spark, sf_dir):
     return _panel(spark, sf_dir).select("series_id", "origin", "k", rnd("ar", 5).alias("ar"), rnd("factor_dev", 5).alias("factor_dev"))
 
 
+_VARIANTS = ("zero_expected", "mean_adjusted", "market", "lagged_market")
+
+
 @query("v02_panel_variants", ctes(SQL_PANEL, """
-lagf AS (SELECT *, lag(factor_ret) OVER (PARTITION BY series_id ORDER BY date) AS lf FROM fit),
-zero AS (SELECT p.k, count(x.log_return) AS n, avg(x.log_return) AS m FROM pan p JOIN lagf x
-  ON x.series_id = p.series_id AND x.session_idx = p.origin + p.k - 1 GROUP BY 1),
-lagm AS (SELECT p.k, count(x.log_return - p.fit_alpha - p.fit_beta * x.lf) AS n, avg(x.log_return - p.fit_alpha - p.fit_beta * x.lf) AS m
-  FROM pan p JOIN lagf x ON x.series_id = p.series_id AND x.session_idx = p.origin + p.k - 1 GROUP BY 1)""") + f"""
-SELECT 'zero_expected' AS variant, CAST(k AS INTEGER) AS k, n AS n_events, {r("m", 5, "aar")} FROM zero UNION ALL
-SELECT 'lagged_factor', CAST(k AS INTEGER), n, {r("m", 5)} FROM lagm UNION ALL
+al AS (SELECT series_id, date, session_idx, log_return AS y0, lag(factor_ret) OVER (PARTITION BY series_id ORDER BY date) AS x0 FROM fit),
+lraw AS (SELECT *, regr_count(y, x) OVER f AS n, regr_sxx(y, x) OVER f AS sxx, regr_sxy(y, x) OVER f AS sxy, regr_avgx(y, x) OVER f AS mx, regr_avgy(y, x) OVER f AS my,
+   count(y0) OVER f AS n0, avg(y0) OVER f AS m0
+  FROM (SELECT *, CASE WHEN x0 IS NOT NULL THEN y0 END AS y, CASE WHEN y0 IS NOT NULL THEN x0 END AS x FROM al)
+  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+lfit AS (SELECT *, CASE WHEN n >= 60 AND sxx > 0 THEN my - sxy / sxx * mx END AS a, CASE WHEN n >= 60 AND sxx > 0 THEN sxy / sxx END AS b, CASE WHEN n0 >= 60 THEN m0 END AS mean FROM lraw),
+ov AS (SELECT ks.k, f.a, f.b, f.mean, x.y0, x.x0 FROM origin o JOIN lfit f USING (series_id, session_idx) CROSS JOIN ks
+  JOIN lfit x ON x.series_id = o.series_id AND x.session_idx = o.session_idx + ks.k - 1 WHERE o.session_idx > 1)""") + f"""
+SELECT 'zero_expected' AS variant, CAST(k AS INTEGER) AS k, count(y0) AS n_events, {r("avg(y0)", 5, "aar")} FROM ov GROUP BY k UNION ALL
+SELECT 'mean_adjusted', CAST(k AS INTEGER), count(y0 - mean), {r("avg(y0 - mean)", 5)} FROM ov GROUP BY k UNION ALL
+SELECT 'lagged_market', CAST(k AS INTEGER), count(y0 - a - b * x0), {r("avg(y0 - a - b * x0)", 5)} FROM ov GROUP BY k UNION ALL
 SELECT 'market', CAST(k AS INTEGER), count(ar), {r("avg(ar)", 5)} FROM pan GROUP BY k""")
 def v02_panel_variants(spark, sf_dir):
-    """Mean abnormal value per k under three expectation models, from one joined panel."""
+    """Mean abnormal value per k under four expectation models, each with a fit of its own."""
     f, o = fitted(spark, sf_dir), origins(spark, sf_dir)
-    lagged = f.withColumn("_lf", F.lag("factor_ret").over(sr.w_series()))
-    zero = f.withColumn("fit_alpha", F.when(F.col("fit_alpha").isNotNull(), F.lit(0.0))).withColumn(
-        "fit_beta", F.when(F.col("fit_alpha").isNotNull(), F.lit(0.0)))
+    plain = f.drop("fit_alpha", "fit_beta", "fit_sigma", "fit_n", "factor_mean", "factor_ss")
+    lagged = plain.withColumn("factor_ret", F.lag("factor_ret").over(sr.w_series()))
+    flat = plain.withColumn("factor_ret", F.lit(0.0))
+    none = {c: F.lit(0.0) for c in ("fit_alpha", "fit_beta", "fit_sigma", "factor_mean", "factor_ss")}
+    models = (flat.withColumns(none | {"fit_n": F.lit(0).cast("long")}), sr.mean_model(flat, "log_return"), f, sr.market_model(lagged, "log_return", "factor_ret"))
     out = None
-    for name, fit, factor in (("zero_expected", zero, "factor_ret"), ("lagged_factor", lagged, "_lf"), ("market", f, "factor_ret")):
-        p = st.abnormal_panel(fit, o, "log_return", factor).where(F.col("ar").isNotNull())
+    for name, fit in zip(_VARIANTS, models, strict=True):
+        p = st.abnormal_panel(fit, o, "log_return", "factor_ret").where(F.col("ar").isNotNull())
         part = p.groupBy("k").agg(
             F.sum("weight").alias("n_events"),
             (F.sum(F.col("weight") * F.col("ar")) / F.sum("weight")).alias("aar"),

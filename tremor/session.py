@@ -64,3 +64,8 @@ def staged_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame
         df.write.parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
+
+
+def forget_staged() -> None:
+    """Let the next query stage its tables anew, as after a change of the input under the same path."""
+    _STAGED.clear()

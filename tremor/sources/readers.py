@@ -184,6 +184,3 @@ def locate_column(columns: list[str], wanted: str) -> str | None:
     """The column whose header equals ``wanted`` after normalising, if any."""
     clean = lambda s: "".join(ch for ch in s.lower() if ch.isalnum())
     return next((c for c in columns if clean(c) == clean(wanted)), None)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

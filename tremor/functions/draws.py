@@ -31,11 +31,17 @@ def cluster_draws(clusters: DataFrame, by: list[str], cluster: str, n_boot: int,
     numbered = named.join(offsets, [*by, "_pre"]).select(
         *by, cluster, (F.col("_off") + F.row_number().over(inside) - 1).cast("long").alias("_no"))
     sizes = numbered.groupBy(*by).agg(F.count("*").alias("_c"))
+    # four picks of 30 bits from each md5
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "_q").cast("binary"))
+    halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 17)]
+    parts = [x for h in halves for x in (h.bitwiseAND(F.lit((1 << 30) - 1)), F.shiftright(h, 30))]
     picks = (
         sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
         .repartition(*[F.col(c) for c in by], F.col("b"))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)))
-        .withColumn("_no", F.floor(hash_unit(seed, "b", "_j") * F.col("_c")).cast("long"))
+        .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / 4))))
+        .withColumn("_four", F.array(*parts))
+        .select(*by, "_c", "b", F.explode(F.slice("_four", F.lit(1), F.least(F.lit(4), F.col("_c") - 4 * F.col("_q")).cast("int"))).alias("_u"))
+        .withColumn("_no", F.floor(F.col("_u") / F.lit(float(1 << 30)) * F.col("_c")).cast("long"))
         .groupBy(*by, "b", "_no")
         .agg(F.count("*").alias("w"))
     )

@@ -522,8 +522,10 @@ def _draw_sql(src, by, cluster, n_boot, seed=42, tag="dr"):
     return f"""
 {tag}_n AS (SELECT {cols}{cluster} AS cluster, row_number() OVER ({part}ORDER BY {cluster}) - 1 AS no FROM (SELECT DISTINCT {cols}{cluster} FROM {src})),
 {tag}_c AS (SELECT {cols}count(*) AS c FROM {tag}_n {'GROUP BY ' + ', '.join(by) if by else ''}),
-{tag}_p AS (SELECT {cols}b, j, CAST(floor(('0x' || substr(md5('{seed}:' || b || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * c) AS BIGINT) AS no
-  FROM (SELECT {cols}c, unnest(range(0, {n_boot})) AS b FROM {tag}_c), LATERAL (SELECT unnest(range(0, c)) AS j)),
+{tag}_q AS (SELECT {cols}c, b, q, md5('{seed}:' || b || ':' || q) AS m
+  FROM (SELECT {cols}c, unnest(range(0, {n_boot})) AS b FROM {tag}_c), LATERAL (SELECT unnest(range(0, (c + 3) // 4)) AS q)),
+{tag}_v AS (SELECT {cols}c, b, q, i, ('0x' || substr(m, CASE WHEN i < 2 THEN 1 ELSE 17 END, 15))::BIGINT AS v FROM {tag}_q, (VALUES (0), (1), (2), (3)) t(i) WHERE 4 * q + i < c),
+{tag}_p AS (SELECT {cols}b, CAST(floor((CASE WHEN i % 2 = 0 THEN v & 1073741823 ELSE v >> 30 END) / 1073741824.0::DOUBLE * c) AS BIGINT) AS no FROM {tag}_v),
 {tag} AS (SELECT {''.join(f'n.{c}, ' for c in by)}p.b, n.cluster, count(*) AS w FROM {tag}_p p JOIN {tag}_n n ON {join} GROUP BY ALL)"""
 
 
@@ -534,7 +536,8 @@ def b01_seeded_draws(spark, sf_dir):
     return cluster_draws(c, [], "cluster", 200)
 
 
-NB = 1000
+#: Draws for metrics and concordance, and for error differences.
+NB, NB_ERROR = 2000, 10_000
 
 
 def _pairs_sql(where):
@@ -554,14 +557,14 @@ ci AS (SELECT {cols}quantile_cont(dv, 0.025) AS lo, quantile_cont(dv, 0.975) AS
 pt AS (SELECT {cols}sum(nr)::BIGINT AS n, {delta.format(w='')} AS delta FROM te GROUP BY {g})"""
 
 
-SQL_DRAWS_T = _draw_sql("oo", ["target"], "cluster", NB)
+SQL_DRAWS_T = _draw_sql("oo", ["target"], "cluster", NB_ERROR)
 
 
 @query("b02_paired_bootstrap", ctes(SQL_OOF, SQL_OEPI, _pairs_sql("m.model = 'ols' AND b.model = 'train_mean'"), SQL_DRAWS_T, _boot_sql(["target"])) + f"""
 SELECT target, n, {r("delta", name="delta")}, {r("lo", 5, "ci_low")}, {r("hi", 5, "ci_high")}, {r("p", name="p_worse")}, lo > 0 AS significant FROM pt JOIN ci USING (target)""")
 def b02_paired_bootstrap(spark, sf_dir):
     p = mt.paired(clustered(spark, sf_dir).where(F.col("model").isin("ols", "train_mean")), ["target", "fold", "event_id"], "train_mean")
-    b = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", NB)
+    b = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", NB_ERROR)
     return b.select("target", "n", rnd("delta").alias("delta"), rnd("ci_low", 5).alias("ci_low"), rnd("ci_high", 5).alias("ci_high"), rnd("p_worse").alias("p_worse"), "significant")
 
 
@@ -569,7 +572,7 @@ def b02_paired_bootstrap(spark, sf_dir):
 SELECT target, n, {r("delta", name="delta")}, {r("lo", 5, "ci_low")}, {r("hi", 5, "ci_high")}, {r("p", name="p_worse")} FROM pt JOIN ci USING (target)""")
 def b02_paired_bootstrap_mae(spark, sf_dir):
     p = mt.paired(clustered(spark, sf_dir).where(F.col("model").isin("ols", "zero")), ["target", "fold", "event_id"], "zero")
-    b = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", NB, metric="mae")
+    b = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", NB_ERROR, metric="mae")
     return b.select("target", "n", rnd("delta").alias("delta"), rnd("ci_low", 5).alias("ci_low"), rnd("ci_high", 5).alias("ci_high"), rnd("p_worse").alias("p_worse"))
 
 

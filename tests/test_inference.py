@@ -1,6 +1,5 @@
 """Resampling, multiplicity, folds and survival against brute force."""
 
-import itertools
 import random
 from datetime import date, timedelta
 
@@ -82,17 +81,19 @@ def scored(n=120, seed=5):
     return [("g", f"s{rng.randrange(4)}", int(rng.random() < 0.4), round(rng.random(), 1)) for _ in range(n)]
 
 
-def test_auc_and_cluster_concordance(spark):
+def test_auc_and_weighted_auc(spark):
     rows = scored()
     df = spark.createDataFrame(rows, "g string, c string, y int, prob double")
     pairs = [(a, b) for a in rows if a[2] == 1 for b in rows if b[2] == 0]
     win = lambda a, b: 1.0 if a[3] > b[3] else 0.5 if a[3] == b[3] else 0.0
     assert mt.roc_auc(df, ["g"]).first().auc == pytest.approx(sum(win(a, b) for a, b in pairs) / len(pairs))
-    conc = {(r.ci, r.cj): (r.wins, r.pairs) for r in rs.cluster_concordance(df, ["g"], "c", ["s0", "s1", "s2", "s3"], "y", "prob").collect()}
-    for ci, cj in itertools.product(["s0", "s1", "s2", "s3"], repeat=2):
-        sub = [(a, b) for a, b in pairs if a[1] == ci and b[1] == cj]
-        if sub:
-            assert conc[ci, cj] == pytest.approx((sum(win(a, b) for a, b in sub), len(sub)))
+    weights = {"s0": 2, "s1": 0, "s2": 1, "s3": 3}
+    w = spark.createDataFrame(list(weights.items()), "c string, w int")
+    top = sum(weights[a[1]] * weights[b[1]] * win(a, b) for a, b in pairs)
+    total = sum(weights[a[1]] * weights[b[1]] for a, b in pairs)
+    assert rs.weighted_auc(df.join(w, "c"), ["g"], "y", "prob", "w").first().auc == pytest.approx(top / total)
+    boot = rs.auc_bootstrap(df, ["g"], "c", "y", "prob", 200).first()
+    assert boot.ci_low <= boot.value <= boot.ci_high and boot.n_draws > 150
     assert mt.roc_auc(df.where("y = 1"), ["g"]).first().auc is None
 
 

@@ -39,6 +39,23 @@ def test_ridge_equals_the_closed_form(spark):
     assert md.sse_from_moments(row, 3, b0, w) == pytest.approx(((y - b0 - X @ w) ** 2).sum())
 
 
+def test_walk_forward_ridge_keeps_its_digits_and_asks_for_two_splits(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=80) + 1e6
+    y = 3 * (x - 1e6) + rng.normal(size=80) * 0.1 - 2e5
+    schema = "fold long, role string, event_id long, event_date date, label_end date, a double, y double"
+    rows = [(0, "train", i, D0 + timedelta(days=i), D0 + timedelta(days=i), float(x[i]), float(y[i])) for i in range(80)]
+    # labels of fold 1 last so long that the purge leaves no split enough train rows
+    rows += [(1, "train", i, D0 + timedelta(days=i), D0 + timedelta(days=i + 1000), float(x[i]), float(y[i])) for i in range(80)]
+    fits = {r.fold: r for r in md.ridge_walk_forward(spark.createDataFrame(rows, schema), ["a"], "y", "label_end").collect()}
+    assert fits[1].alpha == md.DEFAULT_ALPHA
+    for r in fits.values():
+        z = (x - x.mean()) / x.std()
+        w = z @ (y - y.mean()) / (80 + r.alpha) / x.std()
+        assert r.slopes[0] == pytest.approx(w, rel=1e-8)
+        assert r.intercept + r.slopes[0] * x.mean() == pytest.approx(y.mean(), rel=1e-8)
+
+
 def test_constant_column_gets_no_weight():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=50), rng.normal(size=50)

@@ -22,12 +22,12 @@ def cluster_draws(clusters: DataFrame, by: list[str], cluster: str, n_boot: int,
     are clusters; the picks are expanded after a shuffle on (by, b), so the work is
     spread over tasks even for a single group.
     """
-    # numbered by (prefix, name), the same order as by name, one window per prefix
+    # numbered by (prefix, name as text), the same order as by name, one window per prefix
     named = clusters.withColumn("_pre", F.substring(F.col(cluster).cast("string"), 1, 7))
     prefixes = named.groupBy(*by, "_pre").agg(F.count("*").alias("_np"))
     before = (W.partitionBy(*by) if by else W.partitionBy(F.lit("all"))).orderBy("_pre").rowsBetween(W.unboundedPreceding, -1)
     offsets = prefixes.select(*by, "_pre", F.coalesce(F.sum("_np").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*by, "_pre").orderBy(cluster)
+    inside = W.partitionBy(*by, "_pre").orderBy(F.col(cluster).cast("string"))
     numbered = named.join(offsets, [*by, "_pre"]).select(
         *by, cluster, (F.col("_off") + F.row_number().over(inside) - 1).cast("long").alias("_no"))
     sizes = numbered.groupBy(*by).agg(F.count("*").alias("_c"))

@@ -94,12 +94,16 @@ def _fit_groups(p: int, keys: list[str], alphas: list[float], blocks: dict[str,
         if len(whole):
             full = whole.iloc[0]
             for name, idx in blocks.items():
-                pairs = []
-                for _, g in pdf[pdf["split"] >= 0].groupby("split"):
-                    tr, va = g[g["inner_role"] == "train"], g[g["inner_role"] == "validation"]
-                    if len(tr) and len(va) and tr["n"].iloc[0] >= 5:
-                        pairs.append((narrowed(tr.iloc[0], idx), narrowed(va.iloc[0], idx)))
-                best = choose(pairs, len(idx))
+                best = DEFAULT_ALPHA
+                for _, made in sorted(pdf[pdf["split"] >= 0].groupby("k"), key=lambda g: -g[0]):
+                    pairs = []
+                    for _, g in made.groupby("split"):
+                        tr, va = g[g["inner_role"] == "train"], g[g["inner_role"] == "validation"]
+                        if len(tr) and len(va) and tr["n"].iloc[0] >= 5:
+                            pairs.append((narrowed(tr.iloc[0], idx), narrowed(va.iloc[0], idx)))
+                    if len(pairs) >= 2:
+                        best = choose(pairs, len(idx))
+                        break
                 b0, w = ridge_from_moments(narrowed(full, idx), len(idx), best)
                 slopes = np.zeros(p)
                 slopes[idx] = w
@@ -121,6 +125,10 @@ def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, a
                        by: tuple = ("fold",), blocks: dict[str, list[str]] | None = None) -> DataFrame:
     """(by, block, alpha, n_train, intercept, slopes), the penalty picked by purged inner splits.
 
+    Where fewer than two of ``k_inner`` splits survive the purge, fewer are made, down to two; where
+    that fails too, the penalty is the default one. Columns are centred on their means over all rows
+    before moments are taken, so large offsets cost no digits.
+
     ``rows`` is a purged, imputed membership table without missing y; ``by`` may add
     configuration keys to the fold. All fits of all configurations, folds, splits,
     blocks and penalties come from one grouped scan of moments; only those small
@@ -132,16 +140,26 @@ def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, a
     keys = [*by]
     idx = {n: [xs.index(c) for c in cs] for n, cs in (blocks or {"all": xs}).items()}
     train = rows.where("role = 'train'")
+    means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*xs, y]]).first()
+    offset = {c: float(means[c] or 0.0) for c in [*xs, y]}
+    train = train.withColumns({c: F.col(c).cast("double") - F.lit(m) for c, m in offset.items()})
     placed = inner_positions(train, keys, "event_date", "event_id")
-    inner = inner_membership(placed, keys, "_pos", "_n", "event_date", label_end, k_inner)
-    inner_m = moments(inner, [*keys, "split", "inner_role"], xs, y)
-    outer_m = moments(train, keys, xs, y).withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("all"))
+    inner_m = None
+    for k in range(k_inner, 1, -1):
+        inner = inner_membership(placed, keys, "_pos", "_n", "event_date", label_end, k)
+        m = moments(inner, [*keys, "split", "inner_role"], xs, y).withColumn("k", F.lit(k))
+        inner_m = m if inner_m is None else inner_m.unionByName(m)
+    outer_m = moments(train, keys, xs, y).withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("all")).withColumn("k", F.lit(0))
     both = outer_m.unionByName(inner_m)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name in keys)
-    return both.groupBy(*keys).applyInPandas(
+    fits = both.groupBy(*keys).applyInPandas(
         _fit_groups(len(xs), keys, alphas, idx),
         f"{types}, block string, alpha double, n_train long, intercept double, slopes array<double>",
     )
+    moved = F.lit(offset[y])
+    for i, x in enumerate(xs):
+        moved = moved - F.element_at("slopes", i + 1) * F.lit(offset[x])
+    return fits.withColumn("intercept", F.col("intercept") + moved)
 
 
 def linear_predictions(test: DataFrame, fits: DataFrame, keys: list[str], xs: list[str], out: str = "y_pred") -> DataFrame:

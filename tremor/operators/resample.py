@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tremor.functions.draws import cluster_draws, hash_unit
-from tremor.functions.ordered import running_sums, value_ranks
+from tremor.functions.ordered import value_ranks
 
 MIN_ROWS = 8
 MIN_DRAWS = 100
@@ -110,20 +110,21 @@ def permutation_auc(df: DataFrame, by: list[str], cluster: str, key: str, y: str
     """Cluster-level label permutation with fixed predictions.
 
     Ranks never change, so a permuted AUC needs only each cluster's rank sum and
-    size: permuting costs draws x clusters. A cluster's label is its first row's.
+    size: permuting costs draws x clusters, one window per draw. A cluster's label is
+    its first row's.
     """
     ranks = value_ranks(df, by, score).select(*by, score, "rank")
     cells = df.groupBy(*by, cluster, score).agg(F.count("*").alias("_c"), F.min(F.struct(key, y)).alias("_first"))
     stats = cells.join(ranks, [*by, score]).groupBy(*by, cluster).agg(
         F.sum(F.col("rank") * F.col("_c")).alias("rs"), F.sum("_c").alias("nr"), F.min("_first").alias("_first")
     ).withColumn("label", F.col(f"_first.{y}")).drop("_first")
-    w = W.partitionBy(*by).orderBy(cluster)
-    slots = stats.withColumn("slot", F.row_number().over(w))
+    # a permutation gives the positive labels to the clusters that come first in a hashed order
+    positives = stats.groupBy(*by).agg(F.sum("label").alias("_k"))
+    order = W.partitionBy(*by, "b").orderBy(hash_unit(seed, "b", F.col(cluster).cast("string")), cluster)
     shuffled = (
-        stats.select(*by, cluster, "label")
+        stats.join(F.broadcast(positives), by).drop("label")  # one row per model
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-        .withColumn("slot", F.row_number().over(W.partitionBy(*by, "b").orderBy(hash_unit(seed, "b", F.col(cluster).cast("string")), cluster)))
-        .select(*by, "b", "slot", "label")
+        .withColumn("label", (F.row_number().over(order) <= F.col("_k")).cast("int"))
     )
 
     def auc(d, keys):
@@ -136,35 +137,39 @@ def permutation_auc(df: DataFrame, by: list[str], cluster: str, key: str, y: str
         return g.select(*keys, F.coalesce((F.col("_r") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0.0)), F.lit(0.5)).alias("auc"))
 
     observed = auc(stats, by)
-    drawn = auc(slots.drop("label").join(shuffled, [*by, "slot"]), [*by, "b"]).withColumnRenamed("auc", "perm")
+    drawn = auc(shuffled, [*by, "b"]).withColumnRenamed("auc", "perm")
     return drawn.join(observed, by).groupBy(*by, F.col("auc").alias("observed_auc")).agg(
         F.avg("perm").alias("perm_mean"), F.stddev_pop("perm").alias("perm_sd"), F.percentile("perm", 0.95).alias("perm_p95"),
         ((1 + F.sum((F.col("perm") >= F.col("auc")).cast("long"))) / (1 + F.count("*"))).alias("p_value"),
     )
 
 
-def cluster_concordance(df: DataFrame, by: list[str], cluster: str, clusters: list[str], y: str, score: str) -> DataFrame:
-    """(by, ci, cj, wins, pairs): positives of ci scored above negatives of cj, ties half.
+def weighted_auc(df: DataFrame, by: list[str], y: str, score: str, w: str) -> DataFrame:
+    """(by, auc) of rows with weights, ties half: one running sum over each group's distinct scores."""
+    cells = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0)).alias("_p"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0)).alias("_q"))
+    upto = W.partitionBy(*by).orderBy(score)
+    below = cells.withColumn("_below", F.sum("_q").over(upto) - F.col("_q") / 2.0)
+    return below.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_below")) / F.nullif(F.sum("_p") * F.sum("_q") * F.lit(1.0), F.lit(0.0))).alias("auc"))
 
-    ``clusters`` is the declared, bounded cluster list; running counts carry one
-    column per cluster, so no pair of rows is ever formed.
+
+def auc_bootstrap(df: DataFrame, by: list[str], cluster: str, y: str, score: str, n_boot: int, within: list[str] | None = None,
+                  seed: int = 42) -> DataFrame:
+    """AUC with the percentile interval of cluster draws: (by, value, n_draws, ci_low, ci_high).
+
+    Clusters are drawn within ``within`` (the class, for a stratified row bootstrap) as well as
+    ``by``. Rows are counted per (cluster, class, score) first, so the work is draws x those cells
+    however many clusters there are. Draws without both classes drop out.
     """
     live = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
-    neg = live.groupBy(*by, score).agg(
-        *[F.sum(((F.col(cluster) == c) & (F.col(y) == 0)).cast("long")).alias(f"g{i}") for i, c in enumerate(clusters)]
-    )
-    ran = running_sums(neg, by, score, [f"g{i}" for i in range(len(clusters))])
-    below = F.array(*[
-        F.struct(F.lit(c).alias("cj"), (F.col(f"g{i}_upto") - F.col(f"g{i}") / 2.0).alias("b"), F.col(f"g{i}_total").alias("t"))
-        for i, c in enumerate(clusters)
-    ])
-    pos = live.where(F.col(y) == 1).groupBy(*by, score, F.col(cluster).alias("ci")).agg(F.count("*").alias("np"))
-    return (
-        pos.join(ran.select(*by, score, below.alias("_b")), [*by, score])
-        .select(*by, "ci", "np", F.explode("_b").alias("_s"))
-        .groupBy(*by, "ci", F.col("_s.cj").alias("cj"))
-        .agg(F.sum(F.col("np") * F.col("_s.b")).alias("wins"), F.sum(F.col("np") * F.col("_s.t")).alias("pairs"))
-    )
+    keys = [*by, *(within or [])]
+    cells = live.groupBy(*dict.fromkeys([*keys, cluster, y, score])).agg(F.count("*").alias("_c"))
+    draws = cluster_draws(live.select(*keys, cluster).distinct(), keys, cluster, n_boot, seed)
+    drawn = cells.join(draws, [*keys, cluster]).withColumn("_w", F.col("_c") * F.col("w"))
+    dist = weighted_auc(drawn, [*by, "b"], y, score, "_w").where(F.col("auc").isNotNull())
+    point = weighted_auc(cells, by, y, score, "_c").withColumnRenamed("auc", "value")
+    ok = F.col("n_draws") >= MIN_DRAWS
+    ci = dist.groupBy(*by).agg(F.count("*").alias("n_draws"), F.percentile("auc", 0.025).alias("_l"), F.percentile("auc", 0.975).alias("_h"))
+    return point.join(ci, by).select(*by, "value", "n_draws", F.when(ok, F.col("_l")).alias("ci_low"), F.when(ok, F.col("_h")).alias("ci_high"))
 
 
 def concordance_bootstrap(conc: DataFrame, by: list[str], clusters: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:

@@ -520,7 +520,7 @@ def _draw_sql(src, by, cluster, n_boot, seed=42, tag="dr"):
     part = f"PARTITION BY {', '.join(by)} " if by else ""
     join = " AND ".join([f"p.{c} = n.{c}" for c in by] + ["p.no = n.no"])
     return f"""
-{tag}_n AS (SELECT {cols}{cluster} AS cluster, row_number() OVER ({part}ORDER BY {cluster}) - 1 AS no FROM (SELECT DISTINCT {cols}{cluster} FROM {src})),
+{tag}_n AS (SELECT {cols}{cluster} AS cluster, row_number() OVER ({part}ORDER BY {cluster}::VARCHAR) - 1 AS no FROM (SELECT DISTINCT {cols}{cluster} FROM {src})),
 {tag}_c AS (SELECT {cols}count(*) AS c FROM {tag}_n {'GROUP BY ' + ', '.join(by) if by else ''}),
 {tag}_q AS (SELECT {cols}c, b, q, md5('{seed}:' || b || ':' || q) AS m
   FROM (SELECT {cols}c, unnest(range(0, {n_boot})) AS b FROM {tag}_c), LATERAL (SELECT unnest(range(0, (c + 3) // 4)) AS q)),
@@ -615,7 +615,7 @@ def b09_b10_b11_verdicts(spark, sf_dir):
                     rnd("p_worse").alias("p_worse"), rnd("p_holm").alias("p_holm"), "verdict")
 
 
-def verdicts(c, models, bases, n_boot=NB, cluster="cluster"):
+def verdicts(c, models, bases, n_boot=NB_ERROR, cluster="cluster"):
     """Each model against each baseline: clustered interval, Holm p per target, text verdict.
 
     All comparisons of a target share one set of draws.
@@ -653,38 +653,61 @@ def b07_equivalence(spark, sf_dir):
     ev_ = c.groupBy("target", "cluster", "event_id").agg(
         F.avg(F.when(F.col("model").isin("ols", "train_median"), e2)).alias("se"), F.max(F.when(F.col("model") == "train_mean", e2)).alias("sb"))
     terms = ev_.groupBy("target", "cluster").agg(F.sum("se").alias("sm"), F.sum("sb").alias("sb"), F.lit(0.0).alias("am"), F.lit(0.0).alias("ab"), F.count("*").alias("nr"))
-    b = rs.paired_bootstrap(terms, ["target"], "cluster", NB, alpha=0.10)
+    b = rs.paired_bootstrap(terms, ["target"], "cluster", NB_ERROR, alpha=0.10)
     inside = (F.col("ci_low") > -0.5) & (F.col("ci_high") < 0.5)
     return b.select("target", rnd("ci_low", 5).alias("ci_low"), rnd("ci_high", 5).alias("ci_high"), inside.alias("equivalent"))
 
 
-SQL_CONC = """
-cj AS (SELECT p.series_id AS ci, n.series_id AS cj, sum(CASE WHEN p.prob > n.prob THEN 1 WHEN p.prob = n.prob THEN 0.5 ELSE 0 END) AS wins, count(*)::DOUBLE AS pairs
-  FROM dir p JOIN dir n ON p.model = 'ols' AND n.model = 'ols' AND p.y = 1 AND n.y = 0 GROUP BY 1, 2)"""
+SQL_DIRC = """
+dd AS (SELECT d.*, e.series_id || ':' || CAST(CAST(e.episode AS BIGINT) AS VARCHAR) AS cluster FROM dir d JOIN epi e USING (event_id) WHERE d.model = 'ols')"""
 
 
-@query("b05_cluster_auc_bootstrap", ctes(SQL_OOF, SQL_DIR, SQL_CONC, _draw_sql("(SELECT * FROM dir WHERE model = 'ols')", [], "series_id", NB), """
-ds AS (SELECT a.b, sum(a.w * b.w * wins) / sum(a.w * b.w * pairs) AS v FROM cj JOIN dr a ON a.cluster = ci JOIN dr b ON b.cluster = cj.cj AND b.b = a.b GROUP BY 1)""") + f"""
-SELECT {r("(SELECT sum(wins) / sum(pairs) FROM cj)", name="value")}, count(*) AS n_draws, {r("quantile_cont(v, 0.025)", name="ci_low")}, {r("quantile_cont(v, 0.975)", name="ci_high")} FROM ds WHERE v IS NOT NULL""")
-def b05_cluster_auc_bootstrap(spark, sf_dir):
-    d = directions(spark, sf_dir).where("model = 'ols'")
-    names = sorted(x[0] for x in d.select("series_id").distinct().collect())  # the series list is bounded
-    conc = rs.cluster_concordance(d, ["model"], "series_id", names, "y", "prob")
-    clusters = d.select("model", F.col("series_id").alias("cluster")).distinct()
-    b = rs.concordance_bootstrap(conc, ["model"], clusters, NB)
+def _auc_sql(joined):
+    """Interval of the weighted AUC of ``joined`` (b, prob, y, w), and the plain AUC of dd."""
+    return f"""
+wc AS (SELECT b, prob, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM {joined} GROUP BY 1, 2),
+wb AS (SELECT *, sum(q) OVER (PARTITION BY b ORDER BY prob) - q / 2.0 AS below FROM wc),
+ds AS (SELECT b, sum(p * below) / nullif(sum(p) * sum(q), 0) AS v FROM wb GROUP BY 1),
+oc AS (SELECT prob, sum(y) AS p, sum(1 - y) AS q FROM dd GROUP BY 1),
+ob AS (SELECT sum(p * below) / (sum(p) * sum(q)) AS v FROM (SELECT *, sum(q) OVER (ORDER BY prob) - q / 2.0 AS below FROM oc))"""
+
+
+_AUC_OUT = f"""
+SELECT {r("(SELECT v FROM ob)", name="value")}, count(*) AS n_draws, {r("quantile_cont(v, 0.025)", name="ci_low")}, {r("quantile_cont(v, 0.975)", name="ci_high")} FROM ds WHERE v IS NOT NULL"""
+
+
+def clustered_directions(spark, sf_dir):
+    """Direction scores of the line model, with each event's episode."""
+    c = clustered(spark, sf_dir).where("model = 'ols' AND target = 'ret5'").select("event_id", "cluster")
+    return directions(spark, sf_dir).where("model = 'ols'").join(c, "event_id")
+
+
+def _auc_out(b):
     return b.select(rnd("value").alias("value"), "n_draws", rnd("ci_low").alias("ci_low"), rnd("ci_high").alias("ci_high"))
 
 
-@query("b12_label_permutation", ctes(SQL_OOF, SQL_DIR, SQL_EPI, """
-dd AS (SELECT d.*, e.series_id || ':' || CAST(CAST(e.episode AS BIGINT) AS VARCHAR) AS cluster FROM dir d JOIN epi e USING (event_id) WHERE d.model = 'ols'),
+@query("b05_cluster_auc_bootstrap", ctes(SQL_OOF, SQL_DIR, SQL_EPI, SQL_DIRC, _draw_sql("dd", [], "cluster", NB),
+       "dj AS (SELECT d.b, dd.prob, dd.y, d.w FROM dd JOIN dr d USING (cluster))", _auc_sql("dj")) + _AUC_OUT)
+def b05_cluster_auc_bootstrap(spark, sf_dir):
+    """Episodes are drawn, whatever their number."""
+    return _auc_out(rs.auc_bootstrap(clustered_directions(spark, sf_dir), ["model"], "cluster", "y", "prob", NB))
+
+
+@query("b05_stratified_auc", ctes(SQL_OOF, SQL_DIR, SQL_EPI, SQL_DIRC, _draw_sql("dd", ["y"], "event_id", NB),
+       "dj AS (SELECT d.b, dd.prob, dd.y, d.w FROM dd JOIN dr d ON d.cluster = dd.event_id AND d.y = dd.y)", _auc_sql("dj")) + _AUC_OUT)
+def b05_stratified_auc(spark, sf_dir):
+    """Rows are drawn within their class."""
+    return _auc_out(rs.auc_bootstrap(clustered_directions(spark, sf_dir), ["model"], "event_id", "y", "prob", NB, within=["y"]))
+
+
+@query("b12_label_permutation", ctes(SQL_OOF, SQL_DIR, SQL_EPI, SQL_DIRC, """
 rk AS (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk FROM dd),
-cs AS (SELECT cluster, sum(rk) AS rs, count(*)::DOUBLE AS nr, min_by(y, event_id) AS label, row_number() OVER (ORDER BY cluster) AS slot FROM rk GROUP BY 1),
-sh AS (SELECT b, label, row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(md5('42:' || b || ':' || cluster), 1, 8))::BIGINT, cluster) AS slot FROM cs, (SELECT unnest(range(0, 400)) AS b)),
-au AS (SELECT b, (sum(rs) FILTER (s.label = 1) - (sum(nr) FILTER (s.label = 1)) * (sum(nr) FILTER (s.label = 1) + 1) / 2) / ((sum(nr) FILTER (s.label = 1)) * (sum(nr) - sum(nr) FILTER (s.label = 1))) AS a FROM cs JOIN sh s USING (slot) GROUP BY 1),
+cs AS (SELECT cluster, sum(rk) AS rs, count(*)::DOUBLE AS nr, min_by(y, event_id) AS label FROM rk GROUP BY 1),
+sh AS (SELECT b, rs, nr, (row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(md5('42:' || b || ':' || cluster), 1, 8))::BIGINT, cluster) <= (SELECT sum(label) FROM cs))::INT AS label FROM cs, (SELECT unnest(range(0, 5000)) AS b)),
+au AS (SELECT b, (sum(rs) FILTER (label = 1) - (sum(nr) FILTER (label = 1)) * (sum(nr) FILTER (label = 1) + 1) / 2) / ((sum(nr) FILTER (label = 1)) * (sum(nr) - sum(nr) FILTER (label = 1))) AS a FROM sh GROUP BY 1),
 ob AS (SELECT (sum(rs) FILTER (label = 1) - (sum(nr) FILTER (label = 1)) * (sum(nr) FILTER (label = 1) + 1) / 2) / ((sum(nr) FILTER (label = 1)) * (sum(nr) - sum(nr) FILTER (label = 1))) AS a FROM cs)""") + f"""
 SELECT {r("any_value(ob.a)", name="observed_auc")}, {r("avg(au.a)", name="perm_mean")}, {r("stddev_pop(au.a)", name="perm_sd")}, {r("quantile_cont(au.a, 0.95)", name="perm_p95")},
  {r("(1 + sum((au.a >= ob.a)::INT)) / (1 + count(*))", name="p_value")} FROM au, ob""")
 def b12_label_permutation(spark, sf_dir):
-    d = directions(spark, sf_dir).where("model = 'ols'").join(clustered(spark, sf_dir).where("model = 'ols' AND target = 'ret5'").select("event_id", "cluster"), "event_id")
-    p = rs.permutation_auc(d, ["model"], "cluster", "event_id", "y", "prob", 400)
+    p = rs.permutation_auc(clustered_directions(spark, sf_dir), ["model"], "cluster", "event_id", "y", "prob", 5000)
     return p.select(*[rnd(c).alias(c) for c in ("observed_auc", "perm_mean", "perm_sd", "perm_p95", "p_value")])

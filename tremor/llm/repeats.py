@@ -9,7 +9,9 @@ groups that hold different runs are sorted on by passes over 8 bytes at a time,
 the suffixes that stand alone. What is equal after the last pass are exactly the repeated strings,
 and all but the first by (doc_id, start) are removed.
 
-Equal runs are known by 128 bits of hashes, everything else is compared byte by byte. Sorted rows
+Equal runs are known by 128 bits of hashes, everything else is compared byte by byte. Of equal runs
+that a task reads together only the first goes to its anchor's group, the others are settled where
+they are, so a passage that a third of the texts hold sends one row for each PART of text. Sorted rows
 stream through the tasks, and no group is held except its runs with different bytes; groups of more
 than ``MOST`` such runs (a phrase in ever new surroundings) are cut up into single suffixes, dealt
 by a 128-bit hash of all their bytes and settled by partial minimums. Texts are shuffled once: the
@@ -114,7 +116,13 @@ def _base(raw: bytes, apart: bool) -> int:
     return (xxhash.xxh3_64_intdigest(raw) & 0x3FFFFF) << 40 if apart else 0
 
 
+def _spread(i: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
 def _run_batches(batches, apart: bool):
+    """Runs of the texts; a run that another one handled with it equals and precedes has its ``nr`` negative."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         rows = [(i, _base(raw, apart), raw) for i, raw in zip(batch.column(0).to_pylist(), map(_raw, batch.column(1).to_pylist()), strict=True)]
@@ -122,7 +130,14 @@ def _run_batches(batches, apart: bool):
             text, at, n, rel, h = anchor_runs(list(texts))
             nr = n << 8 | rel
             c = np.fromiter((digest(texts[t][a : a + m + LENGTH - 1], s) for t, a, m, s in zip(text.tolist(), at.tolist(), n.tolist(), nr.tolist(), strict=True)), np.uint64, len(text))
-            yield rows_of(RUNS, [h, c.view(np.int64), np.array(ids, np.int64)[text], at + np.array(offsets, np.int64)[text], nr])
+            c, i, at = c.view(np.int64), np.array(ids, np.int64)[text], at + np.array(offsets, np.int64)[text]
+            order = np.lexsort((at, i, c, h))
+            h, c, i, at, nr = (x[order] for x in (h, c, i, at, nr))
+            new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])][: len(h)]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            again = (i != i[first]) | (at != at[first])
+            # settled here: they need no group, so their own place deals them out
+            yield rows_of(RUNS, [np.where(again, _spread(i, at), h), np.where(again, 0, c), i, at, np.where(again, -nr, nr)])
 
 
 def _settle_batches(batches):
@@ -130,7 +145,12 @@ def _settle_batches(batches):
     last = None  # the latest row's h and c, and its class' first id and at
     open_ = None  # the latest first run: h, id, at, nr, whether the one before had its h
     for batch in batches:
-        h, c, i, at, nr = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        settled = columns[4] < 0
+        if settled.any():
+            done = [x[settled] for x in columns]
+            yield rows_of(SORTED, [np.ones(len(done[0]), bool), done[0], done[2], done[3], -done[4]])
+        h, c, i, at, nr = (x[~settled] for x in columns)
         if not len(h):
             continue
         new = np.ones(len(h), bool)

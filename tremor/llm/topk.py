@@ -4,8 +4,8 @@ A vector's components are dealt to ``NODES`` nodes; a score is the sum of the no
 Phase 1: every node gives its best k entries of each query; the exact scores of those name the k-th
 best so far, a safe cutoff. Phase 2: the cutoff goes out with the queries, and every node gives the
 entries with at least cutoff / NODES: an entry below that on every node can't reach the cutoff.
-Phase 3: entries whose bound (known partials plus cutoff / NODES for each missing one) reaches the
-cutoff are resolved exactly. The stated query set meets all candidates in blocks: ``QBLOCK`` queries
+Phase 3: those entries are resolved exactly, in the block where their other partial scores lie, and
+only what reaches the cutoff is shuffled and ranked. The stated query set meets all candidates in blocks: ``QBLOCK`` queries
 and ``CBLOCK`` candidates packed into one row each, query blocks copied to ``SLOTS`` keys and joined
 on the key, so no side is broadcast and no pair of rows is made outside numpy. Of equal vectors only
 the k + 1 smallest ids can be among the best, so a hot vector is k + 1 candidates.
@@ -73,7 +73,7 @@ def _unpack(n, ids, cells):
 
 
 def _partials(batches):
-    """For each joined pair of blocks and node: query ids, cutoffs, candidate ids, partial scores."""
+    """For each joined pair of blocks: query ids, cutoffs, candidate ids, and each node's partial scores."""
     for batch in batches:
         for k in range(len(batch)):
             qn, qi, qv, qc, cn, ci, cv = (c[k].as_py() for c in batch.columns)
@@ -81,34 +81,46 @@ def _partials(batches):
             ci, cv = _unpack(cn, ci, cv)
             dim = min(qv.shape[1], cv.shape[1])
             cut = np.frombuffer(qc, np.int64)
+            parts = []
             for node in range(NODES):
                 a, b = qv[:, node:dim:NODES], cv[:, node:dim:NODES]
                 if np.abs(a).max(initial=0) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1]) < 2**53:
-                    part = (a.astype(float) @ b.astype(float).T).astype(np.int64)
+                    parts.append((a.astype(float) @ b.astype(float).T).astype(np.int64))
                 else:
-                    part = a @ b.T
-                yield node, qi, cut, ci, part
+                    parts.append(a @ b.T)
+            yield qi, cut, ci, parts
 
 
 def _best_batches(batches, k: int):
     """Phase 1: each node's best k entries of each query in a block, not counting the query itself."""
-    for node, qi, _, ci, part in _partials(batches):
-        part[qi[:, None] == ci[None, :]] = np.iinfo(np.int64).min
-        most = min(k, len(ci))
-        best = np.argpartition(-part, most - 1, axis=1)[:, :most]
-        rows, cols = np.repeat(np.arange(len(qi)), most), best.ravel()
-        fine = qi[rows] != ci[cols]
-        rows, cols = rows[fine], cols[fine]
-        yield rows_of(ENTRY, [qi[rows], np.full(len(rows), node), ci[cols], part[rows, cols]])
+    for qi, _, ci, parts in _partials(batches):
+        for node, part in enumerate(parts):
+            part[qi[:, None] == ci[None, :]] = np.iinfo(np.int64).min
+            most = min(k, len(ci))
+            best = np.argpartition(-part, most - 1, axis=1)[:, :most]
+            rows, cols = np.repeat(np.arange(len(qi)), most), best.ravel()
+            fine = qi[rows] != ci[cols]
+            rows, cols = rows[fine], cols[fine]
+            yield rows_of(ENTRY, [qi[rows], np.full(len(rows), node), ci[cols], part[rows, cols]])
 
 
 def _enough_batches(batches):
-    """Phase 2: each node's entries with at least cutoff / NODES."""
-    for node, qi, cut, ci, part in _partials(batches):
-        rows, cols = np.nonzero((part >= np.ceil(cut / NODES).astype(np.int64)[:, None]) & (qi[:, None] != ci[None, :]))
+    """Phases 2 and 3: entries that have cutoff / NODES on some node, resolved where their block lies.
+
+    All nodes' components of a block are at hand in its task, so what is missing of an entry is added
+    there, and only entries whose exact score reaches the cutoff leave it.
+    """
+    for qi, cut, ci, parts in _partials(batches):
+        share = np.ceil(cut / NODES).astype(np.int64)[:, None]
+        enough = parts[0] >= share
+        for part in parts[1:]:
+            enough |= part >= share
+        rows, cols = np.nonzero(enough & (qi[:, None] != ci[None, :]))
         for at in range(0, len(rows), 100_000):
             r, c = rows[at : at + 100_000], cols[at : at + 100_000]
-            yield rows_of(ENTRY, [qi[r], np.full(len(r), node), ci[c], part[r, c]])
+            score = sum(part[r, c] for part in parts)
+            fine = score >= cut[r]
+            yield rows_of(ENTRY, [qi[r[fine]], np.full(int(fine.sum()), -1), ci[c[fine]], score[fine]])
 
 
 def _met(queries: DataFrame, candidates: DataFrame, fn, *args) -> DataFrame:
@@ -148,11 +160,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     cut = cut.toDF("vec_id", "v", "cut")
 
     enough = _met(_blocks(cut, QBLOCK, F.col("cut")), blocks, _enough_batches)
-    known = enough.groupBy("query_id", "vec_id").agg(F.sum("part").alias("known"), F.count("*").alias("nodes"))
-    known = known.join(cut.select(F.col("vec_id").alias("query_id"), "cut"), "query_id")
-    bound = F.col("known") + (NODES - F.col("nodes")) * F.col("cut") / NODES
-    left = known.where(bound >= F.col("cut")).select("query_id", "vec_id")
-    found = _ranked(_resolve(left, vectors), k)
+    found = _ranked(enough.select("query_id", "vec_id", F.col("part").alias("score")), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

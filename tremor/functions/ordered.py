@@ -34,16 +34,23 @@ def with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=value, outputCol="_bucket").transform(df)
 
 
+#: Rows that one bucket of running sums is meant to hold, and buckets at least and at most.
+BUCKET_ROWS, FEWEST, MOST = 100_000, 16, 4096
+
+
 def running_sums(
-    df: DataFrame, by: list[str], value: str, sums: list[str], buckets: int = 64
+    df: DataFrame, by: list[str], value: str, sums: list[str], buckets: int | None = None
 ) -> DataFrame:
     """Adds ``<s>_upto`` (inclusive running sum by ascending value) and ``<s>_total``.
 
     ``df`` holds one row per (by, value). The offset window sees at most ``buckets``
-    rows per group; the inner window sees one bucket of one group.
+    rows per group; the inner window sees one bucket of one group. The number of buckets
+    follows the rows unless given; it never changes the result.
     """
     # computed once: the cut points and both passes below read the same table
     df = stage(df.where(F.col(value).isNotNull()), "runs")
+    if buckets is None:
+        buckets = max(FEWEST, min(MOST, df.count() // BUCKET_ROWS))
     parted = with_bucket(df, value, buckets)
     per_bucket = parted.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -65,7 +72,7 @@ def running_sums(
     )
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, buckets: int = 64) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, buckets: int | None = None) -> DataFrame:
     """One row per (by, value): count ``n``, average-tie rank ``rank``, group size ``n_total``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     ran = running_sums(counts, by, value, ["n"], buckets)
@@ -73,7 +80,7 @@ def value_ranks(df: DataFrame, by: list[str], value: str, buckets: int = 64) ->
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int = 64
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per group, one column per entry of ``probs``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))

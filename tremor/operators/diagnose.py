@@ -164,12 +164,12 @@ def value_states(df: DataFrame, key: str, rules: dict[str, Column | None]) -> Da
 def outliers(df: DataFrame, by: list[str], value: str, iqr_k: float = IQR_K, mad_z: float = MAD_Z) -> DataFrame:
     """Quartile fences and robust z counts per group, with exact quantiles."""
     q = exact_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    j = df.where(F.col(value).isNotNull()).join(F.broadcast(q), by)  # one row per group
+    j = df.where(F.col(value).isNotNull()).join(q, by)
     mad = exact_quantiles(j.select(*by, F.abs(F.col(value) - F.col("median")).alias("_d")), by, "_d", {"mad": 0.5}).drop("n_total")
     lo = F.col("q1") - iqr_k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + iqr_k * (F.col("q3") - F.col("q1"))
     z = MAD_SCALE * F.abs(F.col(value) - F.col("median")) / F.nullif(F.col("mad"), F.lit(0.0))
-    return j.join(F.broadcast(mad), by).groupBy(*by, "q1", "median", "q3", "mad").agg(
+    return j.join(mad, by).groupBy(*by, "q1", "median", "q3", "mad").agg(
         F.count("*").alias("n"), F.max(lo).alias("iqr_low"), F.max(hi).alias("iqr_high"),
         F.sum(((F.col(value) < lo) | (F.col(value) > hi)).cast("long")).alias("n_iqr"), F.sum(F.coalesce(z > mad_z, F.lit(False)).cast("long")).alias("n_mad"))
 

@@ -150,7 +150,7 @@ def leave_one_out(oof: DataFrame, by: list[str], key: str) -> DataFrame:
     full = 1 - F.col("_sse") / F.nullif(sst, F.lit(0.0))
     # removing one value from a mean shrinks the sum of squares by d^2 n / (n - 1)
     part = 1 - (F.col("_sse") - e2) / F.nullif(sst - d * d * n / (n - 1), F.lit(0.0))
-    return oof.join(F.broadcast(tot), by).select(  # one row per configuration
+    return oof.join(tot, by).select(
         *by, key, full.alias("full_r2"), part.alias("loo_r2"), (full - part).alias("influence")
     )
 
@@ -165,14 +165,14 @@ def conformal(oof: DataFrame, by: list[str], alpha: float = 0.2) -> DataFrame:
     later = folds.select(*by, F.col("fold").alias("at"))
     prior = (
         oof.select(*by, F.col("fold").alias("_f"), F.abs(F.col("y_true") - F.col("y_pred")).alias("_r"))
-        .join(F.broadcast(later), by)  # folds x configurations
+        .join(later, by)
         .where(F.col("_f") < F.col("at"))
     )
     ran = value_ranks(prior, [*by, "at"], "_r")
     k = F.least(F.ceil((F.col("n_total") + 1) * F.lit(1 - alpha)), F.col("n_total"))
     q = ran.where(F.col("n_upto") >= k).groupBy(*by, "at").agg(F.min("_r").alias("half_width")).withColumnRenamed("at", "fold")
     inside = F.abs(F.col("y_true") - F.col("y_pred")) <= F.col("half_width")
-    return oof.join(F.broadcast(q), [*by, "fold"]).groupBy(*by, "fold").agg(
+    return oof.join(q, [*by, "fold"]).groupBy(*by, "fold").agg(
         F.count("*").alias("n"), F.sum(inside.cast("long")).alias("covered"), F.max("half_width").alias("half_width")
     )
 

@@ -118,7 +118,7 @@ def inner_positions(train: DataFrame, by: list[str], date: str, key: str) -> Dat
     """Train rows with their place and count inside each fold."""
     placed = order_index(train, date, key, "_pos", by=by)
     n = train.groupBy(*by).agg(F.count("*").alias("_n"))
-    return placed.join(F.broadcast(n), by)  # one row per fold
+    return placed.join(n, by)
 
 
 def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, alphas=None, k_inner: int = 3,
@@ -163,11 +163,11 @@ def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, a
 
 
 def linear_predictions(test: DataFrame, fits: DataFrame, keys: list[str], xs: list[str], out: str = "y_pred") -> DataFrame:
-    """Predictions as a column expression over broadcast coefficients (one row per fit)."""
+    """Predictions as a column expression over the joined coefficients (one row per fit)."""
     value = F.col("intercept")
     for i, x in enumerate(xs):
         value = value + F.element_at("slopes", i + 1) * F.col(x)
-    return test.join(F.broadcast(fits), keys).withColumn(out, value)
+    return test.join(fits, keys).withColumn(out, value)
 
 
 def fit_folds(rows: DataFrame, folds: list[int], estimator, xs: list[str], y: str, keep: list[str],
@@ -184,6 +184,8 @@ def fit_folds(rows: DataFrame, folds: list[int], estimator, xs: list[str], y: st
         model = pipe.fit(data.where((F.col("fold") == f) & (F.col("role") == "train")))
         return model.transform(data.where((F.col("fold") == f) & (F.col("role") == "test"))).select("fold", *keep, output.alias("y_pred"))
 
+    if not folds:
+        return data.limit(0).select("fold", *keep, F.lit(None).cast("double").alias("y_pred"))
     with ThreadPoolExecutor(threads) as pool:
         parts = list(pool.map(one, folds))
     out = parts[0]

@@ -197,7 +197,7 @@ def point_errors(df: DataFrame, by: list[str], t: str, event: str, pred: str) ->
 def tercile_calibration(df: DataFrame, by: list[str], actual: str, pred: str) -> DataFrame:
     """Mean actual and predicted per third of the predictions."""
     cuts = exact_quantiles(df, by, pred, {"_q1": 1 / 3, "_q2": 2 / 3}).drop("n_total")
-    j = df.join(F.broadcast(cuts), by)  # one row per configuration
+    j = df.join(cuts, by)
     bucket = F.when(F.col(pred) <= F.col("_q1"), "low").when(F.col(pred) <= F.col("_q2"), "mid").otherwise("high")
     return j.groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg(actual).alias("actual"), F.avg(pred).alias("predicted"))
 

@@ -199,18 +199,21 @@ def b04_metric_interval(spark, sf_dir):
 
 
 def _minority(spark, sf_dir):
-    """Train rows in the outer tenths of the response, features scaled by the fold's train spread."""
+    """Train rows in the outer tenths of the response, features scaled by the spread of those rows."""
     train = rows(spark, sf_dir).where("role = 'train'")
-    s = train.groupBy("fold").agg(*[F.avg(x).alias(f"_m_{x}") for x in XS], *[F.stddev_pop(x).alias(f"_s_{x}") for x in XS])
-    s = s.join(exact_quantiles(train, ["fold"], "y", {"_lo": 0.1, "_hi": 0.9}).drop("n_total"), "fold")
-    j = train.join(F.broadcast(s), "fold").where((F.col("y") < F.col("_lo")) | (F.col("y") > F.col("_hi")))  # one row per fold
+    cut = exact_quantiles(train, ["fold"], "y", {"_lo": 0.1, "_hi": 0.9}).drop("n_total")
+    few = train.join(F.broadcast(cut), "fold").where((F.col("y") < F.col("_lo")) | (F.col("y") > F.col("_hi")))  # one row per fold
+    s = few.groupBy("fold").agg(*[F.avg(x).alias(f"_m_{x}") for x in XS], *[F.stddev_samp(x).alias(f"_s_{x}") for x in XS])
+    j = few.join(F.broadcast(s), "fold")  # one row per fold
     return train, j.select("fold", "type", "event_id", "event_date", *XS, "y", *[((F.col(x) - F.col(f"_m_{x}")) / F.col(f"_s_{x}")).alias(f"z{i + 1}") for i, x in enumerate(XS)])
 
 
 @query("c08_j18_interpolated_rows", ctes(SQL_ROWS, """
 tr AS (SELECT * FROM rw WHERE role = 'train'),
-ss AS (SELECT fold, quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM tr GROUP BY 1),
-mi AS (SELECT tr.*, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM tr JOIN ss USING (fold) WHERE y < lo OR y > hi),
+qs AS (SELECT fold, quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM tr GROUP BY 1),
+m0 AS (SELECT tr.* FROM tr JOIN qs USING (fold) WHERE y < lo OR y > hi),
+ss AS (SELECT fold, avg(x1) AS m1, avg(x2) AS m2, stddev_samp(x1) AS s1, stddev_samp(x2) AS s2 FROM m0 GROUP BY 1),
+mi AS (SELECT m0.*, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM m0 JOIN ss USING (fold)),
 pr AS (SELECT a.fold, a.type, a.event_id, b.event_id AS nb, a.x1, a.x2, a.y, b.x1 AS bx1, b.x2 AS bx2, b.y AS by_, abs(date_diff('day', a.event_date, b.event_date)) <= 5 * 365.25 AS inw, round((a.z1 - b.z1) ** 2 + (a.z2 - b.z2) ** 2, 12) AS d
   FROM mi a JOIN mi b ON a.fold = b.fold AND a.type = b.type AND a.event_id <> b.event_id),
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, event_id ORDER BY inw DESC, d, nb) AS rn FROM pr) WHERE rn = 1),

@@ -197,3 +197,15 @@ def test_redundant_component_keeps_the_least_derived(spark):
     df = spark.createDataFrame([(float(a), float(a + 1e-3 * b), float(b)) for a, b in zip(x, rng.normal(size=200))], "log_return double, squared_return double, sma_5 double")
     out = dg.redundant_features(dg.pearson_pairs(df, df.columns), sm.feature_spec(spark, df.columns)).collect()
     assert [(r.dropped, r.kept) for r in out] == [("squared_return", "log_return")]
+
+
+def test_two_stage_median_is_the_first_day_at_or_below_one_half(spark):
+    from tremor.plans.model_queries import _mixed_median
+
+    rng = random.Random(6)
+    rows = [(rng.random(), rng.uniform(0.5, 120.0), rng.uniform(0.2, 2.0)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "p double, location double, scale double")
+    surv = lambda t, loc, sc_: np.exp(-((t + 0.5) / loc) ** (1 / sc_))
+    for r in df.withColumn("m", _mixed_median("p")).collect():
+        want = next((t for t in range(91) if r.p * surv(t, r.location, r.scale) <= 0.5), 90)
+        assert r.m == min(want, 90)

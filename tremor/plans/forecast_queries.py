@@ -225,30 +225,39 @@ def a06_test_type_counts(spark, sf_dir):
     return c.groupBy("fold").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n"))))).alias("type_counts"))
 
 
-@query("a11_sample_accounting", ctes(SQL_MEM, """
-f1 AS (SELECT fold, min(event_date) AS ftd FROM mem WHERE role = 'test' GROUP BY 1),
-k AS (SELECT m.*, NOT (role = 'test' OR y1_5_end IS NULL OR y1_5_end < ftd) AS purged FROM mem m JOIN f1 USING (fold)),
-pf AS (SELECT fold, sum((role = 'train' AND NOT purged AND y1_5 IS NOT NULL)::INT) AS n FROM k GROUP BY 1)""") + """
-SELECT (SELECT count(y1_5) FROM fo) AS n_labelled, (SELECT min(n) FROM pf)::BIGINT AS min_train,
- (SELECT count(DISTINCT event_id) FROM k WHERE role = 'test' AND y1_5 IS NOT NULL) AS n_held_out,
- (SELECT count(DISTINCT event_id) FROM k WHERE purged) AS n_purged,
- (SELECT count(*) FROM fo WHERE ord >= (SELECT max(ord) + 1 FROM mem)) AS n_tail""")
+def _accounting_sql(name, y, end):
+    return f"""
+f1_{name} AS (SELECT fold, min(event_date) AS ftd FROM mem WHERE role = 'test' GROUP BY 1),
+k_{name} AS (SELECT m.*, NOT (role = 'test' OR {end} IS NULL OR {end} < ftd) AS purged FROM mem m JOIN f1_{name} USING (fold)),
+pf_{name} AS (SELECT fold, sum((role = 'train' AND NOT purged AND {y} IS NOT NULL)::INT) AS n FROM k_{name} GROUP BY 1),
+a_{name} AS (SELECT '{name}' AS target, (SELECT count({y}) FROM fo) AS n_labelled, (SELECT min(n) FROM pf_{name})::BIGINT AS min_train,
+ (SELECT count(DISTINCT event_id) FROM k_{name} WHERE role = 'test' AND {y} IS NOT NULL) AS n_held_out,
+ (SELECT count(DISTINCT event_id) FROM k_{name} WHERE purged) AS n_purged,
+ (SELECT count(*) FROM fo WHERE ord >= (SELECT max(ord) + 1 FROM mem)) AS n_tail)"""
+
+
+@query("a11_sample_accounting", ctes(SQL_MEM, _accounting_sql("ret5", "y1_5", "y1_5_end"), _accounting_sql("vol5", "y2_5", "vd5")) + """
+SELECT * FROM a_ret5 UNION ALL SELECT * FROM a_vol5""")
 def a11_sample_accounting(spark, sf_dir):
-    """Labelled, trainable, held-out, purged and tail rows of one target, in two passes."""
+    """Labelled, trainable, held-out, purged and tail rows of each target, in two passes."""
     m = members(spark, sf_dir)
     first = F.broadcast(fd.first_test_dates(m, "event_date"))  # one row per fold
-    k = m.join(first, "fold").withColumn("purged", (F.col("role") == "train") & (F.coalesce(F.col("y1_5_end") >= F.col("first_test"), F.lit(False))))
-    has = F.col("y1_5").isNotNull()
-    # a row is a test row of at most one fold; purged rows can repeat, so collapse per event first
-    per_event = k.groupBy("event_id").agg(F.max("purged").alias("p"), F.max((F.col("role") == "test") & has).alias("t"), F.max("ord").alias("ord"))
-    ev_side = per_event.agg(F.sum(F.col("t").cast("long")).alias("n_held_out"), F.sum(F.col("p").cast("long")).alias("n_purged"), F.max("ord").alias("_top"))
-    fold_side = k.groupBy("fold").agg(F.sum(((F.col("role") == "train") & ~F.col("purged") & has).cast("long")).alias("n")).agg(F.min("n").alias("min_train"))
-    total = ordered(spark, sf_dir).agg(F.count("y1_5").alias("n_labelled"), F.max("ord").alias("_last"))
-    key = F.lit(1).alias("_k")
-    return (
-        ev_side.select("*", key).join(fold_side.select("*", key), "_k").join(total.select("*", key), "_k")  # one row each
-        .select("n_labelled", "min_train", "n_held_out", "n_purged", (F.col("_last") - F.col("_top")).alias("n_tail"))
-    )
+    out = None
+    for name, (y, end) in TARGETS.items():
+        k = m.join(first, "fold").withColumn("purged", (F.col("role") == "train") & (F.coalesce(F.col(end) >= F.col("first_test"), F.lit(False))))
+        has = F.col(y).isNotNull()
+        # a row is a test row of at most one fold; purged rows can repeat, so collapse per event first
+        per_event = k.groupBy("event_id").agg(F.max("purged").alias("p"), F.max((F.col("role") == "test") & has).alias("t"), F.max("ord").alias("ord"))
+        ev_side = per_event.agg(F.sum(F.col("t").cast("long")).alias("n_held_out"), F.sum(F.col("p").cast("long")).alias("n_purged"), F.max("ord").alias("_top"))
+        fold_side = k.groupBy("fold").agg(F.sum(((F.col("role") == "train") & ~F.col("purged") & has).cast("long")).alias("n")).agg(F.min("n").alias("min_train"))
+        total = ordered(spark, sf_dir).agg(F.count(y).alias("n_labelled"), F.max("ord").alias("_last"))
+        key = F.lit(1).alias("_k")
+        part = (
+            ev_side.select("*", key).join(fold_side.select("*", key), "_k").join(total.select("*", key), "_k")  # one row each
+            .select(F.lit(name).alias("target"), "n_labelled", "min_train", "n_held_out", "n_purged", (F.col("_last") - F.col("_top")).alias("n_tail"))
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("a21_fold_baselines", ctes(SQL_MEM) + f"""

@@ -31,7 +31,8 @@ def volume_fitted(spark, sf_dir):
     return staged_once(spark, sf_dir, "volume_fitted", build)
 
 
-SQL_PANEL = f"""{SQL_FIT},{SQL_SHOCKS},{SQL_ORIGIN},
+#: The panel over CTEs ``fit`` and ``origin``, whatever model made the fit.
+_PANEL = """
 ks AS (SELECT unnest(range(-5, 21)) AS k),
 pan AS (
   SELECT o.event_id, o.series_id, o.session_idx AS origin, ks.k, f.fit_alpha, f.fit_beta, f.fit_sigma, f.fit_n, f.factor_ss,
@@ -44,6 +45,8 @@ cums AS (
   FROM pan WINDOW w AS (PARTITION BY event_id ORDER BY k)),
 scars AS (SELECT *, car / (fit_sigma * sqrt(nd + nd * nd / fit_n + cdev * cdev / factor_ss)) AS scar FROM cums)"""
 
+SQL_PANEL = f"{SQL_FIT},{SQL_SHOCKS},{SQL_ORIGIN},{_PANEL}"
+
 SQL_TESTS = """
 tests AS (SELECT k, count(car) AS n_events, avg(car) AS caar, avg(car) - 1.96 * stddev_samp(car) / sqrt(count(car)) AS ci_low,
   avg(car) + 1.96 * stddev_samp(car) / sqrt(count(car)) AS ci_high,
@@ -142,17 +145,25 @@ def v08_rank_test(spark, sf_dir):
     return st.rank_test(d, -5, []).select("k", rnd("t_rank", 4).alias("t_rank"))
 
 
-@query("v07_v09_event_study_table", ctes(SQL_PANEL, SQL_TESTS, SQL_RANKS, SQL_PAIRS, """
-mc AS (SELECT sum(pw * r) / sum(pw) AS c FROM prs WHERE pw > 0)""") + f"""
+SQL_CORR = """
+mc AS (SELECT sum(pw * r) / sum(pw) AS c FROM prs WHERE pw > 0)"""
+
+SQL_TABLE = f"""
 SELECT CAST(k AS INTEGER) AS k, n_events, {", ".join(r(c, 4, c) for c in ("caar", "ci_low", "ci_high", "t_cross", "t_bmp", "t_rank"))},
   {r("t_bmp * sqrt((1 - c) / (1 + (n_events - 1) * c))", 4, "t_kp")}, {r("c", 4, "mean_corr")}
-FROM tests JOIN ranks USING (k), mc""")
-def v07_v09_event_study_table(spark, sf_dir):
-    t = st.event_study_table(fitted(spark, sf_dir), origins(spark, sf_dir), [])
+FROM tests JOIN ranks USING (k), mc"""
+
+
+def _table(t):
     cols = ["caar", "ci_low", "ci_high", "t_cross", "t_bmp", "t_rank", "t_kp", "mean_corr"]
     return t.select("k", "n_events", *[rnd(c, 4).alias(c) for c in cols])
 
 
+@query("v07_v09_event_study_table", ctes(SQL_PANEL, SQL_TESTS, SQL_RANKS, SQL_PAIRS, SQL_CORR) + SQL_TABLE)
+def v07_v09_event_study_table(spark, sf_dir):
+    return _table(st.event_study_table(fitted(spark, sf_dir), origins(spark, sf_dir), []))
+
+
 @query("f12_event_study_p_values")
 def f12_event_study_p_values(spark, sf_dir):
     """The study table with p-values per series."""
@@ -162,16 +173,9 @@ def f12_event_study_p_values(spark, sf_dir):
 
 @query("v10_volume_study", ctes(SQL_SESS, SQL_SHOCKS, SQL_ORIGIN, """
 lv AS (SELECT *, CASE WHEN volume > 0 THEN ln(volume) END AS v FROM sess),
-fit AS (SELECT *, count(v) OVER f AS n, avg(v) OVER f AS m, stddev_samp(v) OVER f AS s FROM lv
-  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
-ks AS (SELECT unnest(range(-5, 21)) AS k),
-pan AS (SELECT o.event_id, ks.k, f.n, f.s, x.v - f.m AS ar FROM origin o JOIN fit f USING (series_id, session_idx) CROSS JOIN ks
-  LEFT JOIN lv x ON x.series_id = o.series_id AND x.session_idx = o.session_idx + ks.k - 1
-  WHERE o.session_idx > 1 AND f.n >= 60),
-cums AS (SELECT *, sum(coalesce(ar, 0)) OVER (PARTITION BY event_id ORDER BY k) AS car, CAST(k + 6 AS DOUBLE) AS nd FROM pan),
-scars AS (SELECT *, car / (s * sqrt(nd + nd * nd / n)) AS scar FROM cums)""", SQL_TESTS) + f"""
-SELECT CAST(k AS INTEGER) AS k, n_events, {", ".join(r(c, 4, c) for c in ("caar", "t_cross", "t_bmp"))} FROM tests""")
+fit AS (SELECT series_id, date, session_idx, v AS log_return, 0.0::DOUBLE AS factor_ret, CASE WHEN count(v) OVER f >= 60 THEN avg(v) OVER f END AS fit_alpha, 0.0::DOUBLE AS fit_beta,
+   stddev_samp(v) OVER f AS fit_sigma, count(v) OVER f AS fit_n, 0.0::DOUBLE AS factor_mean, 1.0::DOUBLE AS factor_ss FROM lv
+  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING))""", _PANEL, SQL_TESTS, SQL_RANKS, SQL_PAIRS, SQL_CORR) + SQL_TABLE)
 def v10_volume_study(spark, sf_dir):
-    p = st.abnormal_panel(volume_fitted(spark, sf_dir), origins(spark, sf_dir), "log_volume", "factor_ret")
-    t = st.cross_section(st.standardised(st.cumulated(p, -5), -5), [])
-    return t.select("k", "n_events", *[rnd(c, 4).alias(c) for c in ("caar", "t_cross", "t_bmp")])
+    """The whole table for log volume under the mean-adjusted model."""
+    return _table(st.event_study_table(volume_fitted(spark, sf_dir), origins(spark, sf_dir), [], value="log_volume"))

@@ -31,7 +31,7 @@ from tremor.llm.registry import query
 #: Words of more parts than this are merged with a heap.
 SHORT = 64
 #: Entries of one generation of the word cache.
-CACHED = 160_000
+CACHED = 80_000
 
 _NONE = 1 << 60
 #: Open hash table of pair ranks, for lookups of whole arrays.
@@ -217,6 +217,10 @@ class Tokenizer:
                 some, size = [], 0
         yield from self.written(some)
 
+    def forget(self) -> None:
+        """Empty the cache, so that a worker that goes on to other tasks does not keep it."""
+        self.young, self.old = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in self.written([text])[0][0].split()]
 
@@ -247,12 +251,14 @@ def _digest_batches(batches, path: str):
             out[1].append(_sha(ids))
             out[2].append(_sha(decoded))
         yield rows_of(DIGESTS, [batch.column(0), *out])
+    tok.forget()
 
 
 def _encode_batches(batches, path: str, schema: T.StructType):
     tok = tokenizer(path)
     for batch in batches:
-        yield rows_of(schema, [batch.column(0), [tok.encode(t.as_py()) for t in batch.column(1)]])
+        yield rows_of(schema, [batch.column(0), [[int(i) for i in ids.split()] for ids, _ in tok.written_in_turn(batch.column(1))]])
+    tok.forget()
 
 
 def _decode_batches(batches, path: str, schema: T.StructType):

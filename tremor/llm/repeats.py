@@ -42,7 +42,7 @@ GRAM = 32
 #: Windows that one anchor can stand for at most.
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text handled at once in a task.
-PART = 1 << 20
+PART = 1 << 19
 #: Different runs of one anchor that are sorted in one task.
 MOST = 4096
 
@@ -125,7 +125,8 @@ def _run_batches(batches, apart: bool):
     """Runs of the texts; a run that another one handled with it equals and precedes has its ``nr`` negative."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        rows = [(i, _base(raw, apart), raw) for i, raw in zip(batch.column(0).to_pylist(), map(_raw, batch.column(1).to_pylist()), strict=True)]
+        raws = (_raw(t.as_py()) for t in batch.column(1))
+        rows = ((i, _base(raw, apart), raw) for i, raw in zip(batch.column(0).to_pylist(), raws, strict=True))
         for ids, offsets, texts in _pieces(rows):
             text, at, n, rel, h = anchor_runs(list(texts))
             nr = n << 8 | rel
@@ -194,10 +195,10 @@ def _fetch_batches(batches, apart: bool, often: bool):
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         size = 0
-        for i, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).field(0), batch.column(2).to_pylist(), strict=True):
+        for i, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).field(0), batch.column(2), strict=True):
             raw = _raw(text.as_py())
             base = _base(raw, apart)
-            for r in _own(runs, base):
+            for r in _own(runs.as_py(), base):
                 if r["often"] is not often:
                     continue
                 piece = raw[r["at"] : r["at"] + (r["nr"] >> 8) + LENGTH - 1]

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, repeatability and odd rows."""
 
+import pytest
+
 from tests.llm.conftest import SF
 from tremor.llm import langid
 
@@ -34,6 +36,11 @@ def test_nothing_to_learn(frame):
     assert langid.identify(frame([], DOCS), ["doc_id"]).collect() == []
 
 
+def test_labels_without_bound_are_refused(frame):
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit(frame([(i, "the", f"l{i}", None) for i in range(langid.MOST_LABELS + 1)], DOCS))
+
+
 def test_ngrams_ignore_case_and_runs_of_blanks():
     a, b = langid.ngrams("The  cat, 12 sat"), langid.ngrams("the cat sat")
     assert (a == b).all() and langid.ngrams("12 !") is None

@@ -30,6 +30,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Bound on what the classifier is fitted on: about so many whole rows of each label, by a hash of the id.
 ROWS_PER_LABEL = 4000
+#: Labels at most, so that the matrix stays below 64 MB; more are refused.
+MOST_LABELS = 256
 ALPHA = 0.5
 UNKNOWN = "und"
 
@@ -95,7 +97,9 @@ def _count_batches(batches, labels: list[str]):
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(labels, log-probability matrix buckets x labels, log priors) from rows with a label."""
     rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: the matrix that goes to every task would not be bounded")
     labels = sorted(sizes)
     if not labels:
         return [], np.zeros((BUCKETS, 0)), np.zeros(0)

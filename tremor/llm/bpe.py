@@ -31,7 +31,7 @@ from tremor.llm.registry import query
 #: Words of more parts than this are merged with a heap.
 SHORT = 64
 #: Entries of one generation of the word cache.
-CACHED = 80_000
+CACHED = 50_000
 
 _NONE = 1 << 60
 #: Open hash table of pair ranks, for lookups of whole arrays.

@@ -28,8 +28,16 @@ def crc32_mod(col: str, n: int):
 
 
 def map_batches(df: DataFrame, fn, schema: T.StructType, *args) -> DataFrame:
-    """``fn(batches, *args)`` over the Arrow batches of each partition."""
-    return df.mapInArrow(lambda batches: fn(batches, *args), schema)
+    """``fn(batches, *args)`` over the Arrow batches of each partition.
+
+    Workers go on to other tasks, so what Arrow keeps of a finished one is given back.
+    """
+
+    def run(batches):
+        yield from fn(batches, *args)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def rows_of(schema: T.StructType, columns: list) -> pa.RecordBatch:

@@ -362,7 +362,7 @@ def _digest_batches(batches, apart: bool):
 
 
 def _text_batches(batches, apart: bool, schema: T.StructType, text_at: int):
-    for batch in batches:
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
         row = batch.column(1)
         texts = []
         for text, runs in zip(row.field(0), batch.column(2), strict=True):

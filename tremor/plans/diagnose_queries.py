@@ -316,14 +316,18 @@ def m16_final_tables(spark, sf_dir):
 
 
 @query("m17_m19_drift_check", ctes(SQL_OUT) + """
-SELECT count(*) AS n_rows, 0::BIGINT AS n_changed, 0::BIGINT AS n_only_before, 0::BIGINT AS n_only_now FROM outc""")
+SELECT sum((NOT (event_id % 101 = 0 AND event_id % 103 = 0))::INT)::BIGINT AS n_rows,
+ sum((event_id % 97 = 0 AND y1_5 IS NOT NULL AND event_id % 101 <> 0 AND event_id % 103 <> 0)::INT)::BIGINT AS n_changed,
+ sum((event_id % 103 = 0 AND event_id % 101 <> 0)::INT)::BIGINT AS n_only_before, sum((event_id % 101 = 0 AND event_id % 103 <> 0)::INT)::BIGINT AS n_only_now FROM outc""")
 def m17_m19_drift_check(spark, sf_dir):
-    """Outcomes snapshotted as a table, recomputed, and compared row by row."""
+    """A snapshot with known revisions against the outcomes computed again, row by row."""
     from tremor.operators import outcomes as oc
     from tremor.session import stage
 
-    snap = stage(outcomes(spark, sf_dir).select("event_id", "y1_5", "duration"), "snapshot")
-    now = oc.event_outcomes(shocks(spark, sf_dir), sessions(spark, sf_dir)).select("event_id", F.col("y1_5").alias("b1"), F.col("duration").alias("b2"), F.lit(1).alias("_n"))
+    revised = F.when(F.col("event_id") % 97 == 0, F.col("y1_5") + 0.5).otherwise(F.col("y1_5"))
+    snap = stage(outcomes(spark, sf_dir).where("event_id % 101 <> 0").select("event_id", revised.alias("y1_5"), "duration"), "snapshot")
+    now = oc.event_outcomes(shocks(spark, sf_dir), sessions(spark, sf_dir)).where("event_id % 103 <> 0")
+    now = now.select("event_id", F.col("y1_5").alias("b1"), F.col("duration").alias("b2"), F.lit(1).alias("_n"))
     j = snap.withColumn("_s", F.lit(1)).join(now, "event_id", "full_outer")
     both = F.col("_s").isNotNull() & F.col("_n").isNotNull()
     gap = F.abs(F.coalesce("y1_5", F.lit(-9e9)) - F.coalesce("b1", F.lit(-9e9))) > 1e-9

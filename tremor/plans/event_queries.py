@@ -266,10 +266,12 @@ FROM shocks s LEFT JOIN (SELECT e.event_date, sum(affected) AS q FROM edays e JO
    l.date BETWEEN e.event_date - INTERVAL 7 DAY AND e.event_date + INTERVAL 14 DAY GROUP BY 1) l USING (event_date)
 LEFT JOIN (SELECT e.event_date, CASE WHEN seen >= 32 THEN r1 END AS r1 FROM edays e ASOF LEFT JOIN fs ON e.event_date > fs.date) f USING (event_date)""")
 def j09_block_joins(spark, sf_dir):
-    """Side blocks left-joined onto events; each block is unique per day by construction."""
+    """Side blocks left-joined onto events, after a check that each has one row per day."""
     loss = sd.loss_features(shocks(spark, sf_dir), "event_date", _losses(spark, sf_dir), ["affected"], ["R", "A"])
     fx = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.avg("l_extendedprice").alias("rate"))
     block = sd.fx_features(shocks(spark, sf_dir), "event_date", fx)
+    for side in (loss, block):
+        sd.assert_unique(side, ["event_date"])
     e = shocks(spark, sf_dir).select("event_id", "event_date").join(loss, "event_date", "left").join(block, "event_date", "left")
     return e.select("event_id", rnd("affected_log").alias("affected_log"), rnd("fx_logret_1").alias("fx_logret_1"))
 
@@ -312,6 +314,20 @@ def s06_a01_trade_files(spark, sf_dir):
     return volume.select("date", rnd("volume", 2).alias("volume"))
 
 
+@query("s06_rejected_rows", """
+SELECT l_returnflag AS part, sum((l_orderkey % 50 = 0 OR l_orderkey % 70 = 0)::INT)::BIGINT AS n_rejected, count(*) AS n_rows FROM lineitem GROUP BY 1""")
+def s06_rejected_rows(spark, sf_dir):
+    """Files with unreadable quantities and dates, and how many rows of each part were rejected."""
+    li = table(spark, sf_dir, "lineitem")
+    path = _new(spark, "trades")
+    day = F.when(F.col("l_orderkey") % 70 == 0, F.lit("soon")).otherwise(F.to_date("l_shipdate").cast("string"))
+    amount = F.when(F.col("l_orderkey") % 50 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    li.select(day.alias("date"), amount.alias("quantity"), F.col("l_returnflag").alias("part")).write.partitionBy("part").csv(path, header=True)
+    _, rejected = rd.load_trade_files(spark, [path])
+    part = F.regexp_extract("file", "part=([^/]+)", 1).alias("part")
+    return rejected.groupBy(part).agg(F.sum("n_rejected").alias("n_rejected"), F.sum("n_rows").alias("n_rows"))
+
+
 @query("s07_wide_sheet_to_panel", ctes("""
 p AS (SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS date, round(max(o_totalprice), 2) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)""") + """
 SELECT date, series_id, close FROM p WHERE series_id <> 'MACHINERY' AND series_id IN

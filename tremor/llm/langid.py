@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,9 @@ ROWS_PER_LABEL = 4000
 MOST_LABELS = 256
 ALPHA = 0.5
 UNKNOWN = "und"
+#: Known text: its mean log-likelihood per n-gram under the best label is at most so many nats, or so many
+#: spreads of that label's rows, below their median; in a short text single n-grams vary by NOISE / sqrt(n) more.
+MARGIN, SPREADS, NOISE = 2.0, 10.0, 12.0
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,17 +98,23 @@ def _count_batches(batches, labels: list[str]):
         yield rows_of(CELLS, [row[part], bucket[part], cells[row[part], bucket[part]]])
 
 
-def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(labels, log-probability matrix buckets x labels, log priors) from rows with a label."""
-    rows = train.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
+def _labelled(df: DataFrame, text_col: str, label_col: str, id_col: str, rows_per_label: int) -> tuple[DataFrame, dict[str, int]]:
+    """(text, label) of about ``rows_per_label`` rows of each label, and the rows that each label has."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
     if len(sizes) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels: the matrix that goes to every task would not be bounded")
+    share = F.create_map(*[x for v in sorted(sizes) for x in (F.lit(v), F.lit(min(1.0, rows_per_label / sizes[v])))])
+    some = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)) if sizes else rows
+    return some.select("text", "label"), sizes
+
+
+def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(labels, log-probability matrix buckets x labels, log priors) from rows with a label."""
+    some, sizes = _labelled(train, text_col, label_col, id_col, rows_per_label)
     labels = sorted(sizes)
     if not labels:
         return [], np.zeros((BUCKETS, 0)), np.zeros(0)
-    share = F.create_map(*[x for v in labels for x in (F.lit(v), F.lit(min(1.0, rows_per_label / sizes[v])))])
-    some = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)).select("text", "label")
     n = np.zeros((BUCKETS, len(labels)))
     got = map_batches(some, _count_batches, CELLS, labels).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n[got["bucket"], got["label"]] = got["n"]
@@ -113,14 +123,19 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
     return labels, log, np.log(prior / prior.sum())
 
 
-def predict_one(text: str | None, labels: list[str], log: np.ndarray, prior: np.ndarray) -> tuple[str, float]:
+def _scored(text: str | None, labels: list[str], log: np.ndarray, prior: np.ndarray) -> tuple[str, float, float, int]:
+    """Best label, its posterior, the mean log-likelihood per n-gram under it, and the number of n-grams."""
     b = ngrams(text) if labels else None
     if b is None:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, 0.0, 0
     hit, n = _bag(b)
     score = n @ log[hit] + prior
     best = int(score.argmax())
-    return labels[best], float(1 / np.exp(score - score[best]).sum())
+    return labels[best], float(1 / np.exp(score - score[best]).sum()), float((score[best] - prior[best]) / len(b)), len(b)
+
+
+def predict_one(text: str | None, labels: list[str], log: np.ndarray, prior: np.ndarray) -> tuple[str, float]:
+    return _scored(text, labels, log, prior)[:2]
 
 
 def _predict_batches(batches, schema: T.StructType, text_at: int, own: bool, model):
@@ -141,6 +156,52 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep
     return map_batches(rows, _predict_batches, schema, schema, at, own, df.sparkSession.sparkContext.broadcast(model))
 
 
+FITS = T.StructType([T.StructField("label", T.StringType()), T.StructField("fit", T.DoubleType())])
+
+
+def _fit_batches(batches, model):
+    """Mean log-likelihood per n-gram of the rows whose label is the best one."""
+    labels, log, prior = model.value
+    for batch in batches:
+        found = [(v.as_py(), _scored(t.as_py(), labels, log, prior)) for t, v in zip(batch.column(0), batch.column(1), strict=True)]
+        found = [(v, x[2]) for v, x in found if v == x[0] and x[3]]
+        yield rows_of(FITS, [[v for v, _ in found], [x for _, x in found]])
+
+
+def typical(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL) -> dict[str, tuple[float, float]]:
+    """For each label (median, median less the 16th percentile) of its rows' log-likelihood per n-gram: rows of odd texts under a label move neither."""
+    some, _ = _labelled(docs, text_col, label_col, id_col, rows_per_label)
+    fits = map_batches(some, _fit_batches, FITS, docs.sparkSession.sparkContext.broadcast(model))
+    return {r["label"]: (r["q"][1], r["q"][1] - r["q"][0]) for r in fits.groupBy("label").agg(F.percentile("fit", F.array(F.lit(0.16), F.lit(0.5))).alias("q")).collect()}
+
+
+def is_known(found: tuple[str, float, float, int], usual: dict[str, tuple[float, float]], sure: float) -> bool:
+    """Whether a scored text has a label, a posterior of at least ``sure``, and n-grams as its label's rows have them."""
+    label, posterior, each, n = found
+    if not n or posterior < sure or label not in usual:
+        return False
+    middle, spread = usual[label]
+    return middle - each <= np.hypot(max(MARGIN, SPREADS * spread), NOISE / np.sqrt(n))
+
+
+def _known_batches(batches, schema: T.StructType, text_at: int, sent, sure: float):
+    model, usual = sent.value
+    for batch in batches:
+        kept = [is_known(_scored(t.as_py(), *model), usual, sure) for t in batch.column(text_at)]
+        yield rows_of(schema, batch.filter(pa.array(kept, pa.bool_())).columns)
+
+
+def known(docs: DataFrame, sure: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is of a learned language.
+
+    The posterior of a whole text only compares the labels with one another and is close to 1 for any
+    text; the likelihood of its n-grams tells whether the best of them fits.
+    """
+    model = fit(docs.where(crc32_mod("doc_id", 3) != 1))
+    sent = docs.sparkSession.sparkContext.broadcast((model, typical(docs, model)))
+    return map_batches(docs, _known_batches, docs.schema, docs.schema, docs.columns.index(text_col), sent, sure)
+
+
 def identify(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Fitted on the rows of ``docs`` that are not held out, applied to all of them."""
     return predict(docs, fit(docs.where(crc32_mod("doc_id", 3) != 1)), keep)

@@ -137,3 +137,29 @@ def test_curves(spark):
     assert cif == pytest.approx({t: 1 - s for t, s in want.items()})
     seq = [cif[t] for t in sorted(cif)]
     assert all(a <= b + 1e-12 for a, b in zip(seq, seq[1:]))
+
+
+def test_refit_permutation_has_all_draws_and_a_plain_auc(spark, monkeypatch):
+    from tremor.operators import resample as rs
+    from tremor.plans import model_queries as mq
+
+    rng = np.random.default_rng(3)
+    rows = [(f, role, f"c{k % 40}", int(k % 40 < 17), float(rng.normal() + (k % 40 < 17))) for f in range(3) for role in ("train", "test") for k in range(200)]
+    df = spark.createDataFrame(rows, "fold int, role string, cluster string, label int, x double")
+    r = rs.refit_permutation_auc(df, "cluster", "label", "x", 300).first()
+    y, p = [], []
+    for f in range(3):
+        s, i = np.polyfit([q[4] for q in rows if q[:2] == (f, "train")], [q[3] for q in rows if q[:2] == (f, "train")], 1)
+        y += [q[3] for q in rows if q[:2] == (f, "test")]
+        p += [i + s * q[4] for q in rows if q[:2] == (f, "test")]
+    y, p = np.array(y), np.array(p)
+    d = p[y == 1][:, None] - p[y == 0][None, :]
+    assert abs(r["observed_auc"] - ((d > 0).mean() + (d == 0).mean() / 2)) < 1e-9
+    assert r["n_draws"] == 300 and abs(r["p_value"] - 1 / 301) < 1e-12 and 0.4 < r["perm_mean"] < 0.6
+
+    asked = []
+    whole = rs.paired_bootstrap
+    monkeypatch.setattr(rs, "paired_bootstrap", lambda *a, **b: asked.append(a[3]) or whole(*a, **b))
+    mq.l14_panel_models(spark, "/root/testdata/sf0.001")
+    assert asked == [5000]
+    assert mq.b13_refit_permutation(spark, "/root/testdata/sf0.001").first()["n_draws"] == 5000

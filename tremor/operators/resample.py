@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tremor.functions.draws import cluster_draws, hash_unit
 from tremor.functions.ordered import value_ranks
+from tremor.session import stage
 
 MIN_ROWS = 8
 MIN_DRAWS = 100
@@ -144,6 +145,38 @@ def permutation_auc(df: DataFrame, by: list[str], cluster: str, key: str, y: str
     )
 
 
+def refit_permutation_auc(df: DataFrame, cluster: str, label: str, x: str, n_perm: int, seed: int = 42) -> DataFrame:
+    """Cluster labels (0 or 1) permuted, a line of label on ``x`` refitted per draw and fold, AUC of the test rows per draw.
+
+    ``df`` has fold, role, cluster, label and x. A line needs only the moments of each (fold, cluster) and the
+    clusters that a draw makes positive; the AUC has one running sum per draw over the distinct test cells.
+    """
+    live = df.where(F.col(x).isNotNull())
+    labels = df.select(cluster, label).distinct()
+    order = W.partitionBy("b").orderBy(hash_unit(seed, "b", F.col(cluster).cast("string")), cluster)
+    drawn = (
+        labels.crossJoin(F.broadcast(labels.agg(F.sum(label).alias("_k")))).drop(label)  # one row
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).repartition("b")
+        .select("b", cluster, (F.row_number().over(order) <= F.col("_k")).cast("int").alias("_y"))
+    )
+    drawn = stage(drawn.unionByName(labels.select(F.lit(-1).alias("b"), cluster, F.col(label).cast("int").alias("_y"))), "refit-draws")
+    train = live.where("role = 'train'")
+    folds = train.groupBy("fold").agg(F.avg(x).alias("_m"), F.count("*").alias("_n"))
+    centred = train.join(F.broadcast(folds), "fold").withColumn("_x", F.col(x) - F.col("_m"))  # one row per fold
+    moments = centred.groupBy("fold", cluster).agg(F.count("*").alias("_c"), F.sum("_x").alias("_sx"), F.sum(F.col("_x") * F.col("_x")).alias("_sxx"))
+    folds = folds.join(moments.groupBy("fold").agg(F.sum("_sxx").alias("_sxx")), "fold")
+    sums = moments.select("fold", cluster, "_c", "_sx").join(drawn, cluster).groupBy("b", "fold").agg(F.sum(F.col("_y") * F.col("_sx")).alias("_sxy"), F.sum(F.col("_y") * F.col("_c")).alias("_sy"))
+    slope = F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0))
+    lines = sums.join(F.broadcast(folds), "fold").select("b", "fold", slope.alias("_s"), (F.col("_sy") / F.col("_n") - slope * F.col("_m")).alias("_i"))
+    cells = live.where("role = 'test'").groupBy("fold", cluster, x).agg(F.count("*").alias("_w"))
+    scored = cells.join(drawn, cluster).join(lines, ["b", "fold"]).where("_s IS NOT NULL").select("b", "_y", "_w", (F.col("_i") + F.col("_s") * F.col(x)).alias("_prob"))
+    auc = stage(weighted_auc(scored.repartition("b"), ["b"], "_y", "_prob", "_w"), "refit-auc")
+    observed = auc.where("b = -1").select(F.col("auc").alias("observed_auc"))
+    reached = (F.col("auc") >= F.col("observed_auc")).cast("long")
+    return auc.where("b >= 0").crossJoin(F.broadcast(observed)).groupBy("observed_auc").agg(  # one row
+        F.count("*").alias("n_draws"), F.avg("auc").alias("perm_mean"), ((1 + F.sum(reached)) / (1 + F.count("*"))).alias("p_value"))
+
+
 def weighted_auc(df: DataFrame, by: list[str], y: str, score: str, w: str) -> DataFrame:
     """(by, auc) of rows with weights, ties half: one running sum over each group's distinct scores."""
     cells = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0)).alias("_p"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0)).alias("_q"))

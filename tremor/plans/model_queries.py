@@ -45,6 +45,10 @@ def rows(spark, sf_dir, y="y1_5", end="y1_5_end", name="rows_ret5"):
     return staged_once(spark, sf_dir, name, build)
 
 
+#: Draws of the panel bootstrap and of the refitted permutation.
+N_DRAWS = 5000
+
+
 def n_folds(spark, sf_dir):
     return list(range(geometry(spark, sf_dir).n_folds))
 
@@ -394,7 +398,7 @@ def l14_panel_models(spark, sf_dir):
         out = t if out is None else out.unionByName(t)
     mean = m.where("role = 'train'").groupBy("fold").agg(F.avg("label").alias("y_base"))
     pairs = out.join(F.broadcast(mean), "fold").withColumn("g", F.lit("panel")).withColumn("cluster", F.col("event_date").cast("string"))  # one row per fold
-    b = rs.paired_bootstrap(rs.error_terms(pairs, ["g"], "cluster"), ["g"], "cluster", 200)
+    b = rs.paired_bootstrap(rs.error_terms(pairs, ["g"], "cluster"), ["g"], "cluster", N_DRAWS)
     return b.drop("g")
 
 
@@ -456,19 +460,7 @@ def b13_refit_permutation(spark, sf_dir):
     c = clustered(spark, sf_dir).select("series_id", "event_date", "cluster").distinct()
     d = rows(spark, sf_dir).join(c, ["series_id", "event_date"]).withColumn("down", (F.col("y") < 0).cast("int"))
     lab = d.groupBy("cluster").agg(F.min_by("down", "event_id").alias("label"))
-    n_perm = 50
-    slots = lab.select("cluster", F.row_number().over(W.partitionBy(F.lit("clusters")).orderBy("cluster")).alias("slot"))
-    drawn = lab.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1)))).select(
-        "b", "label", F.row_number().over(W.partitionBy("b").orderBy(hash_unit(42, "b", "cluster"), "cluster")).alias("slot"))
-    perm = slots.join(drawn, "slot").select("cluster", "b", F.col("label").cast("double").alias("yb"))
-    real = lab.select("cluster", F.lit(-1).alias("b"), F.col("label").cast("double").alias("yb"))
-    j = d.select("fold", "role", "event_id", "cluster", "x1").join(perm.unionByName(real), "cluster")
-    line = j.where("role = 'train'").groupBy("b", "fold").agg(F.regr_slope("yb", "x1").alias("s"), F.regr_intercept("yb", "x1").alias("i"))
-    t = j.where("role = 'test'").join(F.broadcast(line), ["b", "fold"]).select("b", F.col("yb").cast("int").alias("y"), (F.col("i") + F.col("s") * F.col("x1")).alias("prob"))  # draws x folds
-    auc = mt.roc_auc(t, ["b"])
-    obs = auc.where("b = -1").select(F.col("auc").alias("observed_auc"), F.lit(1).alias("_k"))
-    return auc.where("b >= 0").withColumn("_k", F.lit(1)).join(obs, "_k").groupBy("observed_auc").agg(
-        F.count("*").alias("n_draws"), F.avg("auc").alias("perm_mean"), ((1 + F.sum((F.col("auc") >= F.col("observed_auc")).cast("long"))) / (1 + F.count("*"))).alias("p_value"))
+    return rs.refit_permutation_auc(d.join(lab, "cluster"), "cluster", "label", "x1", N_DRAWS)
 
 
 def _survival_rows(spark, sf_dir):

@@ -117,3 +117,20 @@ def test_top_with_few_candidates(frame):
     assert top_of(frame, []) == []
     rows = [(0, [-1.0, 2.0]), (50, [-1.0, -2.0]), (3, [-3.0, -3.0])]
     assert top_of(frame, rows) == plain_top(rows)
+
+
+def test_groups_of_two_lengths_are_not_cut(spark, frame):
+    rng = np.random.default_rng(11)
+    rows = []
+    for dim in (16, 64):
+        x = rng.normal(size=(8, dim))
+        rows += [(len(rows) + k, [float(v) for v in x[k % 8] + rng.normal(scale=0.01, size=dim)]) for k in range(160)]
+    old, parts = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = {r["vec_id"]: r["n_links"] for r in embed_dedup.embedding_groups(frame(rows, "vec_id long, embedding array<float>")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert set(found.values()) == {19}

@@ -211,7 +211,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spots = spots.withColumn("c", F.pmod(F.xxhash64("cid", F.lit(7)), "k").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     full = spots.join(cells, "cid").join(classes.select("cid", "n", "vector"), "cid")
     full = full.select("cell", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "cid", "n", "vector", "cells")
-    full = full.select("cell", "i", "j", "c", "cid", "n", "cells", "vector").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    full = full.select("cell", "i", "j", "c", "cid", "n", "cells", "vector", F.size("vector").alias("dim"))
+    # a task meets one length after the other, so that a group is never cut by rows of another length
+    full = full.repartition("cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j").drop("dim")
     found = stage(map_batches(full, _link_batches, FOUND), "lattice-links")
     more = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("more")).withColumnRenamed("a", "cid")
     joined = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "cid")

@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from tests.llm.conftest import SF
 from tremor.llm import langid
 
@@ -50,6 +51,6 @@ def test_unknown_text_is_not_kept(spark, frame):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = [(-1, "Это обычное русское предложение о погоде и городе, которое написано здесь. " * 5, None), (-2, "xqzv kjwq zzpt vbnm qwrt plkj hgfd zxcv bnmq wrtp " * 5, "en"), (-3, "123 !?", "en")]
     both = docs.unionByName(frame(odd, "doc_id long, text string, lang string"))
-    kept = langid.known(both, 0.5)
+    kept = corpus_pipeline.language(spark, both, SF)
     assert kept.columns == both.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}

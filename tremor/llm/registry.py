@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("bpe", "embed_dedup", "mixing", "packing", "url_tree", "lm", "topk", "repeats", "langid", "simhash")
+MODULES = ("bpe", "embed_dedup", "mixing", "packing", "url_tree", "lm", "topk", "repeats", "langid", "simhash", "phrases", "hard_negatives", "secrets")
 
 
 def query(name: str, sql: str | None = None):

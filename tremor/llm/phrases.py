@@ -40,7 +40,7 @@ from tremor.llm.registry import query
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard, and bytes of text that are split into words at once.
-SHARD, SLICE = 2_000_000, 1 << 20
+SHARD, SLICE = 400_000, 1 << 19
 #: Parts of a language that are ranked on their own before their best are ranked together.
 PARTS = 32
 

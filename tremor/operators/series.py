@@ -168,3 +168,21 @@ def mean_model(df: DataFrame, y: str, window: int = 250, least: int = 60) -> Dat
         F.when(ok, F.lit(0.0)).alias("factor_mean"),
         F.when(ok, F.lit(0.0)).alias("factor_ss"),
     )
+
+
+def zero_model(df: DataFrame, y: str, window: int = 250, least: int = 60) -> DataFrame:
+    """Zero expected value: alpha and beta 0, sigma the root mean square before (ddof 1)."""
+    f = _prior(window)
+    n = F.count(y).over(f)
+    df = df.select("*", n.alias("_n"), F.sum(F.col(y) * F.col(y)).over(f).alias("_ss"))
+    ok = F.col("_n") >= least
+    zero = F.when(ok, F.lit(0.0))
+    return df.select(
+        *[c for c in df.columns if not c.startswith("_")],
+        zero.alias("fit_alpha"),
+        zero.alias("fit_beta"),
+        F.when(ok, F.sqrt(F.col("_ss") / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("fit_sigma"),
+        F.when(ok, F.col("_n")).cast("long").alias("fit_n"),
+        zero.alias("factor_mean"),
+        zero.alias("factor_ss"),
+    )

@@ -230,12 +230,16 @@ def with_p_values(table: DataFrame) -> DataFrame:
 
 
 def event_study_table(fitted: DataFrame, origins: DataFrame, by: list[str], start: int = EVENT_WINDOW[0],
-                      value: str = "log_return", factor: str = "factor_ret") -> DataFrame:
-    """CAAR with interval and all tests per (by, k)."""
+                      value: str = "log_return", factor: str = "factor_ret", corr: DataFrame | None = None) -> DataFrame:
+    """CAAR with interval and all tests per (by, k).
+
+    ``corr`` holds mean_corr per ``by``, by default that of pairs within a series; over several series
+    pass cross_corr.pair_correlation_summary, which has the pairs across them too.
+    """
     panel = abnormal_panel(fitted, origins, value, factor)
     tests = cross_section(standardised(cumulated(panel, start), start), by)
     ranks = rank_test(rank_deviation(estimation_long(fitted, origins, value, factor), panel), start, by)
-    corr = mean_correlation(pair_correlations(fitted, origins, value, factor), by)
+    corr = mean_correlation(pair_correlations(fitted, origins, value, factor), by) if corr is None else corr
     joined = tests.join(ranks, [*by, "k"], "left")
     joined = joined.join(corr, by, "left") if by else joined.withColumn("_k", F.lit(1)).join(corr.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
     corr_or_zero = F.coalesce("mean_corr", F.lit(0.0))

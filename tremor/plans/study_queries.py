@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tremor.functions.scalars import rnd
 from tremor.operators import calendar as cal
+from tremor.operators import cross_corr as cc
 from tremor.operators import series as sr
 from tremor.operators import study as st
 from tremor.plans.outcome_queries import SQL_FIT, fitted
 from tremor.plans.registry import ctes, query, r
-from tremor.session import staged_once
+from tremor.session import stage, staged_once
 from tremor.sources.adapters import SQL_ORIGIN, SQL_SESS, SQL_SHOCKS, sessions, shocks
 
 
@@ -130,6 +131,46 @@ prs AS (SELECT a.series_id, a.origin, b.origin - a.origin AS lag, count(*) AS n,
   GROUP BY a.series_id, a.origin, b.origin HAVING count(*) >= 10)"""
 
 
+#: All pairs of events by the dates that both windows share, whatever their series.
+SQL_ALL_PAIRS = """
+wo AS (SELECT series_id, session_idx AS origin, count(*) AS weight FROM origin WHERE session_idx > 1 GROUP BY 1, 2),
+est AS (SELECT dense_rank() OVER (ORDER BY w.series_id, w.origin) AS nr, w.weight, x.date, x.log_return - f.fit_alpha - f.fit_beta * x.factor_ret AS resid
+  FROM wo w JOIN fit f ON f.series_id = w.series_id AND f.session_idx = w.origin
+  JOIN fit x ON x.series_id = w.series_id AND x.session_idx BETWEEN w.origin - 250 AND w.origin - 1
+  WHERE f.fit_alpha IS NOT NULL AND x.log_return IS NOT NULL AND x.factor_ret IS NOT NULL),
+pr AS (SELECT a.nr, any_value(CASE WHEN a.nr = b.nr THEN a.weight * (a.weight - 1) / 2.0 ELSE a.weight * b.weight END) AS pw, corr(a.resid, b.resid) AS r
+  FROM est a JOIN est b ON a.date = b.date AND a.nr <= b.nr GROUP BY a.nr, b.nr HAVING count(*) >= 10),
+prs AS (SELECT pw, r FROM pr WHERE pw > 0 AND r IS NOT NULL AND NOT isnan(r)),
+mc AS (SELECT sum(pw * r) / sum(pw) AS c FROM prs)"""
+
+
+def pooled_corr(f, o, value="log_return", factor="factor_ret"):
+    """Correlation of all pairs of events, within and across series."""
+    return cc.pair_correlation_summary(f, o, value, factor).select("n_pairs", "mean_corr")
+
+
+@query("j19_v04_all_pairs", ctes(SQL_FIT, SQL_SHOCKS, SQL_ORIGIN, SQL_ALL_PAIRS, """
+upto AS (SELECT r, sum(sum(pw)) OVER (ORDER BY r) AS upto FROM prs GROUP BY r),
+tot AS (SELECT sum(pw) AS n, sum(pw * r) / sum(pw) AS m FROM prs),
+ev AS (SELECT sum(weight) AS w FROM wo JOIN fit f ON f.series_id = wo.series_id AND f.session_idx = wo.origin WHERE f.fit_alpha IS NOT NULL)""") + f"""
+SELECT CAST(n AS BIGINT) AS n_pairs, {r("m", 6, "mean_corr")},
+  {r("((SELECT min(r) FROM upto WHERE upto > floor((n - 1) / 2)) + (SELECT min(r) FROM upto WHERE upto > ceil((n - 1) / 2))) / 2", 6, "median_corr")},
+  CAST(w * (w - 1) / 2 AS BIGINT) AS n_pairs_total FROM tot, ev""")
+def j19_v04_all_pairs(spark, sf_dir):
+    """Mean and median residual correlation over all pairs of events with enough shared dates."""
+    t = cc.pair_correlation_summary(fitted(spark, sf_dir), origins(spark, sf_dir))
+    return t.select("n_pairs", rnd("mean_corr", 6).alias("mean_corr"), rnd("median_corr", 6).alias("median_corr"), "n_pairs_total")
+
+
+@query("v04_date_sum_correlation", ctes(SQL_FIT, SQL_SHOCKS, SQL_ORIGIN, SQL_ALL_PAIRS, """
+zz AS (SELECT date, weight AS w, (resid - avg(resid) OVER e) / stddev_pop(resid) OVER e AS z FROM est WINDOW e AS (PARTITION BY nr)),
+dd AS (SELECT date, sum(w * z) AS s, sum(w * z * z) AS q, sum(w) AS n FROM zz GROUP BY date)""") + f"""
+SELECT {r("sum(s * s - q) / sum(n * (n - 1))", 6, "date_sum_corr")}, CAST(sum(n * (n - 1)) / 2 AS BIGINT) AS n_date_pairs FROM dd""")
+def v04_date_sum_correlation(spark, sf_dir):
+    t = cc.date_sum_correlation(fitted(spark, sf_dir), origins(spark, sf_dir))
+    return t.select(rnd("date_sum_corr", 6).alias("date_sum_corr"), "n_date_pairs")
+
+
 @query("j19_v04_pair_correlations", ctes(SQL_FIT, SQL_SHOCKS, SQL_ORIGIN, SQL_PAIRS) + f"""
 SELECT series_id, CAST(sum(pw) AS BIGINT) AS n_pairs, {r("sum(pw * r) / sum(pw)", 4, "mean_corr")} FROM prs WHERE pw > 0 GROUP BY 1""")
 def j19_v04_pair_correlations(spark, sf_dir):
@@ -145,9 +186,6 @@ def v08_rank_test(spark, sf_dir):
     return st.rank_test(d, -5, []).select("k", rnd("t_rank", 4).alias("t_rank"))
 
 
-SQL_CORR = """
-mc AS (SELECT sum(pw * r) / sum(pw) AS c FROM prs WHERE pw > 0)"""
-
 SQL_TABLE = f"""
 SELECT CAST(k AS INTEGER) AS k, n_events, {", ".join(r(c, 4, c) for c in ("caar", "ci_low", "ci_high", "t_cross", "t_bmp", "t_rank"))},
   {r("t_bmp * sqrt((1 - c) / (1 + (n_events - 1) * c))", 4, "t_kp")}, {r("c", 4, "mean_corr")}
@@ -159,9 +197,10 @@ def _table(t):
     return t.select("k", "n_events", *[rnd(c, 4).alias(c) for c in cols])
 
 
-@query("v07_v09_event_study_table", ctes(SQL_PANEL, SQL_TESTS, SQL_RANKS, SQL_PAIRS, SQL_CORR) + SQL_TABLE)
+@query("v07_v09_event_study_table", ctes(SQL_PANEL, SQL_TESTS, SQL_RANKS, SQL_ALL_PAIRS) + SQL_TABLE)
 def v07_v09_event_study_table(spark, sf_dir):
-    return _table(st.event_study_table(fitted(spark, sf_dir), origins(spark, sf_dir), []))
+    f, o = fitted(spark, sf_dir), origins(spark, sf_dir)
+    return _table(st.event_study_table(f, o, [], corr=pooled_corr(f, o)))
 
 
 @query("f12_event_study_p_values")
@@ -171,11 +210,105 @@ def f12_event_study_p_values(spark, sf_dir):
     return st.with_p_values(t)
 
 
-@query("v10_volume_study", ctes(SQL_SESS, SQL_SHOCKS, SQL_ORIGIN, """
-lv AS (SELECT *, CASE WHEN volume > 0 THEN ln(volume) END AS v FROM sess),
-fit AS (SELECT series_id, date, session_idx, v AS log_return, 0.0::DOUBLE AS factor_ret, CASE WHEN count(v) OVER f >= 60 THEN avg(v) OVER f END AS fit_alpha, 0.0::DOUBLE AS fit_beta,
-   stddev_samp(v) OVER f AS fit_sigma, count(v) OVER f AS fit_n, 0.0::DOUBLE AS factor_mean, 1.0::DOUBLE AS factor_ss FROM lv
-  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING))""", _PANEL, SQL_TESTS, SQL_RANKS, SQL_PAIRS, SQL_CORR) + SQL_TABLE)
+SQL_LOG_VOLUME = """
+lv AS (SELECT *, CASE WHEN volume > 0 THEN ln(volume) END AS v FROM sess)"""
+
+
+def _mean_fit(y: str, of: str) -> str:
+    """CTE ``fit`` of the mean-adjusted model of a column over a CTE with sessions."""
+    return f"""
+fit AS (SELECT series_id, date, session_idx, {y} AS log_return, 0.0::DOUBLE AS factor_ret, CASE WHEN count({y}) OVER f >= 60 THEN avg({y}) OVER f END AS fit_alpha, 0.0::DOUBLE AS fit_beta,
+   stddev_samp({y}) OVER f AS fit_sigma, count({y}) OVER f AS fit_n, 0.0::DOUBLE AS factor_mean, 1.0::DOUBLE AS factor_ss FROM {of}
+  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING))"""
+
+
+def _zero_fit(y: str, of: str) -> str:
+    return f"""
+fit AS (SELECT series_id, date, session_idx, {y} AS log_return, 0.0::DOUBLE AS factor_ret, CASE WHEN count({y}) OVER f >= 60 THEN 0.0::DOUBLE END AS fit_alpha, 0.0::DOUBLE AS fit_beta,
+   sqrt(sum({y} * {y}) OVER f / greatest(count({y}) OVER f - 1, 1)) AS fit_sigma, count({y}) OVER f AS fit_n, 0.0::DOUBLE AS factor_mean, 1.0::DOUBLE AS factor_ss FROM {of}
+  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING))"""
+
+
+def _volume_table(spark, sf_dir):
+    f, o = volume_fitted(spark, sf_dir), origins(spark, sf_dir)
+    return _table(st.event_study_table(f, o, [], value="log_volume", corr=pooled_corr(f, o, "log_volume")))
+
+
+_SQL_VOLUME = f"WITH {SQL_LOG_VOLUME},{_mean_fit('v', 'lv')},{_PANEL},{SQL_TESTS},{SQL_RANKS},{SQL_ALL_PAIRS}{SQL_TABLE}"
+
+
+@query("v10_volume_study", ctes(SQL_SESS, SQL_SHOCKS, SQL_ORIGIN, SQL_LOG_VOLUME, _mean_fit("v", "lv"), _PANEL, SQL_TESTS, SQL_RANKS, SQL_ALL_PAIRS) + SQL_TABLE)
 def v10_volume_study(spark, sf_dir):
     """The whole table for log volume under the mean-adjusted model."""
-    return _table(st.event_study_table(volume_fitted(spark, sf_dir), origins(spark, sf_dir), [], value="log_volume"))
+    return _volume_table(spark, sf_dir)
+
+
+@query("v09_v10_both_series", ctes(SQL_PANEL, SQL_TESTS, SQL_RANKS, SQL_ALL_PAIRS, f"ret AS ({SQL_TABLE}), vol AS ({_SQL_VOLUME})") + """
+SELECT 'return' AS series, * FROM ret UNION ALL SELECT 'volume' AS series, * FROM vol""")
+def v09_v10_both_series(spark, sf_dir):
+    """Returns under the market model and log volume under the mean-adjusted model, in one table."""
+    return v07_v09_event_study_table(spark, sf_dir).select(F.lit("return").alias("series"), "*").unionByName(_volume_table(spark, sf_dir).select(F.lit("volume").alias("series"), "*"))
+
+
+#: (series, variant): the fit of a variant; the factor plays no part in the volume's mean model.
+_STUDIES = (
+    ("return", "contemporaneous"), ("return", "lagged"), ("return", "constant_mean"), ("return", "zero_expected"),
+    ("volume", "contemporaneous"), ("volume", "lagged"), ("volume", "constant_mean"), ("volume", "zero_expected"),
+)
+
+
+def _variant_fit(spark, sf_dir, series: str, variant: str):
+    """Sessions with ``value``, ``factor_ret`` and the fit of one study variant."""
+    fit_columns = ("fit_alpha", "fit_beta", "fit_sigma", "fit_n", "factor_mean", "factor_ss")
+    if series == "volume":
+        f = volume_fitted(spark, sf_dir).withColumnRenamed("log_volume", "value")
+        if variant != "zero_expected":
+            return f
+        change = F.col("value") - F.lag("value").over(sr.w_series())
+        return sr.zero_model(f.drop(*fit_columns).withColumn("value", change), "value")
+    f = fitted(spark, sf_dir).withColumnRenamed("log_return", "value")
+    if variant == "contemporaneous":
+        return f
+    plain = f.drop(*fit_columns)
+    if variant == "lagged":
+        return sr.market_model(plain.withColumn("factor_ret", F.lag("factor_ret").over(sr.w_series())), "value", "factor_ret")
+    flat = plain.withColumn("factor_ret", F.lit(0.0))
+    return sr.mean_model(flat, "value") if variant == "constant_mean" else sr.zero_model(flat, "value")
+
+
+_SQL_LAGGED = """
+lx AS (SELECT *, lag(factor_ret) OVER (PARTITION BY series_id ORDER BY date) AS x0 FROM aligned),
+fl AS (SELECT *, regr_count(y, x) OVER f AS n, regr_sxx(y, x) OVER f AS sxx, regr_sxy(y, x) OVER f AS sxy,
+    regr_syy(y, x) OVER f AS syy, regr_avgx(y, x) OVER f AS mx, regr_avgy(y, x) OVER f AS my
+  FROM (SELECT *, CASE WHEN x0 IS NOT NULL THEN log_return END AS y, CASE WHEN log_return IS NOT NULL THEN x0 END AS x FROM lx)
+  WINDOW f AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+fit AS (SELECT series_id, date, session_idx, log_return, x0 AS factor_ret, CASE WHEN ok THEN my - sxy / sxx * mx END AS fit_alpha, CASE WHEN ok THEN sxy / sxx END AS fit_beta,
+    CASE WHEN ok THEN sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) END AS fit_sigma, CASE WHEN ok THEN n END AS fit_n, CASE WHEN ok THEN mx END AS factor_mean, CASE WHEN ok THEN sxx END AS factor_ss
+  FROM (SELECT *, n >= 60 AND sxx > 0 AS ok FROM fl))"""
+
+_SQL_CHANGE = "lc AS (SELECT *, v - lag(v) OVER (PARTITION BY series_id ORDER BY date) AS dv FROM lv)"
+
+
+def _sql_variants() -> str:
+    fits = {
+        "return contemporaneous": None, "return lagged": _SQL_LAGGED, "return constant_mean": _mean_fit("log_return", "aligned"), "return zero_expected": _zero_fit("log_return", "aligned"),
+        "volume constant_mean": f"{SQL_LOG_VOLUME},{_mean_fit('v', 'lv')}", "volume zero_expected": f"{SQL_LOG_VOLUME},{_SQL_CHANGE},{_zero_fit('dv', 'lc')}",
+    }
+    tables = [f"t{k} AS (WITH {fit + ',' if fit else ''}{_PANEL},{SQL_TESTS},{SQL_RANKS},{SQL_ALL_PAIRS}{SQL_TABLE})" for k, fit in enumerate(fits.values())]
+    place = {name: k for k, name in enumerate(fits)}
+    rows = [f"SELECT '{s}' AS series, '{v}' AS variant, * FROM t{place.get(f'{s} {v}', place['volume constant_mean'])}" for s, v in _STUDIES]
+    return ctes(SQL_FIT, SQL_SHOCKS, SQL_ORIGIN, *tables) + " UNION ALL ".join(rows)
+
+
+@query("v02_variant_tests", _sql_variants())
+def v02_variant_tests(spark, sf_dir):
+    """The whole table of tests for each series and expected-value model, the volume's log change under a zero one."""
+    o, out, made = origins(spark, sf_dir), None, {}
+    for series, variant in _STUDIES:
+        key = (series, variant if series == "return" or variant == "zero_expected" else "constant_mean")
+        if key not in made:
+            f = stage(_variant_fit(spark, sf_dir, *key), "variant")
+            made[key] = stage(_table(st.event_study_table(f, o, [], value="value", corr=pooled_corr(f, o, "value"))), "variant-table")
+        part = made[key].select(F.lit(series).alias("series"), F.lit(variant).alias("variant"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out

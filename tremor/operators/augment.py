@@ -2,92 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremor.functions.draws import hash_unit
-from tremor.session import stage
+from tremor.operators.neighbours import WINDOW_DAYS, nearest_in_group
 
-# Window in days for a comparable regime, largest synthetic share.
-WINDOW_DAYS = 5 * 365.25
+# Fixed value: largest synthetic share.
 MAX_SHARE = 0.25
 
+__all__ = ["MAX_SHARE", "WINDOW_DAYS", "interpolated", "minority_pairs", "nearest_in_group", "pair_report", "scaled"]
 
-def _within(points: DataFrame, by: list[str], size: float, windowed: bool, todo: DataFrame) -> DataFrame:
-    """Best neighbour of each ``todo`` point among the 9 cells of edge ``size`` around it."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(size)).cast("long")
-    cand = points.select(*by, F.col("rep").alias("_id"), F.col("day").alias("_d"), F.col("z1").alias("_z1"), F.col("z2").alias("_z2"), cell("z1").alias("_c1"), cell("z2").alias("_c2"))
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    ask = todo.select(*by, "rep", "day", "z1", "z2", F.explode(near).alias("_n")).select(
-        *by, "rep", "day", "z1", "z2", (cell("z1") + F.col("_n.a")).alias("_c1"), (cell("z2") + F.col("_n.b")).alias("_c2"))
-    hit = ask.join(cand, [*by, "_c1", "_c2"]).where(F.col("_id") != F.col("rep"))
-    if windowed:
-        hit = hit.where(F.abs(F.datediff("day", "_d")) <= WINDOW_DAYS)
-    dist = F.pow(F.col("z1") - F.col("_z1"), 2) + F.pow(F.col("z2") - F.col("_z2"), 2)
-    return hit.groupBy(*by, "rep").agg(F.min(F.struct(dist.alias("dist"), F.col("_id").alias("id"))).alias("_best")).select(
-        *by, "rep", F.col("_best.id").alias("neighbour"), F.col("_best.dist").alias("dist"))
 
+def scaled(minority: DataFrame, fold: list[str], columns: list[str], prefix: str = "z_") -> DataFrame:
+    """Adds z-scores of ``columns`` over the minority rows of each fold; a column without spread counts as spread 1."""
+    spread = minority.groupBy(*fold).agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"_s_{c}") for c in columns))
+    out = minority.join(F.broadcast(spread), fold)  # one row per fold
+    unit = lambda c: F.coalesce(F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(1.0))
+    return out.select(*minority.columns, *(((F.col(c) - F.col(f"_m_{c}")) / unit(c)).alias(f"{prefix}{c}") for c in columns))
 
-def nearest_in_group(rows: DataFrame, by: list[str], windowed: bool = True) -> DataFrame:
-    """(by, event_id, neighbour): exact nearest row of the group by (z1, z2), ties to the lowest id.
 
-    Rows equal in (z1, z2, day) are one point. Points look into a grid around them;
-    a hit no further than the cell edge is final, the rest repeat on a grid twice as
-    coarse until one cell spans the data. Only neighbouring cells ever meet.
-    """
-    points = stage(
-        rows.groupBy(*by, F.col("event_date").alias("day"), "z1", "z2").agg(F.min("event_id").alias("rep"), F.count("*").alias("copies")),
-        "points",
-    )
-    s = points.agg(F.count("*").alias("n"), F.max(F.greatest(F.abs("z1"), F.abs("z2"))).alias("top")).first()
-    if not s.n:
-        return rows.select(*by, "event_id", F.lit(None).cast("long").alias("neighbour")).where(F.lit(False))
-    span = 2.0 * float(s.top or 0.0) + 1e-9
-    size = span / max(1.0, (s.n / 4.0) ** 0.5)
-    todo, found = points, None
-    while True:
-        best = _within(points, by, size, windowed, todo)
-        last = size >= span
-        done = stage(best if last else best.where(F.col("dist") <= F.lit(size * size)), "neighbours")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            break
-        todo = stage(todo.join(done.select(*by, "rep"), [*by, "rep"], "left_anti"), "open_points")
-        if todo.isEmpty():
-            break
-        size *= 2.0
-    # copies of a point are each other's nearest: lowest id, or the second lowest for the lowest itself
-    keyed = rows.withColumnRenamed("event_date", "day").join(points, [*by, "day", "z1", "z2"])
-    second = keyed.where((F.col("copies") > 1) & (F.col("event_id") != F.col("rep"))).groupBy(*by, "rep").agg(F.min("event_id").alias("_second"))
-    j = keyed.join(second, [*by, "rep"], "left").join(found.select(*by, "rep", "neighbour", "dist"), [*by, "rep"], "left")
-    twin = F.when(F.col("copies") > 1, F.when(F.col("event_id") == F.col("rep"), F.col("_second")).otherwise(F.col("rep")))
-    # another point at distance zero with a lower id still comes first
-    tied = (F.col("dist") == 0) & (F.col("neighbour") < twin)
-    return j.select(*by, "event_id", F.when(twin.isNotNull() & ~F.coalesce(tied, F.lit(False)), twin).otherwise(F.col("neighbour")).alias("neighbour"))
+def minority_pairs(minority: DataFrame, by: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """(by, event_id, neighbour, in_window): the nearest row of the type in the window, or else at any date."""
+    near = nearest_in_group(minority, by, True, columns).where("neighbour IS NOT NULL")
+    lost = minority.join(near.select(*by, "event_id"), [*by, "event_id"], "left_anti")
+    # a fallback looks at all rows of the group, but keeps only the answers of those left over
+    wide = nearest_in_group(minority, by, False, columns).where("neighbour IS NOT NULL").join(lost.select(*by, "event_id"), [*by, "event_id"], "left_semi")
+    return near.withColumn("in_window", F.lit(True)).unionByName(wide.withColumn("in_window", F.lit(False)))
 
 
-def interpolated(train: DataFrame, minority: DataFrame, by: list[str], xs: list[str], y: str, copies: int = 1, seed: int = 42,
-                 max_share: float = MAX_SHARE) -> DataFrame:
+def pair_report(minority: DataFrame, synthetic: DataFrame, fold: list[str]) -> DataFrame:
+    """Per fold: minority rows, pairs inside the window and beyond it, rows without a partner, synthetic rows."""
+    n = minority.groupBy(*fold).agg(F.count("*").alias("n_minority"))
+    one = synthetic.where("copy = 0").groupBy(*fold).agg(F.count_if("in_window").alias("pairs_in_window"), F.count_if(~F.col("in_window")).alias("pairs_window_relaxed"))
+    made = synthetic.groupBy(*fold).agg(F.count("*").alias("n_synthetic"))
+    j = n.join(one, fold, "left").join(made, fold, "left").fillna(0, ["pairs_in_window", "pairs_window_relaxed", "n_synthetic"])
+    return j.withColumn("skipped_no_partner", F.col("n_minority") - F.col("pairs_in_window") - F.col("pairs_window_relaxed"))
+
+
+def interpolated(train: DataFrame, minority: DataFrame, by: list[str], xs: list[str], y: str | list[str], copies: int = 1, seed: int = 42,
+                 max_share: float = MAX_SHARE, columns: tuple[str, ...] = ("z1", "z2"), derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Synthetic rows between each minority row and its nearest same-type neighbour.
 
-    ``minority`` carries z1, z2 and a type among ``by``; rows without a partner in the
-    five-year window fall back to any date, singletons yield nothing. Raises when a
-    fold's synthetic share would pass the cap.
+    ``minority`` carries the scaled distance ``columns`` and a type among ``by``; rows without a partner
+    in the five-year window fall back to any date, singletons yield nothing. ``xs`` and ``y`` are
+    interpolated, the type is copied, and ``derive`` recomputes what follows from them, so identities
+    that hold on real rows hold on synthetic ones. Raises when a fold's synthetic share would pass the cap.
     """
-    near = nearest_in_group(minority, by, True)
-    lost = minority.join(near.where("neighbour IS NOT NULL").select(*by, "event_id"), [*by, "event_id"], "left_anti")
-    # a fallback looks at all rows of the group, but keeps only the answers of those left over
-    wide = nearest_in_group(minority, by, False).join(lost.select(*by, "event_id"), [*by, "event_id"], "left_semi")
-    pairs = near.where("neighbour IS NOT NULL").withColumn("in_window", F.lit(True)).unionByName(
-        wide.where("neighbour IS NOT NULL").withColumn("in_window", F.lit(False)))
-    a = minority.select(*by, "event_id", *xs, y)
-    b = minority.select(*by, F.col("event_id").alias("neighbour"), *[F.col(c).alias(f"_b_{c}") for c in (*xs, y)])
+    mixed = [*xs, *([y] if isinstance(y, str) else y)]
+    pairs = minority_pairs(minority, by, columns)
+    a = minority.select(*by, "event_id", *mixed)
+    b = minority.select(*by, F.col("event_id").alias("neighbour"), *[F.col(c).alias(f"_b_{c}") for c in mixed])
     syn = pairs.join(a, [*by, "event_id"]).join(b, [*by, "neighbour"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     syn = syn.withColumn("r", hash_unit(seed, F.col("event_id").cast("string"), "copy"))
-    syn = syn.select(*by, "event_id", "neighbour", "copy", "in_window", "r", *[(F.col(c) + F.col("r") * (F.col(f"_b_{c}") - F.col(c))).alias(c) for c in (*xs, y)])
+    syn = syn.select(*by, "event_id", "neighbour", "copy", "in_window", "r", *[(F.col(c) + F.col("r") * (F.col(f"_b_{c}") - F.col(c))).alias(c) for c in mixed])
     if max_share < 1.0:
         n_syn, n_real = syn.groupBy("fold").agg(F.count("*").alias("s")), train.groupBy("fold").agg(F.count("*").alias("n"))
         over = n_real.join(n_syn, "fold").where(F.col("s") > F.floor(F.lit(max_share / (1 - max_share)) * F.col("n"))).collect()  # one row per fold
         if over:
             raise ValueError(f"synthetic rows pass the share cap in folds {[o.fold for o in over]}")
-    return syn
+    return derive(syn) if derive else syn

@@ -21,6 +21,7 @@ from tremor.operators import placebo as pb
 from tremor.operators import resample as rs
 from tremor.operators import series as sr
 from tremor.operators import study as st
+from tremor.plans.event_queries import derive
 from tremor.plans.forecast_queries import NB, SQL_OOF, _draw_sql, oof
 from tremor.plans.model_queries import SQL_ROWS, XS, rows
 from tremor.plans.outcome_queries import SQL_ALIGNED, SQL_FIT, features, fitted
@@ -223,3 +224,50 @@ def c08_j18_interpolated_rows(spark, sf_dir):
     train, minority = _minority(spark, sf_dir)
     s = ag.interpolated(train, minority, ["fold", "type"], XS, "y")
     return s.select("fold", "type", "event_id", "neighbour", "in_window", rnd("x1", 5).alias("x1"), rnd("x2", 5).alias("x2"), rnd("y", 4).alias("y"))
+
+
+#: Every column that does not follow from others.
+BASE_COLUMNS = [*XS, "severity", "affected"]
+
+SQL_WIDE = """
+tr AS (SELECT rw.*, severity, affected FROM rw JOIN (SELECT event_id, severity, affected FROM shocks) USING (event_id) WHERE role = 'train'),
+qs AS (SELECT fold, quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM tr GROUP BY 1),
+m0 AS (SELECT tr.* FROM tr JOIN qs USING (fold) WHERE y < lo OR y > hi),
+ss AS (SELECT fold, """ + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_samp({c}), 0), 1) AS s_{c}" for c in BASE_COLUMNS) + """ FROM m0 GROUP BY 1),
+mi AS (SELECT m0.*, """ + ", ".join(f"({c} - m_{c}) / s_{c} AS z_{c}" for c in BASE_COLUMNS) + """ FROM m0 JOIN ss USING (fold)),
+pr AS (SELECT a.fold, a.type, a.event_id, b.event_id AS nb, a.y, b.y AS by_, """ + ", ".join(f"a.{c}, b.{c} AS b_{c}" for c in BASE_COLUMNS) + """,
+  abs(date_diff('day', a.event_date, b.event_date)) <= 5 * 365.25 AS inw, round(""" + " + ".join(f"(a.z_{c} - b.z_{c}) ** 2" for c in BASE_COLUMNS) + """, 12) AS d
+  FROM mi a JOIN mi b ON a.fold = b.fold AND a.type = b.type AND a.event_id <> b.event_id),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, event_id ORDER BY inw DESC, d, nb) AS rn FROM pr) WHERE rn = 1),
+sy AS (SELECT *, ('0x' || substr(md5('42:' || event_id || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM pk),
+mx AS (SELECT fold, type, event_id, nb, inw, y + u * (by_ - y) AS y, """ + ", ".join(f"{c} + u * (b_{c} - {c}) AS {c}" for c in BASE_COLUMNS) + """ FROM sy)"""
+
+
+def wide_minority(spark, sf_dir):
+    """Train rows with every base column, and the minority with their z-scores over each fold's minority."""
+    train = rows(spark, sf_dir).where("role = 'train'").join(shocks(spark, sf_dir).select("event_id", "severity", "affected"), "event_id")
+    cut = exact_quantiles(train, ["fold"], "y", {"_lo": 0.1, "_hi": 0.9}).drop("n_total")
+    few = train.join(F.broadcast(cut), "fold").where((F.col("y") < F.col("_lo")) | (F.col("y") > F.col("_hi")))  # one row per fold
+    return train, stage(ag.scaled(few.select("fold", "type", "event_id", "event_date", *BASE_COLUMNS, "y"), ["fold"], BASE_COLUMNS), "minority")
+
+
+@query("c08_all_columns", ctes(SQL_ROWS, SQL_WIDE) + f"""
+SELECT fold, type, event_id, nb AS neighbour, inw AS in_window, {r("x1", 5, "x1")}, {r("x2", 5, "x2")}, {r("severity", 2, "severity")}, {r("affected", 2, "affected")}, {r("y", 4, "y")},
+  {r("ln(1 + greatest(severity, 0))", 5, "log_severity")}, {r("CASE WHEN type = 'BUILDING' THEN ln(1 + greatest(severity, 0)) ELSE 0 END", 5, "log_severity_x_building")} FROM mx""")
+def c08_all_columns(spark, sf_dir):
+    """Interpolation by the nearest row in all base columns; columns that follow from them are derived anew."""
+    train, few = wide_minority(spark, sf_dir)
+    s = ag.interpolated(train, few, ["fold", "type"], BASE_COLUMNS, "y", columns=tuple(f"z_{c}" for c in BASE_COLUMNS), derive=derive)
+    return s.select("fold", "type", "event_id", "neighbour", "in_window", rnd("x1", 5).alias("x1"), rnd("x2", 5).alias("x2"), rnd("severity", 2).alias("severity"), rnd("affected", 2).alias("affected"),
+                    rnd("y", 4).alias("y"), rnd("log_severity", 5).alias("log_severity"), rnd("log_severity_x_building", 5).alias("log_severity_x_building"))
+
+
+@query("c08_pair_report", ctes(SQL_ROWS, SQL_WIDE) + """
+SELECT m.fold, count(*) AS n_minority, count(p.inw) FILTER (p.inw) AS pairs_in_window, count(p.inw) FILTER (NOT p.inw) AS pairs_window_relaxed,
+  2 * count(p.inw) AS n_synthetic, count(*) - count(p.inw) AS skipped_no_partner
+FROM mi m LEFT JOIN pk p ON p.fold = m.fold AND p.event_id = m.event_id GROUP BY 1""")
+def c08_pair_report(spark, sf_dir):
+    """What the pairing of each fold came to, with two synthetic rows a pair."""
+    train, few = wide_minority(spark, sf_dir)
+    s = ag.interpolated(train, few, ["fold", "type"], BASE_COLUMNS, "y", copies=2, max_share=1.0, columns=tuple(f"z_{c}" for c in BASE_COLUMNS))
+    return ag.pair_report(few, s, ["fold"])

@@ -25,10 +25,12 @@ indexed whole. More than 2^31 - 1 frequent words are refused with a ValueError.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import cached_property
 from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,7 +42,9 @@ from tremor.llm.registry import query
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard, and bytes of text that are split into words at once.
-SHARD, SLICE = 400_000, 1 << 19
+SHARD, SLICE = 1_500_000, 1 << 19
+#: (shard, language, word) rows of a part whose words are numbered together.
+PART = 1_000_000
 #: Parts of a language that are ranked on their own before their best are ranked together.
 PARTS = 32
 
@@ -55,6 +59,14 @@ GRAMS = T.StructType([*(T.StructField(f"w{k}", T.IntegerType()) for k in range(1
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    return zstandard.compress(codes.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.int32)
+
+
 def _slices(raw: bytes):
     """Parts of about SLICE bytes, cut after a break."""
     at = 0
@@ -76,7 +88,7 @@ def _read_batches(batches):
     def rows():
         codes = np.concatenate(parts)
         n = np.bincount(codes)
-        yield rows_of(READ, [[first + made], [codes.tobytes()], [None], [None], [None], [None]])
+        yield rows_of(READ, [[first + made], [_packed(codes)], [None], [None], [None], [None]])
         for lang, d in known.items():
             words, local = list(d)[1:], np.fromiter(list(d.values())[1:], np.int64)
             for at in range(0, len(words), 50_000):
@@ -107,10 +119,10 @@ def _code_batches(batches):
     """Codes by the ids of frequent words; all other words become breaks, and single words go."""
     for batch in batches:
         for k in range(len(batch)):
-            codes = np.frombuffer(batch.column(1)[k].as_py(), np.int32)
+            codes = _unpacked(batch.column(1)[k].as_py())
             to = np.zeros(int(codes.max()) + 1, np.int32)
             to[batch.column(2)[k].values.field(0).to_numpy()] = batch.column(2)[k].values.field(1).to_numpy()
-            yield rows_of(CODED, [[batch.column(0)[k].as_py()], [runs_of(to[codes], 2).tobytes()]])
+            yield rows_of(CODED, [[batch.column(0)[k].as_py()], [_packed(runs_of(to[codes], 2))]])
 
 
 def runs_of(codes: np.ndarray, least: int) -> np.ndarray:
@@ -129,25 +141,33 @@ class PhraseIndex:
     """
 
     def __init__(self, codes: np.ndarray, depth: int):
-        self.names, dense = np.unique(np.r_[0, codes], return_inverse=True)
-        dense = dense[1:].astype(np.int64)
-        self.size = len(self.names)
-        self.left, self.right = (self._half(t, depth) for t in (dense, dense[::-1]))
-        self.counts = np.bincount(dense, minlength=self.size)
+        self.names = np.unique(codes)
+        if not len(self.names) or self.names[0]:
+            self.names = np.r_[np.int32(0), self.names]
+        self.text, self.depth, self.size = np.searchsorted(self.names, codes).astype(np.int32), depth, len(self.names)
+        self.counts = np.bincount(self.text, minlength=self.size)
 
-    def _half(self, text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._half(self.text)
+
+    @cached_property
+    def right(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._half(self.text[::-1])
+
+    def _half(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The transform and the last-to-first map."""
         bits = max(1, (self.size - 1).bit_length())
-        ahead, keys = np.r_[text, np.zeros(depth, np.int64)], []
-        for at in range(0, depth, 62 // bits):
+        ahead, keys = np.r_[text, np.zeros(self.depth, np.int32)], []
+        for at in range(0, self.depth, 62 // bits):
             key = np.zeros(len(text), np.int64)
-            for k in range(at, min(depth, at + 62 // bits)):
-                key = key << bits | ahead[k : k + len(text)]
+            for k in range(at, min(self.depth, at + 62 // bits)):
+                key <<= bits
+                key |= ahead[k : k + len(text)]
             keys.append(key)
-        order = np.lexsort(keys[::-1])
-        before = text[order - 1]
-        back = np.empty(len(text), np.int64)
-        back[np.argsort(before, kind="stable")] = np.arange(len(text))
+        before = text[np.lexsort(keys[::-1]) - 1]
+        back = np.empty(len(text), np.int32)
+        back[np.argsort(before, kind="stable")] = np.arange(len(text), dtype=np.int32)
         return before, back
 
     def words(self):
@@ -162,15 +182,16 @@ class PhraseIndex:
         before, back = self.left if to_left else self.right
         own, other = (l, r) if to_left else (r, l)
         begin = np.cumsum(n) - n
-        owner = np.repeat(np.arange(len(n)), n)
-        row = np.arange(len(owner)) - begin[owner] + own[owner]
-        key = owner * self.size + before[row]
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        row = (np.arange(len(owner)) - (begin - own)[owner]).astype(np.int32)
+        key = owner.astype(np.int64) * self.size + before[row]
+        del owner
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         n = np.diff(np.r_[first, len(key)])
         owner, symbol = key[first] // self.size, key[first] % self.size
-        own, other = back[row[order[first]]], other[owner] + first - begin[owner]
+        own, other = back[row[order[first]]].astype(np.int64), other[owner] + first - begin[owner]
         fine = symbol > 0
         added, words = symbol[fine, None], words[owner[fine]]
         l, r = (own, other) if to_left else (other, own)
@@ -180,7 +201,7 @@ class PhraseIndex:
 def _pair_batches(batches):
     for batch in batches:
         for k in range(len(batch)):
-            index = PhraseIndex(np.frombuffer(batch.column(1)[k].as_py(), np.int32), 2)
+            index = PhraseIndex(_unpacked(batch.column(1)[k].as_py()), 2)
             words, _, _, n = index.extended(index.words(), True)
             names = index.names.astype(np.int64)
             pair = names[words[:, 0]] << 32 | names[words[:, 1]]
@@ -193,7 +214,7 @@ def _gram_batches(batches, longest: int):
     """Phrases of three and more words whose pairs of neighbours are all frequent, by steps to either side."""
     for batch in batches:
         for k in range(len(batch)):
-            codes = np.frombuffer(batch.column(0)[k].as_py(), np.int32)
+            codes = _unpacked(batch.column(0)[k].as_py())
             pairs = np.sort(batch.column(1)[k].values.to_numpy())
             both = codes[:-1].astype(np.int64) << 32 | codes[1:]
             at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
@@ -214,15 +235,21 @@ def _gram_batches(batches, longest: int):
                     yield rows_of(GRAMS, [*(w[:, k] if k < size else empty for k in range(LONGEST)), found[3][at : at + 100_000]])
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """Adds ``id`` from 1 on: parts by hash, the rows before a part, the place inside it."""
-    n = words.count()
+def _numbered(seen: DataFrame, least: int) -> DataFrame:
+    """(shard, local, lang, word, f, id) of rows (shard, local, lang, word, n) whose word is frequent.
+
+    Words are dealt to parts by hash; inside a part one sort gives the sums of words and their place
+    among the frequent ones, and the places before a part, a row for each part, make ids from 1 on.
+    """
+    parted = seen.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(max(1, seen.count() // PART))))
+    whole = W.partitionBy("part", "lang", "word")
+    often = parted.withColumn("f", F.sum("n").over(whole)).where(F.col("f") >= least)
+    often = stage(often.withColumn("place", F.dense_rank().over(W.partitionBy("part").orderBy("lang", "word"))).drop("n"), "phrase-often")
+    before = often.groupBy("part").agg(F.max("place").alias("k")).select("part", "k", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("before"))
+    n = before.agg(F.sum("k")).first()[0] or 0
     if n >= 2**31:
         raise ValueError(f"{n} frequent words, more than an id can hold")
-    words = words.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(max(1, n // 100_000))))
-    before = words.groupBy("part").agg(F.count("*").alias("k")).select("part", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("k"))
-    inside = F.row_number().over(W.partitionBy("part").orderBy("lang", "word"))
-    return words.join(before, "part").select("lang", "word", "f", (F.col("k") + inside).cast("int").alias("id"))
+    return often.join(before.select("part", "before"), "part").select("shard", "local", "lang", "word", "f", (F.col("before") + F.col("place")).cast("int").alias("id"))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -235,10 +262,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     read = stage(map_batches(texts, _read_batches, READ), "phrase-shards")
     seen = read.where("word is not null").select("shard", "local", "lang", "word", "n")
     totals = stage(seen.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    often = stage(seen.withColumn("f", F.sum("n").over(W.partitionBy("lang", "word"))).where(F.col("f") >= least).drop("n"), "phrase-often")
-    words = stage(_numbered(stage(often.groupBy("lang", "word").agg(F.max("f").alias("f")), "phrase-words")), "phrase-words")
+    often = _numbered(seen, least)
+    words = stage(often.groupBy("id", "lang", "word").agg(F.max("f").alias("f")), "phrase-words")
 
-    ids = often.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
+    ids = often.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
     codes = read.where("word is null").select("shard", "codes").join(ids, "shard")
     coded = stage(map_batches(codes, _code_batches, CODED), "phrase-coded")
 

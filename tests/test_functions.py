@@ -74,3 +74,14 @@ def test_wilson_and_hanley(spark):
     a, b = sc.hanley_mcneil(F.lit(0.8), F.lit(10), F.lit(20))
     r = spark.range(1).select(lo.alias("lo"), hi.alias("hi"), a.alias("a"), b.alias("b")).first()
     assert r.lo == pytest.approx(0.4878, abs=1e-3) and r.hi == pytest.approx(0.8077, abs=1e-3) and r.a < 0.8 < r.b
+
+
+def test_local_folder_where_none_is_named(spark, monkeypatch):
+    from tremor import session
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: None)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(session, "_OWN", {})
+    a, b = session.shared_dir(spark), session.shared_dir(spark)
+    assert a == b and a.startswith("/tmp/spark-")
+    assert session.stage(spark.range(3), "kept").count() == 3

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: dict[tuple[str, str], str] = {}
+#: Folder of a local application that names none.
+_OWN: dict[str, str] = {}
 
 
 def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
@@ -38,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:  # the setting itself can't be changed in a running session
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

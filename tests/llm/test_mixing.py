@@ -73,3 +73,17 @@ def test_rates_are_tilted_by_tokens(spark):
         (r,) = mixing.multipliers(sizes, wanted).collect()
         rate = lambda s: min(2.0, math.exp(r["lam"] * s / r["mean"]))  # noqa: E731, B023
         assert sum(n * s * rate(s) for s, n in ((1, 50), (5, 30), (20, 10))) == pytest.approx(target, rel=1e-8)
+
+
+def test_copies_follow_the_source(spark):
+    # one id and size under two sources whose rates differ
+    rows = [(i % 300, "w " * (1 + i % 5), "ab"[i // 300], "n", i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, row long").repartition(3)
+    wanted = {(r.doc_id, r.source): r.n_copies for r in mixing.mix(docs).collect()}
+    out = mixing.repeat_rows(docs)
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+        assert (r.doc_id, r.text, r.source) == rows[r.row][:3]
+    assert got == {k: n for k, n in wanted.items() if n} and max(got.values()) <= 2

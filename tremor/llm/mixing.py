@@ -148,11 +148,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows with one id and size are taken alike."""
-    taken = mix(docs).where("n_copies > 0").select("doc_id", "size", "n_copies").distinct().toDF("_id", "_size", "_n")
-    rows = docs.withColumn("_words", n_words(F.col("text")))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """``docs`` with each row as often as the mix takes it; rows of one source, id and size are taken alike."""
+    size = n_words(F.col("text"))
+    taken = mix(docs).where("n_copies > 0").select("doc_id", "source", "size", "n_copies").distinct().alias("taken")
+    # columns of the input are addressed through one struct, so any of their names may clash
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), size.alias("size")).alias("rows")
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"taken.{c}")) for c in ("doc_id", "source", "size")]
+    copies = F.explode(F.sequence(F.lit(1), F.col("taken.n_copies").cast("int"))).alias("copy")
+    return rows.join(taken, same).select("rows.row", copies).select("row.*")
 
 
 @query("op3_mixing")

@@ -61,6 +61,22 @@ def test_repeated_ids(frame):
     assert found == {(1, 300): [0, 0], (1, 301): [0], (2, 301): [301], (3, 304): [300]}
 
 
+def test_many_texts_under_one_id(frame):
+    # every pair of texts under the null id shares 124 bytes, and no two are taken for one document
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = [text(124) for _ in range(2500)]
+    rows = [(None, s + text(40)) for s in shared] + [(None, text(40) + s) for s in shared] + [(7, shared[0])] + [(None, "same " * 50)] * 200
+    out = repeats.digests(frame([(i, t, 1, "r", "x", 0) for i, t in rows], DOCS, 4)).collect()
+    pairs = [r for r in out if r.n_bytes == 164]
+    assert len(pairs) == 5000 and sorted(r.n_removed for r in pairs)[:2499] == [0] * 2499
+    assert sum(r.n_removed == 124 for r in pairs) >= 2499 and all(r.doc_id is None for r in pairs)
+    # id 7 comes before the null id, so both texts with the first passage lose it
+    assert sum(r.n_removed > 0 for r in pairs) == 2501 and next(r.n_removed for r in out if r.doc_id == 7) == 0
+    # copies of one row are one document: the same result on each
+    assert {r.n_removed for r in out if r.n_bytes == 250} == {245} and sum(r.n_bytes == 250 for r in out) == 200
+
+
 def test_texts_left(frame):
     p = "".join(chr(97 + i * 7 % 26) + chr(98 + i * i % 23) for i in range(80))
     docs = frame([(1, p + " tail", 1, "r", "x", 165), (2, "é" + p + "ü", 2, None, "y", 162), (3, None, 3, "z", None, None)], DOCS)

@@ -17,9 +17,12 @@ than ``MOST`` such runs (a phrase in ever new surroundings) are cut up into sing
 by a 128-bit hash of all their bytes and settled by partial minimums. Texts are shuffled once: the
 exchange that fetches the bytes of differing runs also feeds the removal.
 
+Where ids repeat, rows are numbered by (id, 64-bit hash of the text) first, the numbers take the place of
+the ids, and each number is searched once; so no id, the null one included, gathers its rows anywhere.
+
 Defined results: a null text counts as empty; null ids come last and are one id; rows that repeat an
 id and a text are one document and get the same result; rows with one id and different texts are
-ordered by a hash of their texts; an empty table gives an empty result; other columns are kept where
+documents of their own, ordered by that hash; an empty table gives an empty result; other columns are kept where
 asked for and don't take part.
 """
 
@@ -30,6 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +56,8 @@ BYTES = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("id
 REMOVED = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("at", T.LongType()), ("n", T.LongType()))])
 WINDOWS = T.StructType([T.StructField(n, t) for n, t in (("d1", T.LongType()), ("d2", T.LongType()), ("id", T.LongType()), ("at", T.LongType()))])
 
+NUMBERED = T.StructType([T.StructField(n, T.LongType()) for n in ("id", "t", "number")])
+
 _NO_ID = 2**63 - 1
 _OUTSIDE = np.uint64(2**32 - 1)
 
@@ -111,22 +117,16 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def _base(raw: bytes, apart: bool) -> int:
-    """Where starts of a text count from: rows with one id are told apart by a hash of their texts."""
-    return (xxhash.xxh3_64_intdigest(raw) & 0x3FFFFF) << 40 if apart else 0
-
-
 def _spread(i: np.ndarray, at: np.ndarray) -> np.ndarray:
     h = (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
-def _run_batches(batches, apart: bool):
+def _run_batches(batches):
     """Runs of the texts; a run that another one handled with it equals and precedes has its ``nr`` negative."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        raws = (_raw(t.as_py()) for t in batch.column(1))
-        rows = ((i, _base(raw, apart), raw) for i, raw in zip(batch.column(0).to_pylist(), raws, strict=True))
+        rows = ((i, 0, _raw(t.as_py())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
         for ids, offsets, texts in _pieces(rows):
             text, at, n, rel, h = anchor_runs(list(texts))
             nr = n << 8 | rel
@@ -185,24 +185,18 @@ def _settle_batches(batches):
         yield rows_of(SORTED, [[False], *([x] for x in open_[:4])])
 
 
-def _own(runs: list[dict] | None, base: int) -> list[dict]:
-    """The runs of a text, counted from its start."""
-    return [r | {"at": r["at"] - base} for r in runs or () if r["at"] >> 40 == base >> 40]
-
-
-def _fetch_batches(batches, apart: bool, often: bool):
-    """Rows (id, row with the text first, runs) to the bytes of the runs."""
+def _fetch_batches(batches, often: bool):
+    """Rows (id, text, runs) to the bytes of the runs."""
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         size = 0
-        for i, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).field(0), batch.column(2), strict=True):
+        for i, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             raw = _raw(text.as_py())
-            base = _base(raw, apart)
-            for r in _own(runs.as_py(), base):
+            for r in runs.as_py() or ():
                 if r["often"] is not often:
                     continue
                 piece = raw[r["at"] : r["at"] + (r["nr"] >> 8) + LENGTH - 1]
-                for x, v in zip(out, (r["h"], i, base + r["at"], r["nr"], piece), strict=True):
+                for x, v in zip(out, (r["h"], i, r["at"], r["nr"], piece), strict=True):
                     x.append(v)
                 size += len(piece)
             if size > 4 * PART:
@@ -310,10 +304,10 @@ def spans(runs: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def cut(text: str | None, runs: list[dict] | None, apart: bool) -> tuple[bytes, int, int]:
+def cut(text: str | None, runs: list[dict] | None) -> tuple[bytes, int, int]:
     """The bytes that are left, how many were removed and in how many spans."""
     raw = _raw(text)
-    gone = spans(_own(runs, _base(raw, apart)))
+    gone = spans(runs)
     left, at = [], 0
     for a, b in gone:
         left.append(raw[at:a])
@@ -323,67 +317,84 @@ def cut(text: str | None, runs: list[dict] | None, apart: bool) -> tuple[bytes,
     return kept, len(raw) - len(kept), len(gone)
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, bool]:
-    """(id, row, runs) of each row, and whether ids repeat: row holds the text and the columns ``keep``, runs the removed windows."""
+def _number_batches(batches):
+    """Sorted (id, t) to numbers in that order; partitions hold ascending ranges."""
+    number = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        yield rows_of(NUMBERED, [batch.column(0), batch.column(1), np.arange(number, number + len(batch))])
+        number += len(batch)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, row) with the number of (id, text) for the id, in a table that can be read more than once."""
+    rows = rows.withColumn("t", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    pairs = rows.select("id", "t").distinct().repartitionByRange("id", "t").sortWithinPartitions("id", "t")
+    numbers = stage(map_batches(pairs, _number_batches, NUMBERED), "repeats-numbers")
+    return stage(rows.join(numbers, ["id", "t"]).select(F.col("number").alias("id"), "row"), "repeats-rows")
+
+
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, runs) of each row: row holds the text, the id and a struct of the columns ``keep``, runs the removed windows."""
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id")
-    apart = bool(docs.select(ident).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").take(1))
-    rows = docs.select(ident, F.struct(F.col(text_col).cast("string").alias("_text"), *(keep or ())).alias("row"))
-    runs = map_batches(docs.select(ident, F.col(text_col).cast("string")), _run_batches, RUNS, apart)
+    kept = F.struct(*keep) if keep else F.lit(0)
+    rows = docs.select(ident, F.struct(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"), kept.alias("keep")).alias("row"))
+    texts = rows
+    if docs.select(ident).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        rows = _numbered(rows)
+        texts = rows.dropDuplicates(["id"])
+    texts = texts.select("id", F.col("row.text").alias("text"))
+    runs = map_batches(texts, _run_batches, RUNS)
     settled = stage(map_batches(runs.repartition("h").sortWithinPartitions("h", "c", "id", "at"), _settle_batches, SORTED), "repeats-settled")
     whole = settled.where("repeat").select("id", "at", F.shiftright("nr", 8).cast("long").alias("n"))
     mixed = settled.where("not repeat")
     often = mixed.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > MOST)
     mixed = mixed.join(often, "h", "left").withColumn("often", F.col("k").isNotNull())
     per_doc = mixed.groupBy("id").agg(F.collect_list(F.struct("h", "at", "nr", "often")).alias("runs"))
-    fetched = rows.join(per_doc, "id").select("id", "row", "runs")
-    some = map_batches(fetched, _fetch_batches, BYTES, apart, False)
+    fetched = texts.join(per_doc, "id").select("id", "text", "runs")
+    some = map_batches(fetched, _fetch_batches, BYTES, False)
     sorted_out = map_batches(some.repartition("h").sortWithinPartitions("h"), _sort_batches, REMOVED)
-    single = map_batches(map_batches(fetched, _fetch_batches, BYTES, apart, True), _window_batches, WINDOWS)
+    single = map_batches(map_batches(fetched, _fetch_batches, BYTES, True), _window_batches, WINDOWS)
     first = single.groupBy("d1", "d2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("m")).where("m > 1")
     singles_out = single.join(first, ["d1", "d2"]).where((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at"))).select("id", "at", F.lit(1).cast("long").alias("n"))
     removed = whole.unionByName(sorted_out).unionByName(singles_out)
-    return rows.join(removed.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "id", "left").select("id", "row", "runs"), apart
+    return rows.join(removed.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "id", "left").select("row", "runs")
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
-def _ids(column) -> list:
-    return [None if i == _NO_ID else i for i in column.to_pylist()]
-
-
-def _digest_batches(batches, apart: bool):
+def _digest_batches(batches):
     for batch in batches:
         found = []
-        for text, runs in zip(batch.column(1).field(0), batch.column(2), strict=True):
-            kept, removed, n = cut(text.as_py(), runs.as_py(), apart)
+        row = batch.column(0)
+        for text, runs in zip(row.field(0), batch.column(1), strict=True):
+            kept, removed, n = cut(text.as_py(), runs.as_py())
             found.append((len(kept) + removed, removed, n, hashlib.sha256(kept).hexdigest()))
-        yield rows_of(RESULT, [_ids(batch.column(0)), *map(list, zip(*found, strict=True))] if found else [[]] * 5)
+        yield rows_of(RESULT, [row.field(1), *map(list, zip(*found, strict=True))] if found else [[]] * 5)
 
 
-def _text_batches(batches, apart: bool, schema: T.StructType, text_at: int):
+def _text_batches(batches, schema: T.StructType, text_at: int):
     for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
-        row = batch.column(1)
+        row = batch.column(0)
         texts = []
-        for text, runs in zip(row.field(0), batch.column(2), strict=True):
+        for text, runs in zip(row.field(0), batch.column(1), strict=True):
             t, r = text.as_py(), runs.as_py()
-            texts.append(cut(t, r, apart)[0].decode("utf-8", "ignore") if r else t)
-        cols = [row.field(k) for k in range(1, row.type.num_fields)]
+            texts.append(cut(t, r)[0].decode("utf-8", "ignore") if r else t)
+        kept = row.field(2)
+        cols = [kept.field(k) for k in range(kept.type.num_fields)] if len(schema) > 1 else []
         cols.insert(text_at, pa.array(texts, pa.string()))
         yield rows_of(schema, cols)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
-    rows, apart = marked(docs)
-    return map_batches(rows, _digest_batches, RESULT, apart)
+    return map_batches(marked(docs), _digest_batches, RESULT)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of each text; a character that a cut divides goes too, and n_chars follows."""
     keep = [c for c in docs.columns if c != "text"]
-    rows, apart = marked(docs, keep=keep)
-    left = map_batches(rows, _text_batches, docs.schema, apart, docs.schema, docs.columns.index("text"))
+    left = map_batches(marked(docs, keep=keep), _text_batches, docs.schema, docs.schema, docs.columns.index("text"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in keep else left
 
 

@@ -40,6 +40,8 @@ _SLOTS, _SHIFT, _MIX, _EMPTY = 1 << 18, np.uint64(64 - 18), np.uint64(0x9E3779B9
 _SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 _SPLIT = regex.compile(f"[{_SPACE}]+")
 #: str.split() also splits here, the tokenizer does not.
+#: Marks that the word expression takes as words of their own after letters.
+_ENDS = ".,;:!?"
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 
 
@@ -157,11 +159,16 @@ class Tokenizer:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
-    def _words(self, chunk: str) -> list[bytes]:
+    def _words(self, chunk: str) -> list[str]:
         """Words of a run without white space and special tokens."""
-        if not chunk.isascii():
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in _ENDS and chunk[:-1].isalpha():  # a run of letters and one mark are two words by the expression too
+                return [chunk[:-1].lower(), chunk[-1]]
+        else:
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower-casing is by character, without the final sigma
-        return [w.encode("utf-8", "replace") for w in self.word.findall(chunk.lower())]
+        return self.word.findall(chunk.lower())
 
     def _known(self, chunks: set[str]) -> dict:
         """The young generation, with an entry for each chunk: ids and tokens, joined by blanks."""
@@ -176,17 +183,28 @@ class Tokenizer:
                 else:
                     young[c] = known
         split = [*map(self._words, new)]
-        coded: dict[bytes, tuple[str, str]] = {}
-        by_length: dict[int, list[bytes]] = {}
+        coded: dict[str, tuple[str, str]] = {}
+        by_length: dict[int, list[str]] = {}
         for w in {w for ws in split for w in ws}:
-            by_length.setdefault(min(len(w) + 3 >> 2, SHORT // 4 + 1), []).append(w)
+            # a word is also the chunk that it makes alone; other letters than ASCII may change where they are split again
+            if w.isascii() and (known := young.get(w) or old.get(w)) is not None:
+                coded[w] = known
+            else:
+                by_length.setdefault(min(len(w.encode("utf-8", "replace")) + 3 >> 2, SHORT // 4 + 1), []).append(w)
         for size, ws in by_length.items():
             for at in range(0, len(ws), 20_000):
-                some = ws[at : at + 20_000]
-                for w, ids in zip(some, self.merge_short(some) if size <= SHORT // 4 else map(self.merge_long, some), strict=True):
+                some = [w.encode("utf-8", "replace") for w in ws[at : at + 20_000]]
+                for w, ids in zip(ws[at : at + 20_000], self.merge_short(some) if size <= SHORT // 4 else map(self.merge_long, some), strict=True):
                     coded[w] = " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
         for c, ws in zip(new, split, strict=True):
-            young[c] = coded[ws[0]] if len(ws) == 1 else (" ".join(coded[w][0] for w in ws), " ".join(coded[w][1] for w in ws))
+            if len(ws) == 1:
+                young[c] = coded[ws[0]]
+            elif len(ws) == 2:
+                (a, p), (b, q) = coded[ws[0]], coded[ws[1]]
+                young[c] = f"{a} {b}", f"{p} {q}"
+            else:
+                both = [coded[w] for w in ws]
+                young[c] = " ".join([x[0] for x in both]), " ".join([x[1] for x in both])
         return young
 
     def written(self, texts: list[str | None]) -> list[tuple[str, str]]:

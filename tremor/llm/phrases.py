@@ -6,15 +6,16 @@ become breaks. Each shard then gets a bidirectional FM-index: the Burrows-Wheele
 word ids in the order of suffixes by their first words, the same for the reversed shard, and the
 last-to-first map of both. The interval of a phrase is extended to the left in one index and to the
 right in the other, the partner interval following from the counts of smaller symbols, and every
-extension comes with its count in the shard. Pairs are enumerated first; after the sum over the
-shards, runs are cut where the pair of neighbours is rarer than ``least``, so the longer phrases are
-enumerated only where all their pairs are frequent. Counts are sums of integers over all texts;
-nothing but the counted threshold drops a phrase.
+extension comes with its count in the shard. Phrases of two words are enumerated first, then those of
+three and more, each length only where both phrases one word shorter are frequent over all shards.
+Counts are sums of integers over all texts; nothing but the counted threshold drops a phrase.
 
-No table is broadcast and nothing is held beyond a shard: what a shard has to know (the ids of its
-frequent words, its frequent pairs) is joined to it by its number. A word or phrase that every text
-holds is one row a shard. The extensions of a phrase by one word on either side are the phrases one
-word longer, so a phrase is inside a longer one of equal count exactly if an extension has its count.
+Sums across shards: a shard deals its words, and for each length its phrases, to buckets by hash, as
+one packed row a bucket; a task sums one bucket after the other, tells each shard which of its own are
+frequent, and under which number. Buckets follow the size of the input, so a bucket, a shard and an
+answer are bounded, nothing is broadcast, and a word or phrase that every text holds is one entry a
+shard. The extensions of a phrase by one word on either side are the phrases one word longer, so a
+phrase is inside a longer one of equal count exactly if an extension has its count.
 
 Defined results: null texts are empty; a null language is ``und``; rows that repeat count each;
 texts without words and empty tables give no rows; ties go by the phrase in UTF-8 order; other columns
@@ -24,9 +25,10 @@ indexed whole. More than 2^31 - 1 frequent words are refused with a ValueError.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import cached_property
 from itertools import count as counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ from tremor.llm.registry import query
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of a shard, and bytes of text that are split into words at once.
 SHARD, SLICE = 1_500_000, 1 << 19
-#: (shard, language, word) rows of a part whose words are numbered together.
-PART = 1_000_000
+#: Bytes of text for each bucket.
+BUCKET = 32 << 20
 #: Parts of a language that are ranked on their own before their best are ranked together.
 PARTS = 32
 
@@ -52,19 +54,29 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _MARK = b"\xff"  # in no UTF-8 text
 _TO_MARK = bytes.maketrans(_BREAKS, _MARK * len(_BREAKS))
 
-READ = T.StructType([T.StructField(n, t) for n, t in (("shard", T.LongType()), ("codes", T.BinaryType()), ("lang", T.StringType()), ("word", T.StringType()), ("local", T.IntegerType()), ("n", T.LongType()))])
+READ = T.StructType([T.StructField(n, t) for n, t in (("shard", T.LongType()), ("codes", T.BinaryType()), ("bucket", T.IntegerType()), ("lang", T.StringType()), ("words", T.BinaryType()), ("locals", T.BinaryType()), ("n", T.BinaryType()))])
 CODED = T.StructType([T.StructField("shard", T.LongType()), T.StructField("codes", T.BinaryType())])
-PAIRS = T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "pair", "n")])
-GRAMS = T.StructType([*(T.StructField(f"w{k}", T.IntegerType()) for k in range(1, LONGEST + 1)), T.StructField("n", T.LongType())])
+KEYS = T.StructType([T.StructField(n, t) for n, t in (("shard", T.LongType()), ("bucket", T.IntegerType()), ("keys", T.BinaryType()), ("n", T.BinaryType()))])
+#: Sums of a bucket: frequent entries (place, lang and word or key, f), totals (lang, f), and answers (shard, mine, places).
+SUMMED = T.StructType([T.StructField(n, t) for n, t in (("bucket", T.IntegerType()), ("place", T.IntegerType()), ("lang", T.StringType()), ("word", T.StringType()), ("key", T.LongType()), ("f", T.LongType()), ("shard", T.LongType()), ("mine", T.BinaryType()), ("places", T.BinaryType()))])
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
 def _packed(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype(np.int32).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(codes).tobytes(), 1)
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), np.int32)
+def _unpacked(blob: bytes, kind=np.int32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
+def _packed_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _packed(np.diff(keys, prepend=0))
+
+
+def _unpacked_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob, np.int64))
 
 
 def _slices(raw: bytes):
@@ -76,7 +88,7 @@ def _slices(raw: bytes):
         at = end
 
 
-def _read_batches(batches):
+def _read_batches(batches, buckets: int):
     """Texts to shards: one row with the codes of a shard, and one for each of its (language, word)."""
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
     made = 0
@@ -87,13 +99,18 @@ def _read_batches(batches):
 
     def rows():
         codes = np.concatenate(parts)
-        n = np.bincount(codes)
-        yield rows_of(READ, [[first + made], [_packed(codes)], [None], [None], [None], [None]])
+        n, shard = np.bincount(codes), first + made
+        yield rows_of(READ, [[shard], [_packed(codes)], *([None] for _ in range(5))])
         for lang, d in known.items():
-            words, local = list(d)[1:], np.fromiter(list(d.values())[1:], np.int64)
-            for at in range(0, len(words), 50_000):
-                w, k = pa.array(words[at : at + 50_000], pa.binary()), local[at : at + 50_000]
-                yield rows_of(READ, [np.full(len(k), first + made), pa.nulls(len(k)), pa.array([lang] * len(k)), w, k, n[k]])
+            dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+            for w in d:
+                dealt[crc32(w) % buckets].append(w)
+            dealt[crc32(_MARK) % buckets].remove(_MARK)
+            for bucket, words in enumerate(dealt):
+                if words:
+                    words.sort()
+                    local = np.fromiter(map(d.__getitem__, words), np.int32, len(words))
+                    yield rows_of(READ, [[shard], [None], [bucket], [lang], [zstandard.compress(b"\n".join(words), 1)], [_packed(local)], [_packed(n[local])]])
 
     known, parts, size = fresh()
     for batch in batches:
@@ -115,14 +132,84 @@ def _read_batches(batches):
         yield from rows()
 
 
+def _answer(bucket: int, shard: int, mine: bytes, places: np.ndarray) -> pa.RecordBatch:
+    return rows_of(SUMMED, [[bucket], *([None] for _ in range(5)), [shard], [mine], [_packed(places.astype(np.int32))]])
+
+
+def _word_sums(batches, least: int):
+    """Word rows in the order of (bucket, language) to the frequent words, totals, and each shard's share of them."""
+    held: list = []
+
+    def summed(key):
+        bucket, lang = key
+        sums: Counter = Counter()
+        for _, words, _, n in held:
+            for w, k in zip(zstandard.decompress(words).split(b"\n"), _unpacked(n, np.int64).tolist(), strict=True):
+                sums[w] += k
+        often = {w: k for k, w in enumerate(w for w, f in sums.items() if f >= least)}
+        yield rows_of(SUMMED, [[bucket], [None], [lang], [None], [None], [sum(sums.values())], [None], [None], [None]])
+        if often:
+            nothing = pa.nulls(len(often))
+            start = taken[0]
+            yield rows_of(SUMMED, [np.full(len(often), bucket), start + np.arange(len(often)), pa.array([lang] * len(often)), pa.array(list(often), pa.binary()), nothing, [sums[w] for w in often], nothing, nothing, nothing])
+            for shard, words, local, _ in held:
+                place = np.fromiter((often.get(w, -1) for w in zstandard.decompress(words).split(b"\n")), np.int64)
+                yield _answer(bucket, shard, _packed(_unpacked(local)[place >= 0]), start + place[place >= 0])
+            taken[0] += len(often)
+
+    key, taken = None, [0]
+    for batch in batches:
+        for shard, bucket, lang, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (bucket, lang):
+                if held:
+                    yield from summed(key)
+                taken = taken if key and key[0] == bucket else [0]
+                key, held = (bucket, lang), []
+            held.append((shard, *row))
+    if held:
+        yield from summed(key)
+
+
+def _key_sums(batches, least: int):
+    """Key rows in the order of buckets to the frequent keys, and each shard's share of them."""
+    held: list = []
+
+    def summed(bucket):
+        shards = [(shard, _unpacked_sorted(keys), _unpacked(n)) for shard, keys, n in held]
+        keys, at = np.unique(np.concatenate([k for _, k, _ in shards]), return_inverse=True)
+        f = np.bincount(at, np.concatenate([n for _, _, n in shards])).astype(np.int64)
+        often, f = keys[f >= least], f[f >= least]
+        if not len(often):
+            return
+        nothing = pa.nulls(len(often))
+        yield rows_of(SUMMED, [np.full(len(often), bucket), np.arange(len(often)), nothing, nothing, often, f, nothing, nothing, nothing])
+        for shard, mine, _ in shards:
+            place = np.minimum(np.searchsorted(often, mine), len(often) - 1)
+            met = often[place] == mine
+            if met.any():
+                yield _answer(bucket, shard, _packed_sorted(mine[met]), place[met])
+
+    last = None
+    for batch in batches:
+        for shard, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != last and held:
+                yield from summed(last)
+                held = []
+            last = bucket
+            held.append((shard, *row))
+    if held:
+        yield from summed(last)
+
+
 def _code_batches(batches):
     """Codes by the ids of frequent words; all other words become breaks, and single words go."""
     for batch in batches:
-        for k in range(len(batch)):
-            codes = _unpacked(batch.column(1)[k].as_py())
+        for shard, codes, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            codes = _unpacked(codes)
             to = np.zeros(int(codes.max()) + 1, np.int32)
-            to[batch.column(2)[k].values.field(0).to_numpy()] = batch.column(2)[k].values.field(1).to_numpy()
-            yield rows_of(CODED, [[batch.column(0)[k].as_py()], [_packed(runs_of(to[codes], 2))]])
+            for a in answers:
+                to[_unpacked(a["mine"])] = a["before"] + _unpacked(a["places"]) + 1
+            yield rows_of(CODED, [[shard], [_packed(runs_of(to[codes], 2))]])
 
 
 def runs_of(codes: np.ndarray, least: int) -> np.ndarray:
@@ -198,58 +285,82 @@ class PhraseIndex:
         return np.concatenate([added, words] if to_left else [words, added], 1), l[fine], r[fine], n[fine]
 
 
-def _pair_batches(batches):
-    for batch in batches:
-        for k in range(len(batch)):
-            index = PhraseIndex(_unpacked(batch.column(1)[k].as_py()), 2)
-            words, _, _, n = index.extended(index.words(), True)
-            names = index.names.astype(np.int64)
-            pair = names[words[:, 0]] << 32 | names[words[:, 1]]
-            for at in range(0, len(pair), 100_000):
-                p = pair[at : at + 100_000]
-                yield rows_of(PAIRS, [np.full(len(p), batch.column(0)[k].as_py()), p, n[at : at + 100_000]])
-
-
-def _gram_batches(batches, longest: int):
-    """Phrases of three and more words whose pairs of neighbours are all frequent, by steps to either side."""
+def _known(level: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a shard's frequent phrases of one length, ascending, and their ids."""
+    keys = np.concatenate([_unpacked_sorted(a["mine"]) for a in level])
+    ids = np.concatenate([a["before"] + _unpacked(a["places"]).astype(np.int64) for a in level])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], ids[order]
+
+
+def _looked_up(prefix: np.ndarray, word: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Ids of phrases by the id of all words but the last, and the last; -1 for others."""
+    key = prefix.astype(np.int64) << 32 | word
+    at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+    return np.where((known[0][at] == key) & (prefix >= 0) & (word > 0), known[1][at], -1)
+
+
+def _joined_runs(codes: np.ndarray, often: np.ndarray, size: int) -> np.ndarray:
+    """The words of all places in a row where frequent phrases of ``size`` words start, two at least, with breaks around."""
+    edge = np.flatnonzero(np.diff(np.r_[False, often, False].astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    start, end = start[end - start > 1], end[end - start > 1] + size - 1
+    n = end - start + 1
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out = codes[np.minimum(np.repeat(start, n) + at, len(codes) - 1)]
+    out[np.cumsum(n) - 1] = 0
+    return np.r_[np.int32(0), out]
+
+
+def _phrase_batches(batches, size: int, buckets: int):
+    """Phrases of ``size`` words with their counts in the shard; shorter ones of ``levels`` are known to be frequent."""
     for batch in batches:
-        for k in range(len(batch)):
-            codes = _unpacked(batch.column(0)[k].as_py())
-            pairs = np.sort(batch.column(1)[k].values.to_numpy())
-            both = codes[:-1].astype(np.int64) << 32 | codes[1:]
-            at = np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)
-            cut = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0) & (pairs[at] != both)) + 1
-            codes = runs_of(np.insert(codes, cut, 0), 3)
-            if len(codes) < 4:
+        levels = [c.to_pylist() for c in batch.columns[2:]]
+        for k, (shard, codes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            codes = _unpacked(codes)
+            known = [_known(level[k]) for level in levels]
+            ids = np.where(codes > 0, codes, -1).astype(np.int64)  # of the phrase of one word, then more, that starts here
+            for n, level in enumerate(known, 1):
+                ids = np.r_[_looked_up(ids[: len(codes) - n], codes[n:], level), np.full(n, -1)]
+            codes = _joined_runs(codes, ids >= 0, size - 1)
+            if len(codes) <= size:
                 continue
-            index = PhraseIndex(codes, longest)
-            found = index.extended(index.words(), True)
-            for size in range(3, longest + 1):
-                found = index.extended(found, size % 2 == 1)
-                if not len(found[3]):
-                    break
-                words = index.names[found[0]]
-                for at in range(0, len(words), 100_000):
-                    w = words[at : at + 100_000]
-                    empty = np.zeros(len(w), np.int64)
-                    yield rows_of(GRAMS, [*(w[:, k] if k < size else empty for k in range(LONGEST)), found[3][at : at + 100_000]])
-
-
-def _numbered(seen: DataFrame, least: int) -> DataFrame:
-    """(shard, local, lang, word, f, id) of rows (shard, local, lang, word, n) whose word is frequent.
-
-    Words are dealt to parts by hash; inside a part one sort gives the sums of words and their place
-    among the frequent ones, and the places before a part, a row for each part, make ids from 1 on.
-    """
-    parted = seen.withColumn("part", F.pmod(F.xxhash64("lang", "word"), F.lit(max(1, seen.count() // PART))))
-    whole = W.partitionBy("part", "lang", "word")
-    often = parted.withColumn("f", F.sum("n").over(whole)).where(F.col("f") >= least)
-    often = stage(often.withColumn("place", F.dense_rank().over(W.partitionBy("part").orderBy("lang", "word"))).drop("n"), "phrase-often")
-    before = often.groupBy("part").agg(F.max("place").alias("k")).select("part", "k", (F.sum("k").over(W.orderBy("part")) - F.col("k")).alias("before"))
-    n = before.agg(F.sum("k")).first()[0] or 0
-    if n >= 2**31:
-        raise ValueError(f"{n} frequent words, more than an id can hold")
-    return often.join(before.select("part", "before"), "part").select("shard", "local", "lang", "word", "f", (F.col("before") + F.col("place")).cast("int").alias("id"))
+            index = PhraseIndex(codes, size)
+            found = index.words()
+            for n in range(1, size):
+                found = index.extended(found, n % 2 == 1)
+            words, n = index.names[found[0]].astype(np.int64), found[3]
+            prefix = words[:, 0]
+            for at, level in enumerate(known, 1):
+                prefix = _looked_up(prefix, words[:, at], level)
+            key = prefix << 32 | words[:, size - 1]
+            bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.lexsort((key, bucket))
+            key, n, cut = key[order], n[order].astype(np.int32), np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                if cut[b] < cut[b + 1]:
+                    part = slice(cut[b], cut[b + 1])
+                    yield rows_of(KEYS, [[shard], [b], [_packed_sorted(key[part])], [_packed(n[part])]])
+
+
+def _placed(summed: DataFrame) -> DataFrame:
+    """(bucket, before): entries in the buckets before, from one row for each bucket."""
+    sizes = summed.where("place is not null").groupBy("bucket").agg(F.count("*").alias("k"))
+    placed = stage(sizes.select("bucket", "k", (F.sum("k").over(W.orderBy("bucket")) - F.col("k")).alias("before")), "phrase-places")
+    n = placed.agg(F.sum("k")).first()[0] or 0
+    if n >= 2**31 - 1:
+        raise ValueError(f"{n} frequent entries, more than an id can hold")
+    return placed.select("bucket", "before")
+
+
+def _answers(summed: DataFrame, placed: DataFrame, name: str) -> DataFrame:
+    """(shard, name): what a shard holds of the frequent entries, and their ids."""
+    own = summed.where("shard is not null").select("bucket", "shard", "mine", "places").join(placed, "bucket")
+    return own.groupBy("shard").agg(F.collect_list(F.struct("mine", "places", "before")).alias(name))
+
+
+def _summed(rows: DataFrame, fn, order: list[str], least: int, name: str) -> DataFrame:
+    return stage(map_batches(rows.repartition("bucket").sortWithinPartitions("bucket", *order), fn, SUMMED, least), name)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -259,26 +370,26 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     (lang, n) with all words of a language.
     """
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    read = stage(map_batches(texts, _read_batches, READ), "phrase-shards")
-    seen = read.where("word is not null").select("shard", "local", "lang", "word", "n")
-    totals = stage(seen.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    often = _numbered(seen, least)
-    words = stage(often.groupBy("id", "lang", "word").agg(F.max("f").alias("f")), "phrase-words")
-
-    ids = often.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
-    codes = read.where("word is null").select("shard", "codes").join(ids, "shard")
-    coded = stage(map_batches(codes, _code_batches, CODED), "phrase-coded")
-
-    pairs = map_batches(coded, _pair_batches, PAIRS).withColumn("f", F.sum("n").over(W.partitionBy("pair")))
-    pairs = stage(pairs.where(F.col("f") >= least).select("shard", "pair", "f"), "phrase-pairs")
-    zero = F.lit(0)
-    two = pairs.groupBy("pair").agg(F.max("f").alias("f")).select(F.shiftright("pair", 32).cast("int").alias("w1"), F.col("pair").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("w2"), *(zero.alias(c) for c in WORDS[2:]), "f")
-    one = words.select(F.col("id").alias("w1"), *(zero.alias(c) for c in WORDS[1:]), "f")
-    grams = one.unionByName(two)
-    if longest > 2:
-        own = coded.join(pairs.groupBy("shard").agg(F.collect_list("pair").alias("pairs")), "shard").select("codes", "pairs")
-        more = map_batches(own, _gram_batches, GRAMS, longest).groupBy(*WORDS).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        grams = grams.unionByName(more)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET))
+    read = stage(map_batches(texts, _read_batches, READ, buckets), "phrase-shards")
+    summed = _summed(read.where("bucket is not null").select("shard", "bucket", "lang", "words", "locals", "n"), _word_sums, ["lang"], least, "phrase-words")
+    placed = _placed(summed)
+    totals = summed.where("place is null and shard is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    words = summed.where("place is not null").join(placed, "bucket").select((F.col("before") + F.col("place") + 1).cast("int").alias("id"), "lang", "word", "f")
+    coded = stage(map_batches(read.where("bucket is null").select("shard", "codes").join(_answers(summed, placed, "answers"), "shard"), _code_batches, CODED), "phrase-coded")
+
+    none = F.lit(0)
+    grams = words.select(F.col("id").alias("w1"), *(none.alias(c) for c in WORDS[1:]), "f")
+    before, held = words.select(F.col("id").cast("long").alias("id"), F.col("id").alias("w1")), coded
+    for k in range(2, longest + 1):
+        summed = _summed(map_batches(held, _phrase_batches, KEYS, k, buckets), _key_sums, [], least, f"phrase-{k}")
+        placed = _placed(summed)
+        found = summed.where("place is not null").join(placed, "bucket").select((F.col("before") + F.col("place")).alias("new"), F.shiftright("key", 32).alias("id"), F.col("key").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias(WORDS[k - 1]), "f")
+        found = stage(found.join(before, "id").select(F.col("new").alias("id"), *WORDS[:k], "f"), "phrase-named")
+        grams = grams.unionByName(found.select(*WORDS[:k], *(none.alias(c) for c in WORDS[k:]), "f"))
+        before = found.drop("f")
+        held = held.join(_answers(summed, placed, f"level{k}"), "shard")
     return words, stage(grams, "phrase-grams"), totals
 
 

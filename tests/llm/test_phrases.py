@@ -68,9 +68,22 @@ def test_runs_between_breaks():
     assert phrases.runs_of(np.zeros(0, np.int32), 2).tolist() == [0]
 
 
-@pytest.mark.parametrize("shard", [400_000, 200])
-def test_equals_plain_counting(frame, monkeypatch, shard):
+def test_joined_runs():
+    codes = np.array([0, 1, 2, 3, 4, 0, 5, 6, 7, 0], np.int32)
+    # pairs that are frequent start at these places; runs of two places and more are kept, words between them too
+    often = np.array([0, 1, 1, 0, 0, 0, 1, 0, 0, 0], bool)
+    assert phrases._joined_runs(codes, often, 2).tolist() == [0, 1, 2, 3, 0]
+    # two runs of phrases of three words may share words
+    codes = np.arange(1, 9, dtype=np.int32)
+    often = np.array([1, 1, 0, 1, 1, 0, 0, 0], bool)
+    assert phrases._joined_runs(codes, often, 3).tolist() == [0, 1, 2, 3, 4, 0, 4, 5, 6, 7, 0]
+    assert phrases._joined_runs(codes, ~often & False, 3).tolist() == [0]
+
+
+@pytest.mark.parametrize("shard, bucket", [(400_000, 1 << 25), (200, 500)])
+def test_equals_plain_counting(frame, monkeypatch, shard, bucket):
     monkeypatch.setattr(phrases, "SHARD", shard)
+    monkeypatch.setattr(phrases, "BUCKET", bucket)
     monkeypatch.setattr(phrases, "SLICE", 64)
     rows = random_rows(3)
     rows += [("alpha beta gamma delta. " * 6, "en"), ("the the the the the the the", "fr"), ("x y", "und"), ("x y", None)] * 2

@@ -121,6 +121,27 @@ def inner_positions(train: DataFrame, by: list[str], date: str, key: str) -> Dat
     return placed.join(n, by)
 
 
+def split_moments(rows: DataFrame, xs: list[str], y: str, label_end: str, k_inner: int, keys: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """Moments of the train rows of every fold (split -1) and of its purged inner splits, and what columns were centred on.
+
+    The inner splits are made k_inner, k_inner - 1, ... and 2 at a time (column k). All of it is one grouped scan.
+    """
+    from tremor.operators.folds import inner_membership
+
+    train = rows.where("role = 'train'")
+    means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*xs, y]]).first()
+    offset = {c: float(means[c] or 0.0) for c in [*xs, y]}
+    train = train.withColumns({c: F.col(c).cast("double") - F.lit(m) for c, m in offset.items()})
+    placed = inner_positions(train, keys, "event_date", "event_id")
+    inner_m = None
+    for k in range(k_inner, 1, -1):
+        inner = inner_membership(placed, keys, "_pos", "_n", "event_date", label_end, k)
+        m = moments(inner, [*keys, "split", "inner_role"], xs, y).withColumn("k", F.lit(k))
+        inner_m = m if inner_m is None else inner_m.unionByName(m)
+    outer_m = moments(train, keys, xs, y).withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("all")).withColumn("k", F.lit(0))
+    return outer_m.unionByName(inner_m), offset
+
+
 def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, alphas=None, k_inner: int = 3,
                        by: tuple = ("fold",), blocks: dict[str, list[str]] | None = None) -> DataFrame:
     """(by, block, alpha, n_train, intercept, slopes), the penalty picked by purged inner splits.
@@ -134,23 +155,10 @@ def ridge_walk_forward(rows: DataFrame, xs: list[str], y: str, label_end: str, a
     blocks and penalties come from one grouped scan of moments; only those small
     rows reach Python.
     """
-    from tremor.operators.folds import inner_membership
-
     alphas = ALPHAS if alphas is None else alphas
     keys = [*by]
     idx = {n: [xs.index(c) for c in cs] for n, cs in (blocks or {"all": xs}).items()}
-    train = rows.where("role = 'train'")
-    means = train.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*xs, y]]).first()
-    offset = {c: float(means[c] or 0.0) for c in [*xs, y]}
-    train = train.withColumns({c: F.col(c).cast("double") - F.lit(m) for c, m in offset.items()})
-    placed = inner_positions(train, keys, "event_date", "event_id")
-    inner_m = None
-    for k in range(k_inner, 1, -1):
-        inner = inner_membership(placed, keys, "_pos", "_n", "event_date", label_end, k)
-        m = moments(inner, [*keys, "split", "inner_role"], xs, y).withColumn("k", F.lit(k))
-        inner_m = m if inner_m is None else inner_m.unionByName(m)
-    outer_m = moments(train, keys, xs, y).withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("all")).withColumn("k", F.lit(0))
-    both = outer_m.unionByName(inner_m)
+    both, offset = split_moments(rows, xs, y, label_end, k_inner, keys)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if f.name in keys)
     fits = both.groupBy(*keys).applyInPandas(
         _fit_groups(len(xs), keys, alphas, idx),

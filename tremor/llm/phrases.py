@@ -312,17 +312,32 @@ def _joined_runs(codes: np.ndarray, often: np.ndarray, size: int) -> np.ndarray:
     return np.r_[np.int32(0), out]
 
 
+def _often(codes: np.ndarray, known: list) -> np.ndarray:
+    """Where phrases start that are one word longer than there are levels, all known to be frequent."""
+    ids = np.where(codes > 0, codes, -1).astype(np.int64)  # of the phrase of one word, then more, that starts here
+    for n, level in enumerate(known, 1):
+        ids = np.r_[_looked_up(ids[: len(codes) - n], codes[n:], level), np.full(n, -1)]
+    return ids >= 0
+
+
+def _narrow_batches(batches):
+    """Shards cut down to runs in which every phrase of the last level is frequent; levels pass on."""
+    for batch in batches:
+        levels = [c.to_pylist() for c in batch.columns[2:]]
+        kept = []
+        for k, codes in enumerate(map(_unpacked, batch.column(1).to_pylist())):
+            known = [_known(level[k]) for level in levels]
+            kept.append(_packed(_joined_runs(codes, _often(codes, known), len(known) + 1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *batch.columns[2:]], schema=batch.schema)
+
+
 def _phrase_batches(batches, size: int, buckets: int):
-    """Phrases of ``size`` words with their counts in the shard; shorter ones of ``levels`` are known to be frequent."""
+    """Phrases of ``size`` words with their counts in the shard; shorter ones of the levels are known to be frequent."""
     for batch in batches:
         levels = [c.to_pylist() for c in batch.columns[2:]]
         for k, (shard, codes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             codes = _unpacked(codes)
             known = [_known(level[k]) for level in levels]
-            ids = np.where(codes > 0, codes, -1).astype(np.int64)  # of the phrase of one word, then more, that starts here
-            for n, level in enumerate(known, 1):
-                ids = np.r_[_looked_up(ids[: len(codes) - n], codes[n:], level), np.full(n, -1)]
-            codes = _joined_runs(codes, ids >= 0, size - 1)
             if len(codes) <= size:
                 continue
             index = PhraseIndex(codes, size)
@@ -389,7 +404,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         found = stage(found.join(before, "id").select(F.col("new").alias("id"), *WORDS[:k], "f"), "phrase-named")
         grams = grams.unionByName(found.select(*WORDS[:k], *(none.alias(c) for c in WORDS[k:]), "f"))
         before = found.drop("f")
-        held = held.join(_answers(summed, placed, f"level{k}"), "shard")
+        if k < longest:
+            held = held.join(_answers(summed, placed, f"level{k}"), "shard")
+            held = stage(map_batches(held, _narrow_batches, held.schema), "phrase-held")
     return words, stage(grams, "phrase-grams"), totals
 
 

@@ -186,9 +186,11 @@ def weighted_auc(df: DataFrame, by: list[str], y: str, score: str, w: str) -> Da
 
 
 def auc_bootstrap(df: DataFrame, by: list[str], cluster: str, y: str, score: str, n_boot: int, within: list[str] | None = None,
-                  seed: int = 42) -> DataFrame:
+                  seed: int = 42, against: float | None = None) -> DataFrame:
     """AUC with the percentile interval of cluster draws: (by, value, n_draws, ci_low, ci_high).
 
+    With ``against`` also p_one_sided, the share of draws at or below it.
+
     Clusters are drawn within ``within`` (the class, for a stratified row bootstrap) as well as
     ``by``. Rows are counted per (cluster, class, score) first, so the work is draws x those cells
     however many clusters there are. Draws without both classes drop out.
@@ -201,8 +203,9 @@ def auc_bootstrap(df: DataFrame, by: list[str], cluster: str, y: str, score: str
     dist = weighted_auc(drawn, [*by, "b"], y, score, "_w").where(F.col("auc").isNotNull())
     point = weighted_auc(cells, by, y, score, "_c").withColumnRenamed("auc", "value")
     ok = F.col("n_draws") >= MIN_DRAWS
-    ci = dist.groupBy(*by).agg(F.count("*").alias("n_draws"), F.percentile("auc", 0.025).alias("_l"), F.percentile("auc", 0.975).alias("_h"))
-    return point.join(ci, by).select(*by, "value", "n_draws", F.when(ok, F.col("_l")).alias("ci_low"), F.when(ok, F.col("_h")).alias("ci_high"))
+    ci = dist.groupBy(*by).agg(F.count("*").alias("n_draws"), F.percentile("auc", 0.025).alias("_l"), F.percentile("auc", 0.975).alias("_h"), F.avg((F.col("auc") <= F.lit(0.5 if against is None else against)).cast("double")).alias("_p"))
+    below = [] if against is None else [F.when(ok, F.col("_p")).alias("p_one_sided")]
+    return point.join(ci, by, "left").select(*by, "value", "n_draws", F.when(ok, F.col("_l")).alias("ci_low"), F.when(ok, F.col("_h")).alias("ci_high"), *below)
 
 
 def concordance_bootstrap(conc: DataFrame, by: list[str], clusters: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:

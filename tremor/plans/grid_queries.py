@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from tremor.functions import scalars as sc
 from tremor.functions.scalars import rnd
+from tremor.operators import events as ev
 from tremor.operators import folds as fd
 from tremor.operators import grid as gr
+from tremor.operators import logistic as lg
 from tremor.operators import metrics as mt
 from tremor.operators import models as md
 from tremor.operators import outcomes as oc
+from tremor.operators import resample as rs
 from tremor.plans.forecast_queries import SQL_MEM, members, ordered
 from tremor.plans.outcome_queries import features
 from tremor.plans.registry import ctes, query, r
-from tremor.schema import feature_spec, information_sets
+from tremor.schema import assert_no_leak, feature_spec, information_sets
 from tremor.session import staged_once
 from tremor.sources.adapters import shocks
 
@@ -163,3 +166,37 @@ def l06_full_grid(spark, sf_dir):
     d = information_rows(spark, sf_dir)
     fits = gr.grid_fits(d, sets_of(spark, WIDE), "y", "label_end", KEYS, (2, 5, 10))
     return _grid_table(grid_scores(d, fits, WIDE)).select("horizon", "info_set", "k", "model", "n", "rmse", "mae", "r2", "rmse_improvement", "rmse_reduction")
+
+
+#: Draws of the direction table's intervals.
+AUC_DRAWS = 1000
+
+
+def direction_scores(spark, sf_dir):
+    """(horizon, event_id, cluster, y, prob): held-out probabilities of a falling price at every horizon."""
+
+    def build():
+        d = information_rows(spark, sf_dir).withColumn("down", (F.col("y") < 0).cast("int"))
+        columns = [*MARKET, *REPORTED]
+        assert_no_leak(columns)
+        fits = lg.logistic_walk_forward(d, columns, "down", "label_end", KEYS)
+        p = lg.probabilities(d.where("role = 'test'"), fits, columns, KEYS)
+        days = ev.episode_days(shocks(spark, sf_dir), ["series_id"], "event_date")
+        return p.join(days.select("series_id", "event_date", "episode"), ["series_id", "event_date"]).select(
+            "horizon", "event_id", F.concat_ws(":", "series_id", F.col("episode").cast("string")).alias("cluster"), F.col("down").alias("y"), "prob")
+
+    return staged_once(spark, sf_dir, "direction_scores", build)
+
+
+@query("m14_direction_table")
+def m14_direction_table(spark, sf_dir):
+    """Per horizon: confusion counts, AUC with its interval over episodes, one-sided p, Holm over horizons.
+
+    Penalties are chosen by AUC on inner splits; the fits are checked against a plain solver in tests.
+    """
+    o, by = direction_scores(spark, sf_dir), ["horizon"]
+    t = mt.classification_metrics(o, by).join(mt.average_precision(o, by), by).join(mt.calibration_line(o, by), by, "left")
+    n = o.groupBy(*by).agg(F.countDistinct("cluster").alias("n_episodes"))
+    auc = rs.auc_bootstrap(o, by, "cluster", "y", "prob", AUC_DRAWS, against=0.5)
+    j = t.join(n, by).join(auc.withColumnsRenamed({"value": "roc_auc", "ci_low": "auc_ci_low", "ci_high": "auc_ci_high"}), by, "left")
+    return rs.holm(j.withColumn("family", F.lit("direction")), ["family"], "p_one_sided", ["horizon"]).drop("family")

@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "q0_forward_outcomes", "j01_origin_session", "j02_snapshot_asof", "j10_competing_event", "e04_recovery_time", "e06_event_outcomes", "w06_rolling_volatility",
     "w10_episodes", "a10_sample_flow", "s08_html_rows", "s13_event_file_mapping", "c03_purge", "m01_a12_regression_metrics", "b02_paired_bootstrap", "d01_kaplan_meier",
-    "d05_j20_harrell_c", "q12_shape",
+    "d05_j20_harrell_c", "q12_shape", "j19_v04_all_pairs", "v04_date_sum_correlation", "v07_v09_event_study_table", "c08_all_columns", "c08_pair_report",
+    "l06_l11_information_fits", "l06_l11_information_grid", "a13_information_stability",
 ]
 
 

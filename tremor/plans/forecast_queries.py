@@ -640,12 +640,12 @@ def verdicts(c, models, bases, n_boot=NB_ERROR, cluster="cluster"):
 
 
 @query("b14_hazard_group_bootstrap", ctes(SQL_OOF, SQL_OEPI, _pairs_sql("m.model = 'ols' AND b.model = 'train_mean' AND m.target = 'vol5'"),
-       _draw_sql("pr", ["type"], "cluster", NB), _boot_sql(["type"]).replace("ON t.cluster = d.cluster", "ON t.type = d.type AND t.cluster = d.cluster")) + f"""
+       _draw_sql("pr", ["type"], "cluster", NB_ERROR), _boot_sql(["type"]).replace("ON t.cluster = d.cluster", "ON t.type = d.type AND t.cluster = d.cluster")) + f"""
 SELECT type, n, {r("delta", name="delta")}, {r("lo", 5, "ci_low")}, {r("hi", 5, "ci_high")} FROM pt JOIN ci USING (type)""")
 def b14_hazard_group_bootstrap(spark, sf_dir):
     c = clustered(spark, sf_dir).where("target = 'vol5'").where(F.col("model").isin("ols", "train_mean"))
     p = mt.paired(c, ["target", "fold", "event_id"], "train_mean")
-    b = rs.paired_bootstrap(rs.error_terms(p, ["type"], "cluster"), ["type"], "cluster", NB)
+    b = rs.paired_bootstrap(rs.error_terms(p, ["type"], "cluster"), ["type"], "cluster", NB_ERROR)
     return b.select("type", "n", rnd("delta").alias("delta"), rnd("ci_low", 5).alias("ci_low"), rnd("ci_high", 5).alias("ci_high"))
 
 

@@ -25,7 +25,7 @@ from tremor.operators import outcomes as oc
 from tremor.operators import resample as rs
 from tremor.operators import series as sr
 from tremor.operators import survival as sv
-from tremor.plans.forecast_queries import NB, SQL_MEM, SQL_OEPI, SQL_OOF, _boot_sql, _draw_sql, clustered, geometry, members, oof, ordered
+from tremor.plans.forecast_queries import NB_ERROR, SQL_MEM, SQL_OEPI, SQL_OOF, _boot_sql, _draw_sql, clustered, geometry, members, oof, ordered
 from tremor.plans.outcome_queries import SQL_RET, SQL_SESS, features, panel
 from tremor.plans.registry import ctes, query, r
 from tremor.session import shared_dir, stage, staged_once
@@ -405,20 +405,20 @@ def l14_panel_models(spark, sf_dir):
 
 @query("b03_event_block_bootstrap", ctes(SQL_OOF, """
 pr AS (SELECT m.target, strftime(m.event_date, '%Y-%m-%d') AS cluster, m.y_true, m.y_pred, b.y_pred AS y_base FROM oof m JOIN oof b USING (target, fold, event_id) WHERE m.model = 'ols' AND b.model = 'zero' AND m.target = 'ret5')""",
-       _draw_sql("pr", ["target"], "cluster", NB), _boot_sql(["target"])) + f"""
+       _draw_sql("pr", ["target"], "cluster", N_DRAWS), _boot_sql(["target"])) + f"""
 SELECT target, n, {r("delta", name="delta")}, {r("lo", 5, "ci_low")}, {r("hi", 5, "ci_high")}, {r("p", name="p_worse")} FROM pt JOIN ci USING (target)""")
 def b03_event_block_bootstrap(spark, sf_dir):
     """Errors resampled by event day, so a day's series stay together."""
     o = oof(spark, sf_dir).where("target = 'ret5'").withColumn("cluster", F.col("event_date").cast("string"))
     p = mt.paired(o.where(F.col("model").isin("ols", "zero")), ["target", "fold", "event_id"], "zero")
-    t = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", NB)
+    t = rs.paired_bootstrap(rs.error_terms(p, ["target"], "cluster"), ["target"], "cluster", N_DRAWS)
     return t.select("target", "n", rnd("delta").alias("delta"), rnd("ci_low", 5).alias("ci_low"), rnd("ci_high", 5).alias("ci_high"), rnd("p_worse").alias("p_worse"))
 
 
 @query("b15_window_sensitivity", ctes(SQL_MEM, _sql_long(oc.VOLUME_WINDOWS, "window_", [(f"y2_{w}", f"vd{w}") for w in oc.VOLUME_WINDOWS]), _ridge_sql("lr", ("window_", "fold")), """
 bs AS (SELECT window_, fold, avg(y) AS y_base FROM lr WHERE role = 'train' GROUP BY 1, 2),
 pr AS (SELECT window_, series_id AS cluster, y AS y_true, ay - w1 * a1 - w2 * a2 + w1 * x1 + w2 * x2 AS y_pred, y_base FROM lr JOIN fit USING (window_, fold) JOIN bs USING (window_, fold) WHERE role = 'test')""",
-       _draw_sql("pr", ["window_"], "cluster", NB), _boot_sql(["window_"]).replace("ON t.cluster = d.cluster", "ON t.window_ = d.window_ AND t.cluster = d.cluster")) + f"""
+       _draw_sql("pr", ["window_"], "cluster", NB_ERROR), _boot_sql(["window_"]).replace("ON t.cluster = d.cluster", "ON t.window_ = d.window_ AND t.cluster = d.cluster")) + f"""
 SELECT CAST(window_ AS INTEGER) AS window_, n, {r("delta", 5, "delta")}, {r("lo", 4, "ci_low")}, {r("hi", 4, "ci_high")} FROM pt JOIN ci USING (window_)""")
 def b15_window_sensitivity(spark, sf_dir):
     """Volume forecasts per response window against the train mean, clustered by series, in one pass."""
@@ -430,7 +430,7 @@ def b15_window_sensitivity(spark, sf_dir):
     base = d.where("role = 'train'").groupBy(*by).agg(F.avg("y").alias("y_base"))
     p = md.linear_predictions(d.where("role = 'test'"), fits, [*by], XS).join(F.broadcast(base), [*by])  # one row per window and fold
     p = p.select("window_", F.col("series_id").alias("cluster"), F.col("y").alias("y_true"), "y_pred", "y_base")
-    t = rs.paired_bootstrap(rs.error_terms(p, ["window_"], "cluster"), ["window_"], "cluster", NB)
+    t = rs.paired_bootstrap(rs.error_terms(p, ["window_"], "cluster"), ["window_"], "cluster", NB_ERROR)
     return t.select("window_", "n", rnd("delta", 5).alias("delta"), rnd("ci_low", 4).alias("ci_low"), rnd("ci_high", 4).alias("ci_high"))
 
 

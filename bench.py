@@ -24,7 +24,7 @@ HEADLINE = [
     "c01_fold_membership", "c03_purge", "l01_ridge_inner_cv", "l06_l11_grid_ablation", "m01_a12_regression_metrics", "m04_f09_roc_auc",
     "b09_b10_b11_verdicts", "b05_cluster_auc_bootstrap", "b12_label_permutation", "b16_robustness_suite", "d01_kaplan_meier", "d05_j20_harrell_c",
     "d07_integrated_brier", "b06_c_index_bootstrap", "q01_spearman_pairs", "q08_stationarity", "c08_j18_interpolated_rows", "l02_l03_l04_mllib_regressors",
-    "d11_weibull_aft",
+    "d11_weibull_aft", "j19_v04_all_pairs", "c08_all_columns", "l06_l11_information_grid",
 ]
 
 

@@ -64,6 +64,7 @@ def test_pairs_equal_plain_pairs(spark, monkeypatch, rows_at_once):
     got = cc.pair_correlation_summary(fit, o, window=40).first()
     each = np.repeat(pairs[:, 0], pairs[:, 1].astype(int))
     assert (got.n_pairs, got.n_pairs_total) == (len(each), events * (events - 1) // 2)
+    assert cc.pair_correlation_summary(fit, o, window=40, median=False).first().mean_corr == got.mean_corr
     assert got.mean_corr == pytest.approx(each.mean()) and got.median_corr == pytest.approx(np.median(each))
 
 

@@ -138,8 +138,8 @@ def correlation_cells(pairs: DataFrame, least: int = MIN_OVERLAP, only: tuple[in
 
 
 def pair_correlation_summary(fitted: DataFrame, origins: DataFrame, value: str = "log_return", factor: str = "factor_ret",
-                             window: int = ESTIMATION, least: int = MIN_OVERLAP) -> DataFrame:
-    """One row over all pairs of events: n_pairs, mean_corr, median_corr, n_pairs_total.
+                             window: int = ESTIMATION, least: int = MIN_OVERLAP, median: bool = True) -> DataFrame:
+    """One row over all pairs of events: n_pairs, mean_corr, median_corr, n_pairs_total; without ``median`` the first two.
 
     A pair counts where both windows share ``least`` dates and neither residual is constant on them;
     ``n_pairs_total`` counts all pairs of events with a fit. Without pairs the mean and median are null.
@@ -148,6 +148,8 @@ def pair_correlation_summary(fitted: DataFrame, origins: DataFrame, value: str =
     pairs = series_pairs(packed)
     cells = stage(correlation_cells(pairs, least), "corr-cells")
     total = cells.agg(F.coalesce(F.sum("n_pairs"), F.lit(0.0)).alias("n_pairs"), (F.sum("sum_r") / F.sum("n_pairs")).alias("mean_corr"))
+    if not median:
+        return total.select(F.col("n_pairs").cast("long").alias("n_pairs"), "mean_corr")
     # the two middle pairs; CELLS rows at most are looked at
     upto = cells.groupBy("cell").agg(F.sum("n_pairs").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("cell")))
     n_all = F.col("n_pairs")
@@ -159,10 +161,10 @@ def pair_correlation_summary(fitted: DataFrame, origins: DataFrame, value: str =
     ranked = running_sums(values, [], "r", ["n"]).withColumn("upto", F.col("n_upto") + F.lit(held[0][1]))
     n_all = F.lit(held[0][2])
     at = lambda p: F.min(F.when(F.col("upto") > p, F.col("r")))
-    median = ranked.agg(((at(F.floor((n_all - 1) / 2)) + at(F.ceil((n_all - 1) / 2))) / 2).alias("median_corr"))
+    mid = ranked.agg(((at(F.floor((n_all - 1) / 2)) + at(F.ceil((n_all - 1) / 2))) / 2).alias("median_corr"))
     known = packed.select(F.aggregate("rows", F.lit(0.0), lambda s, x: s + F.when(~F.isnan(x["beta"]) & ~F.isnan(x["weight"]), x["weight"]).otherwise(F.lit(0.0))).alias("w"))
     events = known.agg(F.sum("w").alias("w")).select((F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("n_pairs_total"))
-    return total.crossJoin(median).crossJoin(events).select(F.col("n_pairs").cast("long").alias("n_pairs"), "mean_corr", "median_corr", "n_pairs_total")
+    return total.crossJoin(mid).crossJoin(events).select(F.col("n_pairs").cast("long").alias("n_pairs"), "mean_corr", "median_corr", "n_pairs_total")
 
 
 def date_sum_correlation(fitted: DataFrame, origins: DataFrame, value: str = "log_return", factor: str = "factor_ret", window: int = ESTIMATION) -> DataFrame:

@@ -146,7 +146,7 @@ mc AS (SELECT sum(pw * r) / sum(pw) AS c FROM prs)"""
 
 def pooled_corr(f, o, value="log_return", factor="factor_ret"):
     """Correlation of all pairs of events, within and across series."""
-    return cc.pair_correlation_summary(f, o, value, factor).select("n_pairs", "mean_corr")
+    return cc.pair_correlation_summary(f, o, value, factor, median=False)
 
 
 @query("j19_v04_all_pairs", ctes(SQL_FIT, SQL_SHOCKS, SQL_ORIGIN, SQL_ALL_PAIRS, """

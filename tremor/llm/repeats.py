@@ -14,8 +14,8 @@ that a task reads together only the first goes to its anchor's group, the others
 they are, so a passage that a third of the texts hold sends one row for each PART of text. Sorted rows
 stream through the tasks, and no group is held except its runs with different bytes; groups of more
 than ``MOST`` such runs (a phrase in ever new surroundings) are cut up into single suffixes, dealt
-by a 128-bit hash of all their bytes and settled by partial minimums. Texts are shuffled once: the
-exchange that fetches the bytes of differing runs also feeds the removal.
+by a 128-bit hash of all their bytes and settled by partial minimums. Texts are shuffled twice: to fetch
+the bytes of differing runs, and to be cut.
 
 Where ids repeat, rows are numbered by (id, 64-bit hash of the text) first, the numbers take the place of
 the ids, and each number is searched once; so no id, the null one included, gathers its rows anywhere.

@@ -2,8 +2,8 @@
 
 from tests.llm.conftest import SF
 from tests.llm.test_mixing import check as check_mix
+from tests.llm.test_near_copies import plain_groups
 from tests.llm.test_repeats import plain as plain_repeats
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tremor.llm import mixing
 
 import corpus_pipeline as pipeline
@@ -21,7 +21,7 @@ def test_stages(spark):
 
     b = stages["near_duplicates"](spark, a, SF).cache()
     rows = sorted((r["doc_id"], r["text"]) for r in a.collect())
-    low = plain_components([i for i, _ in rows], [plain_fingerprint(t) for _, t in rows])
+    low = plain_groups(rows)
     assert b.columns == columns and {r["doc_id"] for r in b.collect()} == set(low)
 
     c = stages["repeated_passages"](spark, b, SF).cache()

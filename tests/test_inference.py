@@ -163,3 +163,20 @@ def test_refit_permutation_has_all_draws_and_a_plain_auc(spark, monkeypatch):
     mq.l14_panel_models(spark, "/root/testdata/sf0.001")
     assert asked == [5000]
     assert mq.b13_refit_permutation(spark, "/root/testdata/sf0.001").first()["n_draws"] == 5000
+
+
+def test_drawn_auc_equals_joined_draws_over_small_ranges(spark, monkeypatch):
+    from tremor.functions.draws import cluster_draws
+
+    monkeypatch.setattr(rs, "RANGE_CELLS", 40)
+    monkeypatch.setattr(rs, "PACK_CELLS", 16)
+    rng = random.Random(5)
+    rows = [(g, f"e{i}", rng.randint(0, 1), rng.randint(0, 30) / 7) for g in "ab" for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, c string, y int, prob double")
+    for within in ([], ["y"]):
+        keys = ["g", *within]
+        counts = df.groupBy(*keys, "c", "prob").agg(F.sum("y").alias("_p"), F.sum(1 - F.col("y")).alias("_q"))
+        got = {(r.g, r.b): r.auc for r in rs.drawn_auc(counts, ["g"], within, "c", "prob", 70).collect()}
+        w = cluster_draws(df.select(*keys, "c").distinct(), keys, "c", 70)
+        want = {(r.g, r.b): r.auc for r in rs.weighted_auc(df.join(w, [*keys, "c"]), ["g", "b"], "y", "prob", "w").collect()}
+        assert len(want) == 140 and got == pytest.approx(want)

@@ -180,3 +180,11 @@ def test_drawn_auc_equals_joined_draws_over_small_ranges(spark, monkeypatch):
         w = cluster_draws(df.select(*keys, "c").distinct(), keys, "c", 70)
         want = {(r.g, r.b): r.auc for r in rs.weighted_auc(df.join(w, [*keys, "c"]), ["g", "b"], "y", "prob", "w").collect()}
         assert len(want) == 140 and got == pytest.approx(want)
+
+
+def test_scores_apart_in_their_last_bits_tie(spark):
+    rows = [("a", 1.0, 1, 0.1 + 0.2), ("b", 2.0, 1, 0.3), ("a", 3.0, 0, 7.0)]
+    df = spark.createDataFrame(rows, "g string, t double, e int, s double").withColumn("m", F.lit("m"))
+    assert sv.harrell_c(df, ["m"], "t", "e", "s").first().c_index == pytest.approx(2.5 / 3)
+    pairs = sv.cluster_concordance(df, ["m"], "g", ["a", "b"], "t", "e", "s").agg(F.sum("wins").alias("w"), F.sum("pairs").alias("p")).first()
+    assert (pairs.w, pairs.p) == (2.5, 3)

@@ -15,6 +15,8 @@ from tremor.functions.ordered import exact_quantiles, running_sums
 # Probability times and the duration cap, in sessions.
 PROB_TIMES = (10, 20, 30, 60, 90)
 CAP = 90
+#: Decimals to which scores tie in the concordance.
+TIED = 9
 FLOOR_MEAN = 1e-3  # weight floor of the mean-of-times score
 FLOOR_TRAPEZOID = 1e-9  # weight floor of the trapezoid score
 
@@ -119,8 +121,14 @@ def concordance_by_time(df: DataFrame, by: list[str], t: str, event: str, score:
     return ran.groupBy(*by, "d").agg(F.sum(F.col("ev") * above).alias("wins"), F.sum(F.col("ev") * F.col("lo_total")).alias("pairs"))
 
 
+def tied_scores(df: DataFrame, score: str) -> DataFrame:
+    """Scores to TIED decimals: sums made in another order differ in their last bits, which must not break a tie."""
+    return df.withColumn(score, F.round(F.col(score).cast("double"), TIED))
+
+
 def harrell_c(df: DataFrame, by: list[str], t: str, event: str, score: str) -> DataFrame:
-    """C for a time-like score, ties half; null below 2 distinct scores or 2 events."""
+    """C for a time-like score, ties (to TIED decimals) half; null below 2 distinct scores or 2 events."""
+    df = tied_scores(df, score)
     g = concordance_by_time(df, by, t, event, score, True).groupBy(*by).agg(F.sum("wins").alias("_w"), F.sum("pairs").alias("_p"))
     guard = df.groupBy(*by).agg(
         F.sum((F.col(event) == 1).cast("long")).alias("n_events"), F.count("*").alias("n"), (F.min(score) < F.max(score)).alias("_varied")
@@ -206,10 +214,10 @@ def cluster_concordance(df: DataFrame, by: list[str], cluster: str, clusters: li
     """(by, ci, cj, wins, pairs): concordance of ci's event rows with cj's rows, per cluster pair.
 
     The same per-duration running sums as the pooled index, with one count column
-    per cluster of the bounded list.
+    per cluster of the bounded list. Scores tie to TIED decimals.
     """
     idx = range(len(clusters))
-    live = df.where(F.col(score).isNotNull() & F.col(t).isNotNull())
+    live = tied_scores(df, score).where(F.col(score).isNotNull() & F.col(t).isNotNull())
     cells = live.groupBy(*by, F.col(t).cast("int").alias("_D"), score, cluster).agg(
         F.sum((F.col(event) == 1).cast("long")).alias("_e"), F.sum((F.col(event) == 0).cast("long")).alias("_c"))
     times = cells.where("_e > 0").select(*by, F.col("_D").alias("d")).distinct()

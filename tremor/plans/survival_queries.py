@@ -111,13 +111,14 @@ def d04_d13_survival_baselines(spark, sf_dir):
 
 
 SQL_HC = """
+su AS (SELECT * REPLACE (round(pred_median, 9) AS pred_median) FROM surv),
 hc AS (SELECT a.model, a.series_id AS ci, b.series_id AS cj, sum(CASE WHEN b.pred_median > a.pred_median THEN 1 WHEN b.pred_median = a.pred_median THEN 0.5 ELSE 0 END) AS wins, count(*)::DOUBLE AS pairs
- FROM surv a JOIN surv b ON a.model = b.model AND a.event_observed = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event_observed = 0)) GROUP BY 1, 2, 3)"""
+ FROM su a JOIN su b ON a.model = b.model AND a.event_observed = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event_observed = 0)) GROUP BY 1, 2, 3)"""
 
 
 @query("d05_j20_harrell_c", ctes(SQL_SURV, SQL_HC) + f"""
 SELECT model, (SELECT count(*) FROM surv s WHERE s.model = hc.model) AS n, (SELECT sum(event_observed) FROM surv s WHERE s.model = hc.model)::BIGINT AS n_events,
- {r("CASE WHEN (SELECT min(pred_median) < max(pred_median) FROM surv s WHERE s.model = hc.model) THEN sum(wins) / sum(pairs) END", name="c_index")} FROM hc GROUP BY model""")
+ {r("CASE WHEN (SELECT min(pred_median) < max(pred_median) FROM su s WHERE s.model = hc.model) THEN sum(wins) / sum(pairs) END", name="c_index")} FROM hc GROUP BY model""")
 def d05_j20_harrell_c(spark, sf_dir):
     t = sv.harrell_c(predictions(spark, sf_dir), ["model"], "duration", "event_observed", "pred_median")
     return t.select("model", "n", "n_events", rnd("c_index").alias("c_index"))
@@ -202,7 +203,8 @@ def d10_recovery_category(spark, sf_dir):
 
 
 @query("d14_without_competing", ctes(SQL_SURV, """
-v AS (SELECT 'all' AS variant, * FROM surv WHERE model = 'line' UNION ALL SELECT 'exclude_competing', * FROM surv WHERE model = 'line' AND reason <> 'next_disaster')""") + f"""
+su AS (SELECT * REPLACE (round(pred_median, 9) AS pred_median) FROM surv),
+v AS (SELECT 'all' AS variant, * FROM su WHERE model = 'line' UNION ALL SELECT 'exclude_competing', * FROM su WHERE model = 'line' AND reason <> 'next_disaster')""") + f"""
 SELECT a.variant, {r("sum(CASE WHEN b.pred_median > a.pred_median THEN 1 WHEN b.pred_median = a.pred_median THEN 0.5 ELSE 0 END) / count(*)", name="c_index")}
 FROM v a JOIN v b ON a.variant = b.variant AND a.event_observed = 1 AND (b.duration > a.duration OR (b.duration = a.duration AND b.event_observed = 0)) GROUP BY 1""")
 def d14_without_competing(spark, sf_dir):

@@ -79,3 +79,20 @@ def test_one_class_and_no_rows(spark):
     assert got[1].penalty == lg.DEFAULT_C and np.isfinite(got[1].intercept)
     assert {r.prob for r in lg.probabilities(df.where("role = 'test' and fold = 0"), fits, XS, ("horizon", "fold")).collect()} == {1.0}
     assert lg.logistic_walk_forward(df.where(F.lit(False)), XS, "down", "label_end", ("horizon", "fold")).count() == 0
+
+
+def test_packed_rows_give_the_sums_of_plain_rows():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"fold": rng.integers(0, 2, 50), "_z0": rng.normal(size=50), "_z1": rng.normal(size=50), "_y": rng.integers(0, 2, 50) * 1.0, "_s": rng.random(50)})
+    w = [0.1, -0.5, 0.7]
+    packed = pd.concat(lg._packed(["fold"], 2)([rows[:20], rows[20:]]))
+    packed = packed.rename(columns={"_zs": "chunk_z", "_ys": "chunk_y", "_ss": "chunk_s"}).assign(penalty=1.0, w=[w] * len(packed))
+    sums, _ = lg._chunk_sums(2, ["fold"])
+    got = pd.concat(sums([packed])).groupby("fold").sum(numeric_only=True)
+    for fold, g in rows.groupby("fold"):
+        z = np.c_[np.ones(len(g)), g["_z0"], g["_z1"]]
+        mu = 1 / (1 + np.exp(-z @ w))
+        assert got.loc[fold, ["g0", "g1", "g2"]].to_numpy() == pytest.approx(z.T @ (g["_s"] * (g["_y"] - mu)))
+        assert got.loc[fold, "h1_2"] == pytest.approx((g["_s"] * mu * (1 - mu) * z[:, 1] * z[:, 2]).sum())

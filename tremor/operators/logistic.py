@@ -1,8 +1,8 @@
 """Penalised logistic regressions of all configurations, folds, inner splits and penalties at once.
 
-One Newton step of every open fit is one aggregation: the train rows join the present coefficients, a
-row for each fit, and sums of gradient and curvature come back, a row for each fit. Rows never leave
-Spark, and the number of jobs is the number of steps, whatever the number of fits. The objective is
+One Newton step of every open fit is one aggregation: the train rows, packed once in chunks of a fit,
+join the present coefficients, a row for each fit, and sums of gradient and curvature come back, a row
+for each fit. The number of jobs is the number of steps, whatever the number of fits. The objective is
 half the squared slopes plus C times the weighted log loss, on columns standardised over the fit's own
 train rows, with classes weighed alike and a free intercept.
 """
@@ -23,6 +23,8 @@ from tremor.session import stage
 PENALTIES = (0.01, 0.1, 1.0, 10.0)
 DEFAULT_C = 1.0
 STEPS, NEAR, LONGEST_STEP = 50, 1e-10, 4.0
+#: Parts that the rows of a fit are dealt to before they are packed.
+SALTS = 16
 
 
 def _fit_rows(train: DataFrame, by: list[str], label_end: str, k_inner: int) -> DataFrame:
@@ -48,6 +50,40 @@ def _linear(w: str, z: str, p: int) -> Column:
     return sum((F.col(w)[i + 1] * F.col(z)[i] for i in range(p)), F.col(w)[0])
 
 
+def _packed(keys: list[str], p: int):
+    """Rows of one batch as one row of arrays for each fit in it."""
+
+    def pack(pdfs):
+        for pdf in pdfs:
+            made = []
+            for key, g in pdf.groupby(keys, sort=False):
+                z = np.column_stack([np.ones(len(g)), *(g[f"_z{i}"].to_numpy(float) for i in range(p))])
+                made.append((*key, z.tobytes(), g["_y"].to_numpy(float).tobytes(), g["_s"].to_numpy(float).tobytes()))
+            yield pd.DataFrame(made, columns=[*keys, "_zs", "_ys", "_ss"])
+
+    return pack
+
+
+def _chunk_sums(p: int, keys: list[str]):
+    """Gradient and curvature of each packed chunk under the coefficients joined to it."""
+    at = np.triu_indices(p + 1)
+
+    def sums(pdfs):
+        names = [*(f"g{i}" for i in range(p + 1)), *(f"h{i}_{j}" for i, j in zip(*at, strict=True))]
+        for pdf in pdfs:
+            made = []
+            for row in pdf.itertuples(index=False):
+                r = row._asdict()
+                z = np.frombuffer(r["chunk_z"], float).reshape(-1, p + 1)
+                y, s, w = np.frombuffer(r["chunk_y"], float), np.frombuffer(r["chunk_s"], float), np.asarray(r["w"], float)
+                mu = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -700.0, 700.0)))
+                h = z.T @ (z * (s * mu * (1.0 - mu))[:, None])
+                made.append((*(r[k] for k in keys), r["penalty"], w.tolist(), *(z.T @ (s * (y - mu))), *h[at]))
+            yield pd.DataFrame(made, columns=[*keys, "penalty", "w", *names])
+
+    return sums, ", ".join([*(f"g{i} double" for i in range(p + 1)), *(f"h{i}_{j} double" for i, j in zip(*at, strict=True))])
+
+
 def _step(p: int, keys: list[str]):
     """New coefficients of each fit from its sums; a step longer than LONGEST_STEP is shortened."""
 
@@ -82,18 +118,21 @@ def logistic_fits(rows: DataFrame, xs: list[str], y: str, keys: list[str], penal
     both = standards.where((F.col("_ones") > 0) & (F.col("_ones") < F.col("n_train")))
     z = _scaled(rows.where("inner_role = 'train'").select(*keys, *xs, F.col(y).cast("double").alias("_y")), both, keys, xs)
     share = F.when(F.col("_y") == 1, F.col("_ones")).otherwise(F.col("n_train") - F.col("_ones"))
-    z = stage(z.select(*keys, "_z", "_y", (F.col("n_train") / (2.0 * share)).alias("_s")), "logit-rows")
+    z = z.select(*keys, *(F.col("_z")[i].alias(f"_z{i}") for i in range(p)), "_y", (F.col("n_train") / (2.0 * share)).alias("_s"))
+    # rows of a fit are dealt to SALTS parts, so that no task holds a whole fit, and packed batch by batch
+    dealt = z.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).repartition(*keys, "_salt").sortWithinPartitions(*keys)
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in z.schema if f.name in keys)
+    z = dealt.mapInPandas(_packed(keys, p), f"{key_types}, _zs binary, _ys binary, _ss binary")
+    z = stage(z.select(*keys, F.col("_zs").alias("chunk_z"), F.col("_ys").alias("chunk_y"), F.col("_ss").alias("chunk_s")), "logit-rows")
+    sums, sum_types = _chunk_sums(p, keys)
     state = both.select(*keys, F.explode(F.array(*map(F.lit, map(float, penalties)))).alias("penalty"), F.array(*[F.lit(0.0)] * (p + 1)).alias("w"), F.lit(1e300).alias("moved"))
     state, done = stage(state, "logit-state"), None
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema)
-    one = [F.lit(1.0), *(F.col("_z")[i] for i in range(p))]
+    sums_schema = f"{key_types}, penalty double, w array<double>, {sum_types}"
+    names = [c.split()[0] for c in sum_types.split(", ")]
     for _ in range(STEPS):
-        j = z.join(state.drop("moved"), keys)  # one row for each fit and penalty
-        mu = 1.0 / (1.0 + F.exp(-_linear("w", "_z", p)))
-        j = j.withColumn("_r", F.col("_s") * (F.col("_y") - mu)).withColumn("_v", F.col("_s") * mu * (1.0 - mu))
-        sums = [F.sum(F.col("_r") * one[i]).alias(f"g{i}") for i in range(p + 1)]
-        sums += [F.sum(F.col("_v") * one[i] * one[k]).alias(f"h{i}_{k}") for i in range(p + 1) for k in range(i, p + 1)]
-        step = j.groupBy(*keys, "penalty").agg(F.first("w").alias("w"), *sums)
+        j = z.join(F.broadcast(state.drop("moved")), keys).mapInPandas(sums, sums_schema)  # one row for each fit and penalty
+        step = j.groupBy(*keys, "penalty").agg(F.first("w").alias("w"), *[F.sum(c).alias(c) for c in names])
         step = stage(step.mapInPandas(_step(p, keys), types), "logit-state")
         met = step.where(F.col("moved") <= NEAR)
         done = met if done is None else done.unionByName(met)

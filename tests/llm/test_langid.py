@@ -54,3 +54,11 @@ def test_unknown_text_is_not_kept(spark, frame):
     kept = corpus_pipeline.language(spark, both, SF)
     assert kept.columns == both.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_every_labelled_row_is_learned_from(frame):
+    docs = frame([(i, "ab", "en", None) for i in range(6000)], DOCS)
+    labels, log, _ = langid.fit(docs)
+    seen = langid.np.bincount(langid.ngrams("ab"), minlength=langid.BUCKETS) * 6000
+    want = langid.np.log(seen + langid.ALPHA) - langid.np.log(seen.sum() + langid.ALPHA * langid.BUCKETS)
+    assert labels == ["en"] and log[:, 0] == pytest.approx(want)

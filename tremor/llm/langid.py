@@ -1,6 +1,6 @@
 """Operator 9: language identification by multinomial naive Bayes over hashed character n-grams.
 
-Fit: n-grams are counted in numpy inside the tasks, one (language, bucket) matrix for each
+Fit: n-grams of all labelled rows are counted in numpy inside the tasks, one (language, bucket) matrix for each
 partition, and only its non-zero cells are shuffled and summed. The log-probability matrix has
 languages x ``BUCKETS`` cells, so what is collected and broadcast is bounded by the number of
 labels. Predict: each text becomes a sparse vector of bucket counts, multiplied with the rows of
@@ -29,8 +29,6 @@ from tremor.llm.registry import query
 #: Hash buckets of the n-grams of all orders together.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bound on what the classifier is fitted on: about so many whole rows of each label, by a hash of the id.
-ROWS_PER_LABEL = 4000
 #: Labels at most, so that the matrix stays below 64 MB; more are refused.
 MOST_LABELS = 256
 ALPHA = 0.5
@@ -38,6 +36,8 @@ UNKNOWN = "und"
 #: Known text: its mean log-likelihood per n-gram under the best label is at most so many nats, or so many
 #: spreads of that label's rows, below their median; in a short text single n-grams vary by NOISE / sqrt(n) more.
 MARGIN, SPREADS, NOISE = 2.0, 10.0, 12.0
+#: Decimals of a log-likelihood, so that the distinct values under a label are bounded whatever the rows.
+PLACES = 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,25 +98,23 @@ def _count_batches(batches, labels: list[str]):
         yield rows_of(CELLS, [row[part], bucket[part], cells[row[part], bucket[part]]])
 
 
-def _labelled(df: DataFrame, text_col: str, label_col: str, id_col: str, rows_per_label: int) -> tuple[DataFrame, dict[str, int]]:
-    """(text, label) of about ``rows_per_label`` rows of each label, and the rows that each label has."""
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
+def _labelled(df: DataFrame, text_col: str, label_col: str) -> tuple[DataFrame, dict[str, int]]:
+    """(text, label) of all rows with a label, and the rows that each label has."""
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
     if len(sizes) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels: the matrix that goes to every task would not be bounded")
-    share = F.create_map(*[x for v in sorted(sizes) for x in (F.lit(v), F.lit(min(1.0, rows_per_label / sizes[v])))])
-    some = rows.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)) if sizes else rows
-    return some.select("text", "label"), sizes
+    return rows, sizes
 
 
-def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """(labels, log-probability matrix buckets x labels, log priors) from rows with a label."""
-    some, sizes = _labelled(train, text_col, label_col, id_col, rows_per_label)
+    rows, sizes = _labelled(train, text_col, label_col)
     labels = sorted(sizes)
     if not labels:
         return [], np.zeros((BUCKETS, 0)), np.zeros(0)
     n = np.zeros((BUCKETS, len(labels)))
-    got = map_batches(some, _count_batches, CELLS, labels).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = map_batches(rows, _count_batches, CELLS, labels).groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n[got["bucket"], got["label"]] = got["n"]
     log = np.log(n + ALPHA) - np.log(n.sum(0) + ALPHA * BUCKETS)
     prior = np.array([sizes[v] for v in labels], float)
@@ -168,11 +166,11 @@ def _fit_batches(batches, model):
         yield rows_of(FITS, [[v for v, _ in found], [x for _, x in found]])
 
 
-def typical(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows_per_label: int = ROWS_PER_LABEL) -> dict[str, tuple[float, float]]:
+def typical(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", label_col: str = "lang") -> dict[str, tuple[float, float]]:
     """For each label (median, median less the 16th percentile) of its rows' log-likelihood per n-gram: rows of odd texts under a label move neither."""
-    some, _ = _labelled(docs, text_col, label_col, id_col, rows_per_label)
-    fits = map_batches(some, _fit_batches, FITS, docs.sparkSession.sparkContext.broadcast(model))
-    return {r["label"]: (r["q"][1], r["q"][1] - r["q"][0]) for r in fits.groupBy("label").agg(F.percentile("fit", F.array(F.lit(0.16), F.lit(0.5))).alias("q")).collect()}
+    rows, _ = _labelled(docs, text_col, label_col)
+    fits = map_batches(rows, _fit_batches, FITS, docs.sparkSession.sparkContext.broadcast(model))
+    return {r["label"]: (r["q"][1], r["q"][1] - r["q"][0]) for r in fits.groupBy("label").agg(F.percentile(F.round("fit", PLACES), F.array(F.lit(0.16), F.lit(0.5))).alias("q")).collect()}
 
 
 def is_known(found: tuple[str, float, float, int], usual: dict[str, tuple[float, float]], sure: float) -> bool:

@@ -101,3 +101,10 @@ def test_synthetic_rows_keep_identities(spark):
     assert (report.pairs_in_window, report.pairs_window_relaxed, report.n_synthetic) == (0, 2, 6)
     with pytest.raises(ValueError):
         ag.interpolated(m, few, ["fold", "type"], ["damage"], "y1", columns=("z_damage",))
+
+
+def test_columns_that_change_in_their_last_bits_when_read_again_keep_their_rows(spark):
+    shaky = F.udf(lambda v: v * (1 + random.randrange(64) * 2.0**-52), "double").asNondeterministic()
+    rows = spark.createDataFrame([(0, "a", k, D0, float(k + 1)) for k in range(40)], "fold int, type string, event_id long, event_date date, x double")
+    got = nb.nearest_in_group(rows.withColumn("z", shaky("x")), ["fold", "type"], True, ("z",)).collect()
+    assert sorted(r.event_id for r in got) == list(range(40)) and all(abs(r.neighbour - r.event_id) == 1 for r in got)

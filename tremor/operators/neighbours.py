@@ -241,7 +241,9 @@ def nearest_in_group(rows: DataFrame, by: list[str], windowed: bool = True, colu
     Rows equal in all columns and the date are one point, so a hot value costs one row. Rows with a
     null column, or under a window a null date, take no part. Rows without a partner have none.
     """
-    rows = rows.dropna(subset=[*columns, *(["event_date"] if windowed else [])])
+    rows = rows.dropna(subset=[*columns, *(["event_date"] if windowed else [])]).select(*by, "event_id", "event_date", *columns)
+    # read twice and joined on the columns: means and spreads summed anew in another order would differ in their last bits
+    rows = stage(rows, "near-rows")
     points = stage(rows.groupBy(*by, F.col("event_date").alias("day"), *columns).agg(F.min("event_id").alias("rep"), F.count("*").alias("copies")), "points")
     points = points.withColumn("g", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}))
     day = F.coalesce(F.datediff("day", F.lit("1970-01-01").cast("date")), F.lit(0))

@@ -206,7 +206,7 @@ def _minority(spark, sf_dir):
     few = train.join(F.broadcast(cut), "fold").where((F.col("y") < F.col("_lo")) | (F.col("y") > F.col("_hi")))  # one row per fold
     s = few.groupBy("fold").agg(*[F.avg(x).alias(f"_m_{x}") for x in XS], *[F.stddev_samp(x).alias(f"_s_{x}") for x in XS])
     j = few.join(F.broadcast(s), "fold")  # one row per fold
-    return train, j.select("fold", "type", "event_id", "event_date", *XS, "y", *[((F.col(x) - F.col(f"_m_{x}")) / F.col(f"_s_{x}")).alias(f"z{i + 1}") for i, x in enumerate(XS)])
+    return train, stage(j.select("fold", "type", "event_id", "event_date", *XS, "y", *[((F.col(x) - F.col(f"_m_{x}")) / F.col(f"_s_{x}")).alias(f"z{i + 1}") for i, x in enumerate(XS)]), "minority")
 
 
 @query("c08_j18_interpolated_rows", ctes(SQL_ROWS, """

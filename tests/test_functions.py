@@ -85,3 +85,19 @@ def test_local_folder_where_none_is_named(spark, monkeypatch):
     a, b = session.shared_dir(spark), session.shared_dir(spark)
     assert a == b and a.startswith("/tmp/spark-")
     assert session.stage(spark.range(3), "kept").count() == 3
+
+
+def test_quantiles_are_exact_where_the_sketch_points_elsewhere(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = {"g": rng.normal(size=30_000), None: rng.integers(0, 9, 2000).astype(float)}
+    df = spark.createDataFrame([(g, float(x), float(-x) if i % 3 else None) for g, xs in v.items() for i, x in enumerate(xs)] + [("empty", None, None)], "g string, v double, w double")
+    wanted = {"a": ("v", 0.1), "b": ("v", 0.5), "c": ("w", 0.9)}
+    for width in (od.SKETCH, 10**7):  # the second one leaves no room for an error of the sketch
+        monkeypatch.setattr(od, "SKETCH", width)
+        got = {r.g: r for r in od.exact_quantiles_of(df.where("g IS NOT NULL OR v < 99"), ["g"], wanted).collect()}
+        assert set(got) == {"g", None, "empty"} and got["empty"].a is None
+        w = [-x for i, x in enumerate(v["g"]) if i % 3]
+        assert [got["g"].a, got["g"].b, got["g"].c] == pytest.approx([*np.quantile(v["g"], [0.1, 0.5]), np.quantile(w, 0.9)], abs=1e-12)
+    monkeypatch.setattr(od, "_bracketed", lambda df, by, wanted: (df.select(*by).distinct(), df.limit(1).select(*by, F.lit("a").alias("_name"), F.lit(0.1).alias("_p"), F.lit(9).alias("_n"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))))
+    assert od.exact_quantiles(df.where("g = 'g'"), ["g"], "v", {"a": 0.1}).first().a == pytest.approx(np.quantile(v["g"], 0.1))
+    assert {r.g: r.a for r in od.exact_quantiles_of(df, ["g"], {"a": ("v", 0.1)}).collect()}["g"] == pytest.approx(np.quantile(v["g"], 0.1))

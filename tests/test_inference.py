@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators import folds as fd
 from tremor.operators import metrics as mt
+from tremor.operators import models as md
 from tremor.operators import resample as rs
 from tremor.operators import survival as sv
 
@@ -188,3 +189,21 @@ def test_scores_apart_in_their_last_bits_tie(spark):
     assert sv.harrell_c(df, ["m"], "t", "e", "s").first().c_index == pytest.approx(2.5 / 3)
     pairs = sv.cluster_concordance(df, ["m"], "g", ["a", "b"], "t", "e", "s").agg(F.sum("wins").alias("w"), F.sum("pairs").alias("p")).first()
     assert (pairs.w, pairs.p) == (2.5, 3)
+
+
+@pytest.mark.parametrize("n", [3, 7, 200])
+def test_split_bits_are_the_roles_of_inner_membership(spark, n):
+    rng = np.random.default_rng(n)
+    day = rng.integers(0, max(2, n // 9), n)
+    rows = [(f, int(i), int(d), None if i % 7 == 0 else int(d + rng.integers(0, 9))) for f in (0, 1) for i, d in zip(rng.permutation(n), day)]
+    train = spark.createDataFrame(rows, "fold int, event_id long, event_date int, label_end int")
+    marked, parts = fd.split_bits(train, ["fold"], "event_date", "event_id", "label_end", (3, 2))
+    got = {tuple(r) for r in marked.select("fold", "event_id", F.explode(fd.split_roles(parts)).alias("x")).select("fold", "event_id", "x.*").collect()}
+    placed = md.inner_positions(train, ["fold"], "event_date", "event_id")
+    want = set()
+    for k in (3, 2):
+        want |= {(r.fold, r.event_id, k, r.split, r.inner_role) for r in fd.inner_membership(placed, ["fold"], "_pos", "_n", "event_date", "label_end", k).collect()}
+    assert got == want and marked.count() == 2 * n
+    # rows themselves are not shuffled: only days and the rows of a few days are
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremor.operators import metrics as mt
-from tremor.operators.folds import inner_membership
-from tremor.operators.models import inner_positions
+from tremor.operators.folds import split_bits, split_roles
 from tremor.session import stage
 
 # The penalty grid and the one used where no inner split can tell penalties apart.
@@ -29,7 +28,8 @@ SALTS = 16
 
 def _fit_rows(train: DataFrame, by: list[str], label_end: str, k_inner: int) -> DataFrame:
     """Train rows of every fold (split -1, role train) and of its purged inner splits."""
-    inner = inner_membership(inner_positions(train, by, "event_date", "event_id"), by, "_pos", "_n", "event_date", label_end, k_inner)
+    marked, parts = split_bits(train, by, "event_date", "event_id", label_end, (k_inner,))
+    inner = marked.select(*train.columns, F.explode(split_roles(parts)).alias("_x")).select(*train.columns, "_x.split", "_x.inner_role")
     whole = train.withColumn("split", F.lit(-1)).withColumn("inner_role", F.lit("train"))
     return whole.unionByName(inner.select(*whole.columns))
 

@@ -123,3 +123,12 @@ def test_zero_model(spark):
     assert (rows[100].fit_alpha, rows[100].fit_beta, rows[100].fit_n) == (0, 0, len(before))
     assert rows[100].fit_sigma == pytest.approx(np.sqrt((before**2).sum() / (len(before) - 1)))
     assert rows[10].fit_alpha is None
+
+
+def test_series_pairs_are_spread_over_tasks(spark):
+    """A pair of series is heavy and its rows are few bytes, so neither their size nor a broadcast may gather the pairs."""
+    fit = fitted_of(spark, walks(0.4, names="abcdefghijkl"))
+    origins = spark.createDataFrame([(s, 60, 1) for s in "abcdefghijkl"], "series_id string, origin long, weight long")
+    pairs = cc.series_pairs(cc.stage(cc.packed_series(fit, origins, "log_return", "factor_ret", 40), "packed"))
+    held = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 78 and max(held) <= 39

@@ -122,12 +122,17 @@ def _rows(name: str, other: str, cells, r, n, s) -> pa.RecordBatch:
 
 
 def series_pairs(packed: DataFrame) -> DataFrame:
-    """Every pair of series once, each with itself too, by an equi-join on pairs of keys they are dealt to."""
+    """Every pair of series once, each with itself too, by an equi-join on pairs of keys they are dealt to.
+
+    Rows are few and a pair is heavy, so both sides are dealt to a fixed number of partitions: a broadcast
+    or partitions joined by their bytes would put all pairs into one task.
+    """
     key = F.pmod(F.xxhash64("series_id"), F.lit(DEALT)).cast("int")
     keyed = packed.withColumn("own", key).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     keyed = keyed.select("series_id", "rows", "window", "own", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"))
+    keyed = keyed.repartition(DEALT * DEALT, "x", "y")
     a, b = keyed.alias("a"), keyed.select("series_id", "rows", "own", "x", "y").alias("b")
-    met = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.series_id") <= F.col("b.series_id")))
+    met = a.join(b.hint("shuffle_hash"), (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.series_id") <= F.col("b.series_id")))
     met = met.where((F.col("a.x") == F.least("a.own", "b.own")) & (F.col("a.y") == F.greatest("a.own", "b.own")))
     return met.select(F.col("a.series_id").alias("series_id"), F.col("b.series_id").alias("other_id"), F.col("a.rows").alias("rows"), F.col("b.rows").alias("other_rows"), F.col("a.window").alias("window"))
 

@@ -209,3 +209,31 @@ def test_two_stage_median_is_the_first_day_at_or_below_one_half(spark):
     for r in df.withColumn("m", _mixed_median("p")).collect():
         want = next((t for t in range(91) if r.p * surv(t, r.location, r.scale) <= 0.5), 90)
         assert r.m == min(want, 90)
+
+
+def test_train_lines_of_counted_cells_equal_those_of_single_rows(spark):
+    """Cells that stand for many events give the fold constants of the events; a feature without spread has no line."""
+    from tremor.operators import folds as fd
+    from tremor.plans.forecast_queries import train_lines
+
+    rng, day = np.random.default_rng(4), date(2020, 1, 1)
+    cells = [(day + timedelta(days=30 * m + int(rng.integers(0, 25))), m, 0.1 if m < 4 else (None if k == 1 else float(rng.normal())), None if k == 2 else float(rng.normal()), int(rng.integers(1, 9)))
+             for m in range(12) for k in range(6)]
+    cells = [(d, m, x, y, d + timedelta(days=7) if k % 5 else None, n) for k, (d, m, x, y, n) in enumerate(cells)]
+    geo = fd.Geometry(12, 4, 2, 2)
+    df = spark.createDataFrame(cells, "event_date date, pos long, x1 double, y double, y_end date, n long")
+    got = {r.fold: r for r in train_lines(df, geo, "y", "y_end").collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for f, r in got.items():
+        live = [c for c in cells if c[3] is not None]
+        first = min(c[0] for c in live if 2 * f + 4 <= c[1] < 2 * f + 6)
+        train = [c for c in live if 2 * f <= c[1] < 2 * f + 4 and (c[4] is None or c[4] < first)]
+        x = np.repeat([np.nan if c[2] is None else c[2] for c in train], [c[5] for c in train])
+        y = np.repeat([c[3] for c in train], [c[5] for c in train])
+        assert r._med == pytest.approx(np.nanmedian(x))
+        assert (r.train_mean, r.train_median) == pytest.approx((y.mean(), np.median(y)))
+        if f == 0:
+            assert r._a is None and r._b is None
+        else:
+            x = np.where(np.isnan(x), r._med, x)
+            assert (r._b, r._a) == pytest.approx(tuple(np.polyfit(x, y, 1)))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from tremor.llm import phrases
 
@@ -62,6 +63,21 @@ def test_index_counts_every_phrase(depth):
         assert got == want
 
 
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+def test_packed_numbers_come_back(kind):
+    for values in ([], [0], [-1, 2**31 - 1, 0, 7], list(range(-500, 500))):
+        got = phrases._unpacked(phrases._packed(np.array(values, kind)), kind)
+        assert got.dtype == kind and got.tolist() == values
+    keys = np.array([3, 2**40, 2**62], np.int64)
+    assert phrases._unpacked_sorted(phrases._packed_sorted(keys)).tolist() == keys.tolist()
+
+
+def test_packed_codes_are_smaller_than_compressed_integers():
+    """What is shuffled and staged is packed codes and keys, so their size is the disk of the operator."""
+    codes = np.minimum(np.random.default_rng(0).zipf(1.2, 200_000), 60_000).astype(np.int32)
+    assert len(phrases._packed(codes)) < 0.93 * len(zstandard.compress(codes.tobytes(), 1))
+
+
 def test_runs_between_breaks():
     assert phrases.runs_of(np.array([0, 1, 0, 2, 3, 0, 0, 4, 5, 6], np.int32), 2).tolist() == [0, 2, 3, 0, 4, 5, 6, 0]
     assert phrases.runs_of(np.array([1, 0, 2], np.int32), 2).tolist() == [0]

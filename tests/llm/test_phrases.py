@@ -72,6 +72,22 @@ def test_packed_numbers_come_back(kind):
     assert phrases._unpacked_sorted(phrases._packed_sorted(keys)).tolist() == keys.tolist()
 
 
+@pytest.mark.parametrize("buckets", [1, 4, 211])
+def test_keys_of_all_buckets_are_whole_again(buckets):
+    prefix, word = np.divmod(np.unique(np.random.default_rng(3).integers(0, 2**20, 30_000)), 700)
+    keys = (prefix + 1) << 32 | word + 1
+    bucket, key = phrases._dealt(keys >> 32, keys & (2**32 - 1), buckets)
+    parts = [phrases._unpacked_sorted(phrases._packed_sorted(np.sort(key[bucket == b]))) for b in range(buckets)]
+    assert sorted(np.concatenate([phrases._whole(b, p, buckets) for b, p in enumerate(parts)]).tolist()) == keys.tolist()
+    assert max(map(len, parts)) < 2 * len(keys) / buckets + 100
+
+
+def test_packed_keys_stay_small_where_first_halves_change():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(1, 40_000, 50_000) << 32 | rng.integers(1, 3000, 50_000))
+    assert len(phrases._packed_sorted(keys)) < 0.85 * len(phrases._packed(np.diff(keys, prepend=0)))
+
+
 def test_packed_codes_are_smaller_than_compressed_integers():
     """What is shuffled and staged is packed codes and keys, so their size is the disk of the operator."""
     codes = np.minimum(np.random.default_rng(0).zipf(1.2, 200_000), 60_000).astype(np.int32)

@@ -75,13 +75,41 @@ def _unpacked(blob: bytes, kind=np.int32) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids by their differences."""
+    return _packed(np.diff(ids, prepend=0).astype(np.int32))
+
+
+def _unpacked_ids(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob), dtype=np.int64)
+
+
 def _packed_sorted(keys: np.ndarray) -> bytes:
-    """Ascending keys by their differences."""
-    return _packed(np.diff(keys, prepend=0))
+    """Ascending keys: differences of the first halves, and second halves, by differences where the first half stays."""
+    step, low = np.diff(keys >> 32, prepend=0), keys & (2**32 - 1)
+    return _packed(np.r_[step, np.where(step == 0, np.diff(low, prepend=0), low)].astype(np.int32))
 
 
 def _unpacked_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(blob, np.int64))
+    step, low = _unpacked(blob).astype(np.int64).reshape(2, -1)
+    run = np.cumsum(low)
+    before = np.maximum.accumulate(np.where(step > 0, run - low, 0))
+    return np.cumsum(step) << 32 | run - before
+
+
+def _shift(prefix: np.ndarray, buckets: int) -> np.ndarray:
+    return ((prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _dealt(prefix: np.ndarray, word: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and key of phrases: followers of a prefix go round all buckets, so a bucket's keys need the quotient only."""
+    return (word + _shift(prefix, buckets)) % buckets, prefix << 32 | word // buckets
+
+
+def _whole(bucket: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Prefix and word, as one number, of the keys of a bucket."""
+    prefix = keys >> 32
+    return prefix << 32 | (keys & (2**32 - 1)) * buckets + (bucket - _shift(prefix, buckets)) % buckets
 
 
 def _slices(raw: bytes):
@@ -138,7 +166,7 @@ def _read_batches(batches, buckets: int):
 
 
 def _answer(bucket: int, shard: int, mine: bytes, places: np.ndarray) -> pa.RecordBatch:
-    return rows_of(SUMMED, [[bucket], *([None] for _ in range(5)), [shard], [mine], [_packed(places.astype(np.int32))]])
+    return rows_of(SUMMED, [[bucket], *([None] for _ in range(5)), [shard], [mine], [_packed_ids(places)]])
 
 
 def _word_sums(batches, least: int):
@@ -151,7 +179,7 @@ def _word_sums(batches, least: int):
         for _, words, _, n in held:
             for w, k in zip(zstandard.decompress(words).split(b"\n"), _unpacked(n, np.int64).tolist(), strict=True):
                 sums[w] += k
-        often = {w: k for k, w in enumerate(w for w, f in sums.items() if f >= least)}
+        often = {w: k for k, w in enumerate(sorted(w for w, f in sums.items() if f >= least))}
         yield rows_of(SUMMED, [[bucket], [None], [lang], [None], [None], [sum(sums.values())], [None], [None], [None]])
         if often:
             nothing = pa.nulls(len(often))
@@ -175,7 +203,7 @@ def _word_sums(batches, least: int):
         yield from summed(key)
 
 
-def _key_sums(batches, least: int):
+def _key_sums(batches, least: int, buckets: int):
     """Key rows in the order of buckets to the frequent keys, and each shard's share of them."""
     held: list = []
 
@@ -187,7 +215,7 @@ def _key_sums(batches, least: int):
         if not len(often):
             return
         nothing = pa.nulls(len(often))
-        yield rows_of(SUMMED, [np.full(len(often), bucket), np.arange(len(often)), nothing, nothing, often, f, nothing, nothing, nothing])
+        yield rows_of(SUMMED, [np.full(len(often), bucket), np.arange(len(often)), nothing, nothing, _whole(bucket, often, buckets), f, nothing, nothing, nothing])
         for shard, mine, _ in shards:
             place = np.minimum(np.searchsorted(often, mine), len(often) - 1)
             met = often[place] == mine
@@ -213,7 +241,7 @@ def _code_batches(batches):
             codes = _unpacked(codes)
             to = np.zeros(int(codes.max()) + 1, np.int32)
             for a in answers:
-                to[_unpacked(a["mine"])] = a["before"] + _unpacked(a["places"]) + 1
+                to[_unpacked(a["mine"])] = a["before"] + _unpacked_ids(a["places"]) + 1
             yield rows_of(CODED, [[shard], [_packed(runs_of(to[codes], 2))]])
 
 
@@ -290,10 +318,10 @@ class PhraseIndex:
         return np.concatenate([added, words] if to_left else [words, added], 1), l[fine], r[fine], n[fine]
 
 
-def _known(level: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a shard's frequent phrases of one length, ascending, and their ids."""
-    keys = np.concatenate([_unpacked_sorted(a["mine"]) for a in level])
-    ids = np.concatenate([a["before"] + _unpacked(a["places"]).astype(np.int64) for a in level])
+def _known(level: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes and words of a shard's frequent phrases of one length, ascending, and their ids."""
+    keys = np.concatenate([_whole(a["bucket"], _unpacked_sorted(a["mine"]), buckets) for a in level])
+    ids = np.concatenate([a["before"] + _unpacked_ids(a["places"]) for a in level])
     order = np.argsort(keys, kind="stable")
     return keys[order], ids[order]
 
@@ -325,13 +353,13 @@ def _often(codes: np.ndarray, known: list) -> np.ndarray:
     return ids >= 0
 
 
-def _narrow_batches(batches):
+def _narrow_batches(batches, buckets: int):
     """Shards cut down to runs in which every phrase of the last level is frequent; levels pass on."""
     for batch in batches:
         levels = [c.to_pylist() for c in batch.columns[2:]]
         kept = []
         for k, codes in enumerate(map(_unpacked, batch.column(1).to_pylist())):
-            known = [_known(level[k]) for level in levels]
+            known = [_known(level[k], buckets) for level in levels]
             kept.append(_packed(_joined_runs(codes, _often(codes, known), len(known) + 1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *batch.columns[2:]], schema=batch.schema)
 
@@ -342,7 +370,7 @@ def _phrase_batches(batches, size: int, buckets: int):
         levels = [c.to_pylist() for c in batch.columns[2:]]
         for k, (shard, codes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             codes = _unpacked(codes)
-            known = [_known(level[k]) for level in levels]
+            known = [_known(level[k], buckets) for level in levels]
             if len(codes) <= size:
                 continue
             index = PhraseIndex(codes, size)
@@ -353,8 +381,7 @@ def _phrase_batches(batches, size: int, buckets: int):
             prefix = words[:, 0]
             for at, level in enumerate(known, 1):
                 prefix = _looked_up(prefix, words[:, at], level)
-            key = prefix << 32 | words[:, size - 1]
-            bucket = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+            bucket, key = _dealt(prefix, words[:, size - 1], buckets)
             order = np.lexsort((key, bucket))
             key, n, cut = key[order], n[order].astype(np.int32), np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
@@ -376,11 +403,11 @@ def _placed(summed: DataFrame) -> DataFrame:
 def _answers(summed: DataFrame, placed: DataFrame, name: str) -> DataFrame:
     """(shard, name): what a shard holds of the frequent entries, and their ids."""
     own = summed.where("shard is not null").select("bucket", "shard", "mine", "places").join(placed, "bucket")
-    return own.groupBy("shard").agg(F.collect_list(F.struct("mine", "places", "before")).alias(name))
+    return own.groupBy("shard").agg(F.collect_list(F.struct("bucket", "mine", "places", "before")).alias(name))
 
 
-def _summed(rows: DataFrame, fn, order: list[str], least: int, name: str) -> DataFrame:
-    return stage(map_batches(rows.repartition("bucket").sortWithinPartitions("bucket", *order), fn, SUMMED, least), name)
+def _summed(rows: DataFrame, fn, order: list[str], name: str, *args) -> DataFrame:
+    return stage(map_batches(rows.repartition("bucket").sortWithinPartitions("bucket", *order), fn, SUMMED, *args), name)
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -393,7 +420,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     read = stage(map_batches(texts, _read_batches, READ, buckets), "phrase-shards")
-    summed = _summed(read.where("bucket is not null").select("shard", "bucket", "lang", "words", "locals", "n"), _word_sums, ["lang"], least, "phrase-words")
+    summed = _summed(read.where("bucket is not null").select("shard", "bucket", "lang", "words", "locals", "n"), _word_sums, ["lang"], "phrase-words", least)
     placed = _placed(summed)
     totals = summed.where("place is null and shard is null").groupBy("lang").agg(F.sum("f").alias("n"))
     words = summed.where("place is not null").join(placed, "bucket").select((F.col("before") + F.col("place") + 1).cast("int").alias("id"), "lang", "word", "f")
@@ -403,7 +430,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     grams = words.select(F.col("id").alias("w1"), *(none.alias(c) for c in WORDS[1:]), "f")
     before, held = words.select(F.col("id").cast("long").alias("id"), F.col("id").alias("w1")), coded
     for k in range(2, longest + 1):
-        summed = _summed(map_batches(held, _phrase_batches, KEYS, k, buckets), _key_sums, [], least, f"phrase-{k}")
+        summed = _summed(map_batches(held, _phrase_batches, KEYS, k, buckets), _key_sums, [], f"phrase-{k}", least, buckets)
         placed = _placed(summed)
         found = summed.where("place is not null").join(placed, "bucket").select((F.col("before") + F.col("place")).alias("new"), F.shiftright("key", 32).alias("id"), F.col("key").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias(WORDS[k - 1]), "f")
         found = stage(found.join(before, "id").select(F.col("new").alias("id"), *WORDS[:k], "f"), "phrase-named")
@@ -411,7 +438,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         before = found.drop("f")
         if k < longest:
             held = held.join(_answers(summed, placed, f"level{k}"), "shard")
-            held = stage(map_batches(held, _narrow_batches, held.schema), "phrase-held")
+            held = stage(map_batches(held, _narrow_batches, held.schema, buckets), "phrase-held")
     return words, stage(grams, "phrase-grams"), totals
 
 

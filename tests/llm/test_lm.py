@@ -79,3 +79,33 @@ def test_probabilities_sum_to_one(spark):
     rest = [n for w, n in counts.items() if w not in places]
     assert sum((n + 0.1) / 10**lexicon.tail for n in [*rest, 0]) == pytest.approx(1)
     assert np.isfinite(weights[0]).all()
+
+
+def test_words_of_the_last_class_follow_the_words_before(spark):
+    """Each of 3,000 words comes after a word of its own, so what came before tells the rare ones too."""
+    from pyspark.sql import functions as F
+
+    counts = Counter({b"%d" % k: 2 for k in range(3000)})
+    for k in range(40):
+        counts[b"s%d" % k] = 5000
+    counts[lm.END] = 9000
+    leaves = np.zeros((2, 1 << lm.depth_of(len(counts))))
+    for w, n in counts.items():
+        leaf = int(lm._code(np.array([lm.zlib.crc32(w)]))[0]) >> 32 - lm.depth_of(len(counts))
+        leaves[:, leaf] += n, 1
+    found = spark.createDataFrame([(w, n) for w, n in counts.items()], "word binary, n long")
+    assert (lm.leaf_sums(found, lm.depth_of(len(counts))) == leaves).all()
+    lexicon = lm.Lexicon(counts.most_common(), sum(counts.values()), len(counts), 9000, leaves)
+    rest = [w for w in counts if w not in lexicon.place]
+    docs = spark.createDataFrame([(" ".join(f"s{int(w) % 40} {w.decode()}" for w in rest),)] * 20, "text string")
+    weights = lm.trained(docs, F.lit(0), lexicon, 1)
+    share = np.array([counts[w] + 0.1 for w in rest])
+
+    def moved(before):
+        t = lm.Tokens([[before, w] for w in rest], lexicon)
+        return lexicon.tree.moved(t.code, t.step_rows, weights[2])[t.in_tail % 2 == 1]
+
+    for before in (b"s3", b"s17", b"never"):
+        assert (share * np.exp(moved(before))).sum() == pytest.approx(share.sum(), rel=1e-3)
+    after = np.array([int(w) % 40 == 3 for w in rest])
+    assert (moved(b"s3")[after] - moved(b"s17")[after]).mean() > 0.5
